@@ -7,8 +7,10 @@ is absent (tests, notebooks) is a local folder made.
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once a session's context: they need not have it installed."""
+    context = spark.sparkContext
+    if not getattr(context, "_corvid_shipped", False):
+        root = Path(__file__).resolve().parent
+        packed = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-corvid-')}/corvid", "zip", root.parent, root.name)
+        context.addPyFile(packed)
+        context._corvid_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
