@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import line_dedup, mixing, ngram_join, pieces, quality, secrets, sharding
+from corvid.llm import ann, line_dedup, mixing, ngram_join, pieces, quality, secrets, sharding, vector_dedup
 from corvid.storage import table
 
 
@@ -33,6 +33,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,8 +45,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_pieces, op4_secrets, op5_sharding, op7_quality, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_pieces, op4_secrets, op5_sharding, op6_vector_dedup, op7_quality, op9_line_dedup, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
