@@ -188,7 +188,8 @@ def mix(docs: DataFrame, n_shards: int = N_SHARDS, block_words: int = BLOCK_WORD
     docs_sized = sized(docs) if docs_sized is None else docs_sized
     per_source = targets(docs_sized) if per_source is None else per_source
     pieces = blocks(packed(docs_sized, per_source), block_words)
-    read = slots(per_source, n_shards, block_words, seed).join(pieces, ["src", "block"])
+    # the slots grow with the corpus though they are made from a few source rows: never broadcast
+    read = slots(per_source, n_shards, block_words, seed).hint("merge").join(pieces, ["src", "block"])
     base = F.col("block") * block_words - F.col("off")
     return read.select(
         "shard", "src", "slot", "epoch", "off", "doc_id", "size",
