@@ -7,8 +7,8 @@ the share of quality 1 among the rows labels may be learnt from.
 
 Features are shape statistics of the whole text (bytes by class, word length,
 repetition); labels, language, source and id are never among them.  They are
-computed once for all documents, in Arrow batches, and written as a small table from
-which both the bounded training sample and the scores are read.
+computed in Arrow batches: for the bounded training sample first, then for every document
+as it is scored.
 
 Edge cases: null and empty texts get the features of an empty text and a score;
 repeated rows get equal scores; documents with contradicting labels count by each;
@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.llm.shingles import words_of
-from corvid.storage import durable
 
 #: Training rows taken at most, by the order of a hash of the id: positives, unlabelled.
 MAX_POSITIVE = 6000
@@ -78,19 +77,22 @@ def features(text: bytes, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and x (features) of every document."""
+def _rows(batch: pa.RecordBatch, text_col: str) -> np.ndarray:
+    texts = [t or b"" for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+    return np.array([features(t, w) for t, w in zip(texts, words_of(texts), strict=True)]).reshape(len(texts), N_FEATURES)
+
+
+def feature_table(docs: DataFrame) -> DataFrame:
+    """x (features) and every other column than ``text`` of the documents."""
+    others = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
-            rows = np.array([features(t, w) for t, w in zip(texts, words_of(texts), strict=True)]).reshape(len(texts), N_FEATURES)
-            flat = pa.array(rows.astype(np.float32).ravel(), pa.float32())
-            x = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, N_FEATURES), pa.int32()), flat)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "x": x})
+            flat = pa.array(_rows(b, "text").ravel(), pa.float64())
+            x = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * N_FEATURES + 1, N_FEATURES), pa.int32()), flat)
+            yield pa.RecordBatch.from_pydict({f.name: b.column(f.name) for f in others} | {"x": x})
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, x array<float>")
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["x array<double>"]))
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -140,33 +142,48 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Model(mean, scale, *p)
 
 
-def train(table: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on a bounded sample of ``table`` (doc_id, x) and ``labels`` (doc_id, quality), fold 1 left out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isNotNull() & (fold_of(F.col("doc_id")) != 1))
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """Fit on a bounded sample of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), fold 1 left out."""
+    fold = fold_of(F.col("doc_id")) != 1
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & fold)
     share, n = known.agg(F.avg(F.col("quality").cast("double")), F.count(F.lit(1))).first()
     if not n or not share:
         return None
     mark = F.xxhash64("doc_id", F.lit("sample"))
-    ids = known.where("quality = 1").select("doc_id").distinct().orderBy(mark, "doc_id").limit(MAX_POSITIVE)
-    positive = table.join(F.broadcast(ids), "doc_id").orderBy(mark, "doc_id").limit(MAX_POSITIVE)
-    unlabelled = table.where(fold_of(F.col("doc_id")) != 1).orderBy(mark, "doc_id").limit(MAX_UNLABELLED)
-    xs = [np.array([r[0] for r in part.select("x").collect()], dtype=np.float64) for part in (positive, unlabelled)]
-    return fit(*xs, prior=float(min(0.98, share)))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    positive = known.where("quality = 1").select("doc_id").distinct().orderBy(mark, "doc_id").limit(MAX_POSITIVE).withColumn("known", F.lit(1))
+    others = slim.where(F.col("doc_id").isNotNull() & fold).select("doc_id").distinct().orderBy(mark, "doc_id").limit(MAX_UNLABELLED).withColumn("known", F.lit(0))
+    # at most MAX_POSITIVE + MAX_UNLABELLED ids
+    sample = slim.join(F.broadcast(positive.unionByName(others)), "doc_id")
+    got = feature_table(sample).orderBy(mark, "doc_id").limit(2 * (MAX_POSITIVE + MAX_UNLABELLED)).collect()
+    x, known_ = np.array([r["x"] for r in got]).reshape(-1, N_FEATURES), np.array([r["known"] for r in got])
+    return fit(x[known_ == 1], x[known_ == 0], prior=float(min(0.98, share)))
+
+
+def _judged(model, b: pa.RecordBatch, text_col: str) -> np.ndarray:
+    return model.value.score(_rows(b, text_col)) if model.value else np.full(b.num_rows, 0.5)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    table = durable(feature_table(docs), "quality-features")
-    model = docs.sparkSession.sparkContext.broadcast(train(table, labels))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = b.column("x").flatten().to_numpy().astype(np.float64).reshape(-1, N_FEATURES)
-            s = model.value.score(x) if model.value else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(s, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array(_judged(model, b, "text"), pa.float64())})
 
-    return table.mapInArrow(run, "doc_id long, score double").select(
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, score double").select(
         "doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text is predicted to be of quality 1, all columns kept."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_judged(model, b, "text") >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

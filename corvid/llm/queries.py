@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import ann, line_dedup, mixing, ngram_join, pieces, quality, secrets, sharding, vector_dedup
+from corvid.llm import ann, html_extract, line_dedup, mixing, ngram_join, pieces, quality, secrets, sharding, vector_dedup
 from corvid.storage import table
 
 
@@ -41,6 +41,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
@@ -50,7 +54,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_pieces, op4_secrets, op5_sharding, op6_vector_dedup, op7_quality, op9_line_dedup, op10_ann)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_pieces, op4_secrets, op5_sharding, op6_vector_dedup, op7_quality, op8_html, op9_line_dedup, op10_ann)}
 
 
 def oracle_sql() -> dict[str, str]:
