@@ -7,18 +7,21 @@ classes:
    corpus; shingles are ordered rare first.  Two sets with Jaccard >= t share one of
    the first ``|S| - ceil(t |S|) + 1`` shingles in any common order, so only this
    head of each set is indexed, packed by hash range into binary rows.
-2. *Groups.*  The classes under one shingle are tried against one leader; pairs that
-   reach t by exact comparison are links, and linked classes form groups.
-3. *Token-group matrix.*  For classes that share a head shingle with a class of
-   another group, the union of shingles of that group is stored as (group, token)
-   rows.  The overlap of the query set with the union bounds its overlap with every
-   member: only groups with ``|Q n U| >= t |Q|`` are opened, and only their members of
-   fitting size are compared, exactly.
+2. *Groups.*  The classes under one shingle are tried against its leader, one of
+   ``LEADERS`` by the shingle's low bits; pairs that reach t by exact comparison are
+   links, and linked classes form groups.
+3. *Token-group matrix.*  Where classes of two groups are within reach of each other
+   under a shingle (by size and by the places of the shingle in both), the smaller
+   side asks the other group.  The union of a group's shingles is stored in packed
+   rows (group, range).  The overlap of the asking set with the union bounds its
+   overlap with every member: only groups with ``|Q n U| >= t |Q|`` are opened, and
+   only their members within reach are compared, exactly.
 4. *Components* of all links.
 
 Members of a group are never paired with each other, so a group of near copies
-costs one comparison a member.  A group is opened only by classes that are not
-known to be connected with it, so no link between components is lost.
+costs a few comparisons a member.  A group is asked only by classes that are not
+known to be connected with it, and by all of those within reach, so no link between
+components is lost.
 
 Edge cases: null or empty texts have an empty set and link with nothing; texts of
 fewer than ``k`` words are one shingle; rows that repeat an id are one document with
@@ -44,6 +47,10 @@ SKETCH_BITS = 20
 _CHUNKS = 64
 #: Postings held by a task before they are handed on.
 _FLUSH = 1 << 20
+#: Leaders tried under different shingles of a class.
+LEADERS = 4
+#: Members whose shingles make one packed row of the token-group matrix.
+MEMBERS = 256
 #: Bits of the membership filter that saves shuffling sets nobody asks for.
 _FILTER_BITS = 23
 
@@ -69,17 +76,17 @@ def _with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def folded(arrays: DataFrame, how: str, dtype: str) -> list[tuple[int, bytes]]:
-    """Arrays of equal chunks (chunk, data) added or or-ed up: one array a chunk, whatever the number of rows.
+    """Arrays of equal chunks (chunk, data) added up as long or or-ed: one array a chunk, whatever the number of rows.
 
     The result has a fixed size (the caller's number of chunks times the chunk)."""
-    op = {"add": np.add, "or": np.bitwise_or}[how]
+    op, wide = (np.add, np.int64) if how == "add" else (np.bitwise_or, dtype)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 x = np.frombuffer(data, dtype=dtype)
-                total[chunk] = op(total[chunk], x) if chunk in total else x.copy()
+                total[chunk] = op(total[chunk], x) if chunk in total else x.astype(wide)
         if total:
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(total), pa.int32()), "data": pa.array([x.tobytes() for x in total.values()], pa.binary())})
 
@@ -104,7 +111,7 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
                 {"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "chunk": pa.nulls(len(n), pa.int32()), "data": pa.nulls(len(n), pa.binary())}
             )
         if seen:
-            parts = [x.astype(np.int32).tobytes() for x in np.split(counts, _CHUNKS)]
+            parts = [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(counts, _CHUNKS)]
             none = pa.nulls(_CHUNKS, pa.int64())
             yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "cls": none, "chunk": pa.array(range(_CHUNKS), pa.int32()), "data": pa.array(parts, pa.binary())}, schema=pa.schema(types))
 
@@ -115,14 +122,7 @@ def frequency_order(table: DataFrame) -> np.ndarray:
     """A coarse rank of each sketch bucket by its document count (log scale, one byte)."""
     counts = np.zeros(1 << SKETCH_BITS)
     width = len(counts) // _CHUNKS
-    wide = table.where("chunk is not null").select("chunk", "data")
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = [np.frombuffer(x, np.int32).astype(np.int64).tobytes() for x in b.column("data").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"chunk": b.column("chunk"), "data": pa.array(data, pa.binary())})
-
-    for chunk, data in folded(wide.mapInArrow(widen, "chunk int, data binary"), "add", "int64"):
+    for chunk, data in folded(table.where("chunk is not null").select("chunk", "data"), "add", "uint16"):
         counts[chunk * width : (chunk + 1) * width] = np.frombuffer(data, np.int64)
     return np.minimum(255, np.log2(1 + counts) * 6).astype(np.uint8)
 
@@ -183,8 +183,8 @@ def postings(docs: DataFrame, order, k: int, t: int, buckets: int) -> DataFrame:
 
 
 def leaders_and_lists(posted: DataFrame, t: int) -> DataFrame:
-    """Per bucket: pairs (a, b) of each class with the leader under a shingle, and the lists (sig, cls, size, most) of
-    shingles with three classes or more.  ``most`` is the largest partner the class can have through the shingle."""
+    """Per bucket: pairs (a, b) of each class with the leader under a shingle, and the shingles (lid) of three classes or
+    more, packed: c (class), z (size), m (the largest partner the class can have through the shingle)."""
 
     def reduce(table: pa.Table) -> pa.Table:
         col = {n: [np.frombuffer(x, d) for x in table.column(n).to_pylist()] for n, d in (("tok", np.uint32), ("doc", np.uint16), ("pos", np.uint16), ("cls", np.int64), ("size", np.int32))}
@@ -195,7 +195,8 @@ def leaders_and_lists(posted: DataFrame, t: int) -> DataFrame:
         del col
         # |x n y| >= t/(1+t) (|x|+|y|) and |x n y| <= |x| - pos bound the partner's size
         most = (size - pos) * (100 + t) // t - size
-        by = np.lexsort((cls, tok))
+        turn = mix64(cls.view(np.uint64) + (tok.astype(np.uint64) % np.uint64(LEADERS)) * np.uint64(0x9E3779B97F4A7C15))
+        by = np.lexsort((turn, tok))
         tok, cls, size, most = tok[by], cls[by], size[by], most[by]
         fresh = np.ones(len(tok), bool)
         fresh[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
@@ -204,34 +205,31 @@ def leaders_and_lists(posted: DataFrame, t: int) -> DataFrame:
         count = np.diff(np.r_[start, len(tok)])
         lead = np.repeat(start, count)
         fits = (np.arange(len(tok)) != lead) & (100 * np.minimum(size, size[lead]) >= t * np.maximum(size, size[lead])) & (most >= size[lead]) & (most[lead] >= size)
-        pairs = np.unique(np.stack([cls[fits], cls[lead[fits]]], 1), axis=0)
-        out = {"a": pairs[:, 0], "b": pairs[:, 1]}
-        lists: dict[int, tuple] = {}
+        ends = np.stack([np.maximum(cls[fits], cls[lead[fits]]), np.minimum(cls[fits], cls[lead[fits]])], 1)
+        pairs = np.unique(ends, axis=0)
+        lid, packed = [], ([], [], [])
         for s, n in zip(start[count > 2], count[count > 2], strict=True):
             c, z, m = cls[s : s + n], size[s : s + n], most[s : s + n]
             # an entry no other can reach by size is dropped
             zs = np.sort(z)
             reach = np.searchsorted(zs, np.minimum(m, z * 100 // t), "right") - np.searchsorted(zs, needed(t, z), "left")
-            own = (m >= z).astype(np.int64)
-            live = reach > own
-            if live.sum() < 2:
-                continue
-            c, z, m = c[live], z[live], m[live]
-            sig = int(mix64(np.array([mix64(c.view(np.uint64)).sum() + np.uint64(len(c))], np.uint64)).view(np.int64)[0])
-            had = lists.get(sig)
-            lists[sig] = (c, z, np.maximum(m, had[2]) if had else m)
-        n, m = len(pairs), len(lists)
-        cols = [[x[i].astype(np.int64).tobytes() for x in lists.values()] for i in range(3)]
+            live = reach > (m >= z)
+            if live.sum() > 1:
+                lid.append(int(tok[s]))
+                for out, x in zip(packed, (c, z, m), strict=True):
+                    out.append(x[live].tobytes())
+        n, k = len(pairs), len(lid)
         return pa.table(
             {
-                "a": pa.concat_arrays([pa.array(out["a"], pa.int64()), pa.nulls(m, pa.int64())]),
-                "b": pa.concat_arrays([pa.array(out["b"], pa.int64()), pa.nulls(m, pa.int64())]),
-                "sig": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(list(lists), pa.int64())]),
-                **{f"l{i}": pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(cols[i], pa.binary())]) for i in range(3)},
+                "a": pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), pa.nulls(k, pa.int64())]),
+                "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(k, pa.int64())]),
+                "bucket": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array([table.column("bucket")[0].as_py()] * k, pa.int32())]),
+                "lid": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(lid, pa.int64())]),
+                **{name: pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(x, pa.binary())]) for name, x in zip("czm", packed, strict=True)},
             }
         )
 
-    return posted.groupBy("bucket").applyInArrow(reduce, "a long, b long, sig long, l0 binary, l1 binary, l2 binary")
+    return posted.groupBy("bucket").applyInArrow(reduce, "a long, b long, bucket int, lid long, c binary, z binary, m binary")
 
 
 def _asked(spark: SparkSession, ids: DataFrame):
@@ -252,6 +250,10 @@ def _asked(spark: SparkSession, ids: DataFrame):
     return spark.sparkContext.broadcast(whole)
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("c"))
+
+
 def class_sets(docs: DataFrame, asked, k: int) -> DataFrame:
     """cls and its sorted shingles (packed) of every class the filter lets through, copies of a task once."""
 
@@ -301,58 +303,74 @@ def linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     return full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
-def _members(lists: DataFrame) -> DataFrame:
-    """sig, c, z, m: the lists, one row a member."""
+def _entries(lists: DataFrame) -> DataFrame:
+    """bucket, lid, c, z, m: the lists, one row an entry."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for sig, *cols in zip(*[b.column(n).to_pylist() for n in ("sig", "l0", "l1", "l2")], strict=True):
+        for batch in batches:
+            for bucket, lid, *cols in zip(*[batch.column(n).to_pylist() for n in ("bucket", "lid", "c", "z", "m")], strict=True):
                 c, z, m = (np.frombuffer(x, np.int64) for x in cols)
-                yield pa.RecordBatch.from_pydict({"sig": np.full(len(c), sig), "c": c, "z": z, "m": m})
-
-    return lists.mapInArrow(spread, "sig long, c long, z long, m long")
-
-
-def queries_and_groups(lists: DataFrame, group_of: DataFrame, t: int) -> DataFrame:
-    """(q, g): classes and the other groups that have a member within reach under a shared shingle."""
-    one = lists.dropDuplicates(["sig"])
-    placed = _members(one).join(group_of, F.col("c") == F.col("node"), "left").select("sig", "c", "z", "m", F.coalesce("component", "c").alias("g"))
-    # per list and group only the span of sizes counts; a list all in one group is settled
-    spans = placed.groupBy("sig", "g").agg(F.min("z").alias("z0"), F.max("z").alias("z1"), F.max("m").alias("m1"))
-    mixed = spans.groupBy("sig").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("sig")
-    left = placed.join(mixed, "sig", "left_semi").alias("x")
-    right = spans.join(mixed, "sig", "left_semi").alias("y")
-    near = (
-        (F.col("x.g") != F.col("y.g")) & (F.col("x.m") >= F.col("y.z0")) & (F.col("y.m1") >= F.col("x.z"))
-        & (F.col("y.z1") * 100 >= F.col("x.z") * t) & (F.col("x.z") * 100 >= F.col("y.z0") * t)
-    )
-    return left.join(right, F.col("x.sig") == F.col("y.sig")).where(near).select(F.col("x.c").alias("q"), F.col("x.z").alias("qz"), F.col("y.g").alias("g")).distinct()
+                yield pa.RecordBatch.from_pydict({"bucket": np.full(len(c), bucket, np.int32), "lid": np.full(len(c), lid), "c": c, "z": z, "m": m})
+
+    return lists.mapInArrow(spread, "bucket int, lid long, c long, z long, m long")
+
+
+def cross_pairs(lists: DataFrame, group_of: DataFrame, t: int) -> DataFrame:
+    """q, qz, y, g: classes of different groups within reach under a shingle; g is the group of y."""
+    placed = _entries(lists).join(group_of, F.col("c") == F.col("node"), "left").select("bucket", "lid", "c", "z", "m", F.coalesce("component", "c").alias("g"))
+    # a list all in one group is settled
+    mixed = placed.groupBy("bucket", "lid").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("bucket", "lid")
 
+    def cross(table: pa.Table) -> pa.Table:
+        c, z, m, g = (table.column(n).to_numpy() for n in "czmg")
+        # the group of most entries is asked by all others; they ask each other too
+        groups, at, n = np.unique(g, return_inverse=True, return_counts=True)
+        other = np.flatnonzero(at != n.argmax())
+        out = []
+        for lo in range(0, len(other), 256):
+            i = other[lo : lo + 256]
+            ok = (m[i][:, None] >= z) & (m >= z[i][:, None]) & (100 * z[i][:, None] >= t * z) & (100 * z >= t * z[i][:, None])
+            ok &= (g[i][:, None] != g) & ((at == n.argmax()) | (c[i][:, None] < c))
+            a, b = np.nonzero(ok)
+            out.append(np.stack([c[i][a], z[i][a], c[b], g[b]]))
+        got = np.concatenate(out, 1) if out else np.empty((4, 0), np.int64)
+        return pa.table(dict(zip(("q", "qz", "y", "g"), got, strict=True)))
 
-def open_groups(asks: DataFrame, group_of: DataFrame, sizes: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Pairs (a, b) to compare: each query with the fitting members of the groups its overlap bound lets it open."""
+    return placed.join(mixed, ["bucket", "lid"], "left_semi").groupBy("bucket", "lid").applyInArrow(cross, "q long, qz long, y long, g long").distinct()
+
+
+def qualifying(asks: DataFrame, group_of: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """(q, g) of ``asks`` (q, qz, g) whose overlap with the union of the group's shingles lets the group be opened."""
     groups = asks.select("g").distinct()
     members = groups.join(group_of, F.col("g") == F.col("component"), "left").select("g", F.coalesce("node", "g").alias("c"))
+    parts = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("long").alias("parts"))
+    one = sets.dropDuplicates(["cls"])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, data in zip(b.column("k").to_pylist(), b.column("tokens"), strict=True):
-                x = np.frombuffer(data.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_pydict({"k": np.full(len(x), key), "tok": x})
+    def split(key: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for g, k, parts, data in zip(*[batch.column(n) for n in ("g", key, "parts", "tokens")], strict=True):
+                    x, n = np.frombuffer(data.as_buffer(), np.uint64), parts.as_py()
+                    cut = [x] if n == 1 else [x[x % np.uint64(n) == np.uint64(r)] for r in range(n)]
+                    yield pa.RecordBatch.from_pydict({"g": np.full(n, g.as_py()), "r": np.arange(n), "k": np.full(n, k.as_py()), "tokens": pa.array([c.tobytes() for c in cut], pa.binary())})
 
-    one = sets.dropDuplicates(["cls"])
-    union = members.join(one, F.col("c") == F.col("cls")).select(F.col("g").alias("k"), "tokens").mapInArrow(tokens, "k long, tok long").distinct()
-    asked = asks.select("q").distinct().join(one, F.col("q") == F.col("cls")).select(F.col("q").alias("k"), "tokens").mapInArrow(tokens, "k long, tok long")
-    overlap = (
-        asks.join(asked.withColumnRenamed("k", "q"), "q").join(union.withColumnRenamed("k", "g"), ["g", "tok"])
-        .groupBy("q", "g", "qz").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * 100 >= F.col("qz") * t)
-    )
-    fitting = members.join(sizes, F.col("c") == F.col("cls")).select("g", "c", "n")
-    return (
-        overlap.select("q", "g", "qz").join(fitting, "g")
-        .where((F.col("n") * 100 >= F.col("qz") * t) & (F.col("qz") * 100 >= F.col("n") * t))
-        .select(F.greatest("q", "c").alias("a"), F.least("q", "c").alias("b")).where("a <> b").distinct()
-    )
+        return run
+
+    kind = "g long, r long, k long, tokens binary"
+    union = members.join(parts, "g").join(one, F.col("c") == F.col("cls")).select("g", "c", "parts", "tokens").mapInArrow(split("c"), kind)
+    asking = asks.select("q", "g").join(parts, "g").join(one, F.col("q") == F.col("cls")).select("g", "q", "parts", "tokens").mapInArrow(split("q"), kind)
+
+    def bound(u: pa.Table, q: pa.Table) -> pa.Table:
+        whole = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in u.column("tokens").to_pylist()] or [np.empty(0, np.uint64)]))
+        n = []
+        for x in q.column("tokens").to_pylist():
+            x = np.frombuffer(x, np.uint64)
+            at = np.searchsorted(whole, x)
+            n.append(int((whole[np.minimum(at, len(whole) - 1)] == x).sum()) if len(whole) else 0)
+        return pa.table({"q": q.column("k"), "g": q.column("g"), "n": pa.array(n, pa.int64())})
+
+    overlap = union.groupBy("g", "r").cogroup(asking.groupBy("g", "r")).applyInArrow(bound, "q long, g long, n long")
+    return overlap.groupBy("q", "g").agg(F.sum("n").alias("n")).join(asks, ["q", "g"]).where(F.col("n") * 100 >= F.col("qz") * t).select("q", "g")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
@@ -365,19 +383,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = durable(leaders_and_lists(postings(slim, order, k, percent, buckets), percent), "ngram-lists")
     pairs = durable(found.where("a is not null").select("a", "b").distinct(), "ngram-pairs")
-    lists = found.where("sig is not null").select("sig", "l0", "l1", "l2")
-    asked = _asked(spark, pairs.select(F.explode(F.array("a", "b")).alias("c")))
-    links = durable(linked(pairs, class_sets(slim, asked, k), percent), "ngram-links")
+    lists = found.where("lid is not null").select("bucket", "lid", "c", "z", "m")
+    links = durable(linked(pairs, class_sets(slim, _asked(spark, _ends(pairs)), k), percent), "ngram-links")
     groups = durable(components(links), "ngram-groups")
-    asks = durable(queries_and_groups(lists, groups, percent), "ngram-asks")
-    if not asks.isEmpty():
-        sizes = rows.where("cls is not null").groupBy("cls").agg(F.max("n").alias("n"))
+    near = cross_pairs(lists, groups, percent).withColumns({"a": F.greatest("q", "y"), "b": F.least("q", "y")})
+    near = durable(near.join(pairs, ["a", "b"], "left_anti"), "ngram-cross")  # what was compared is known
+    if not near.isEmpty():
+        asks = near.select("q", "qz", "g").distinct()
         ids = asks.select(F.col("q").alias("c")).unionByName(asks.select(F.col("g").alias("c"))).unionByName(
             asks.select("g").distinct().join(groups, F.col("g") == F.col("component")).select(F.col("node").alias("c"))
         )
-        sets = class_sets(slim, _asked(spark, ids), k)
-        opened = durable(open_groups(asks, groups, sizes, sets, percent), "ngram-opened")
-        more = linked(opened, class_sets(slim, _asked(spark, opened.select(F.explode(F.array("a", "b")).alias("c"))), k), percent)
+        opened = durable(near.join(qualifying(asks, groups, class_sets(slim, _asked(spark, ids), k), percent), ["q", "g"]).select("a", "b").distinct(), "ngram-opened")
+        more = linked(opened, class_sets(slim, _asked(spark, _ends(opened)), k), percent)
         groups = components(links.unionByName(more))
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     labelled = least.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("label"))
