@@ -496,7 +496,7 @@ def prediction_flips(spark, sf):
     return progress.flips(p)
 
 
-_SLOPE = f"SELECT round(regr_slope(cost, CAST(step AS DOUBLE)) / avg(cost), 4) AS slope, count(*) AS valid FROM ({_COST}), (SELECT count(*) AS n FROM ({_COST})) WHERE step >= n - 10"
+_SLOPE = f"SELECT CASE WHEN count(*) < 2 THEN 0.0 ELSE round(regr_slope(cost, CAST(step AS DOUBLE)) / avg(cost), 4) END AS slope, count(*) AS valid FROM ({_COST}), (SELECT count(*) AS n FROM ({_COST})) WHERE step >= n - 10"
 
 
 @query(f"SELECT slope FROM ({_SLOPE})")

@@ -35,7 +35,7 @@ def folder(
 ) -> DataFrame:
     """Clips of a folder, by path: files of the media type's extensions, embedded; those that can't be are skipped.
 
-    ``thin`` keeps no bytes in the result.  ``vectors`` (filename, vector, md5) replace embedding and hash by base name."""
+    Files of length 0 hold nothing and are not listed.  ``thin`` keeps no bytes in the result.  ``vectors`` (filename, vector, md5) replace embedding and hash by base name."""
     if media_type not in EXTENSIONS:
         raise ValueError(f"unknown media type {media_type}")
     ship(spark)
