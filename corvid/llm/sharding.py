@@ -23,10 +23,8 @@ N_VSLOTS = 4096
 
 def virtual_slot(record_id: Column, text: Column, n_vslots: int = N_VSLOTS) -> Column:
     """Slot of a record: a hash of its id, or of its text where the id is null."""
-    return F.pmod(F.coalesce(F.xxhash64(record_id, F.lit("vslot")).cast("long"), F.lit(0)), F.lit(n_vslots)).cast("int") \
-        if text is None else F.pmod(
-            F.when(record_id.isNull(), F.xxhash64(text, F.lit("vslot"))).otherwise(F.xxhash64(record_id, F.lit("vslot"))),
-            F.lit(n_vslots)).cast("int")
+    mark = F.when(record_id.isNull(), F.xxhash64(text, F.lit("vslot"))).otherwise(F.xxhash64(record_id, F.lit("vslot")))
+    return F.pmod(mark, F.lit(n_vslots)).cast("int")
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_vslots: int = N_VSLOTS) -> DataFrame:
@@ -78,13 +76,13 @@ def first_map(loads: DataFrame, n_shards: int) -> DataFrame:
 
 
 def rebalance(old: DataFrame, loads: DataFrame, n_shards: int) -> DataFrame:
-    """The next version of ``old`` for ``n_shards``: slots beyond a shard's fair share move, all others stay.
+    """The next version of ``old`` for ``n_shards``: slots that begin beyond a shard's fair share move, all others stay.
 
-    Growing by one shard moves slots only into the new one, as no old shard is below its new share."""
+    Growing by one shard moves slots only into the new one: every old shard keeps its share at least."""
     now = old.select("version", "vslot", "shard").join(F.broadcast(loads.select("vslot", "bytes")), "vslot", "left").fillna(0, ["bytes"])
     by_shard = Window.partitionBy("shard").orderBy("vslot")
     share = F.sum("bytes").over(Window.partitionBy()) / F.lit(n_shards)
-    now = now.withColumn("stays", (F.col("shard") < n_shards) & (F.sum("bytes").over(by_shard) <= share))
+    now = now.withColumn("stays", (F.col("shard") < n_shards) & (F.sum("bytes").over(by_shard) - F.col("bytes") < share))
     version = F.max("version").over(Window.partitionBy()) + 1
     now = now.withColumn("next", version)
     kept = now.where("stays")
