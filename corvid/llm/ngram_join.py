@@ -12,14 +12,16 @@ classes:
    links, and linked classes form groups.
 3. *Token-group matrix.*  Where classes of two groups are within reach of each other
    under a shingle (by size and by the places of the shingle in both), the smaller
-   side asks the other group.  The union of a group's shingles is stored in packed
-   rows (group, range).  The overlap of the asking set with the union bounds its
-   overlap with every member: only groups with ``|Q n U| >= t |Q|`` are opened, and
-   only their members within reach are compared, exactly.
+   side first probes ``PROBES`` members of the other group; what links is merged.
+   What is not settled by that asks the whole group: the union of the group's
+   shingles is stored in packed rows (group, range), the overlap of the asking set
+   with it bounds the overlap with every member, and only groups with
+   ``|Q n U| >= t |Q|`` are opened, all members of fitting size compared exactly.
 4. *Components* of all links.
 
 Members of a group are never paired with each other, so a group of near copies
-costs a few comparisons a member.  A group is asked only by classes that are not
+costs a few comparisons a member.  Sets are compared by the first 40 bits of their
+shingles' hashes: a pair miscounts by one with probability |x| |y| / 2^40.  A group is asked only by classes that are not
 known to be connected with it, and by all of those within reach, so no link between
 components is lost.
 
@@ -49,6 +51,8 @@ _CHUNKS = 64
 _FLUSH = 1 << 20
 #: Leaders tried under different shingles of a class.
 LEADERS = 4
+#: Members of another group that a class is compared with before it asks the group.
+PROBES = 3
 #: Members whose shingles make one packed row of the token-group matrix.
 MEMBERS = 256
 #: Bits of the membership filter that saves shuffling sets nobody asks for.
@@ -254,6 +258,18 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("c"))
 
 
+def pack(s: np.ndarray) -> bytes:
+    """The first 40 bits of sorted hashes, five bytes each."""
+    return np.unique(s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpack(data) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view("<u8").ravel()
+
+
 def class_sets(docs: DataFrame, asked, k: int) -> DataFrame:
     """cls and its sorted shingles (packed) of every class the filter lets through, copies of a task once."""
 
@@ -272,7 +288,7 @@ def class_sets(docs: DataFrame, asked, k: int) -> DataFrame:
                 if len(seen) < 1_000_000:
                     seen.add(c)
                 cls.append(c)
-                data.append(s.tobytes())
+                data.append(pack(s))
                 size += len(data[-1])
                 if size > 1 << 24:
                     yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "tokens": pa.array(data, pa.binary())})
@@ -290,7 +306,7 @@ def linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("ta"), b.column("tb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpack(x.as_buffer()), unpack(y.as_buffer())
                 both = np.concatenate([x, y])
                 both.sort()
                 n = int((both[1:] == both[:-1]).sum())
@@ -316,27 +332,39 @@ def _entries(lists: DataFrame) -> DataFrame:
 
 
 def cross_pairs(lists: DataFrame, group_of: DataFrame, t: int) -> DataFrame:
-    """q, qz, y, g: classes of different groups within reach under a shingle; g is the group of y."""
+    """q, qz, g, y, more: classes within reach of another group under a shingle, PROBES members y of it, and whether
+    there are more than those."""
     placed = _entries(lists).join(group_of, F.col("c") == F.col("node"), "left").select("bucket", "lid", "c", "z", "m", F.coalesce("component", "c").alias("g"))
     # a list all in one group is settled
     mixed = placed.groupBy("bucket", "lid").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("bucket", "lid")
 
     def cross(table: pa.Table) -> pa.Table:
-        c, z, m, g = (table.column(n).to_numpy() for n in "czmg")
-        # the group of most entries is asked by all others; they ask each other too
-        groups, at, n = np.unique(g, return_inverse=True, return_counts=True)
-        other = np.flatnonzero(at != n.argmax())
+        lid, *cols = (table.column(n).to_numpy() for n in ("lid", "c", "z", "m", "g"))
+        by = np.argsort(lid, kind="stable")
+        lid, cols = lid[by], [x[by] for x in cols]
+        turn = mix64(cols[0].view(np.uint64))
         out = []
-        for lo in range(0, len(other), 256):
-            i = other[lo : lo + 256]
-            ok = (m[i][:, None] >= z) & (m >= z[i][:, None]) & (100 * z[i][:, None] >= t * z) & (100 * z >= t * z[i][:, None])
-            ok &= (g[i][:, None] != g) & ((at == n.argmax()) | (c[i][:, None] < c))
-            a, b = np.nonzero(ok)
-            out.append(np.stack([c[i][a], z[i][a], c[b], g[b]]))
-        got = np.concatenate(out, 1) if out else np.empty((4, 0), np.int64)
-        return pa.table(dict(zip(("q", "qz", "y", "g"), got, strict=True)))
-
-    return placed.join(mixed, ["bucket", "lid"], "left_semi").groupBy("bucket", "lid").applyInArrow(cross, "q long, qz long, y long, g long").distinct()
+        cuts = np.flatnonzero(np.r_[True, lid[1:] != lid[:-1], True])
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            order = lo + np.lexsort((turn[lo:hi], cols[3][lo:hi]))  # by group, then by a hash
+            c, z, m, g = (x[order] for x in cols)
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            n = np.diff(np.r_[first, len(g)])
+            main = n.argmax()
+            other = np.flatnonzero(g != g[first[main]])
+            for i in np.array_split(other, -(-len(other) // 256)):
+                # the group of most entries is asked by all others; those ask each other in one direction
+                ok = (m[i][:, None] >= z) & (m >= z[i][:, None]) & (100 * z[i][:, None] >= t * z) & (100 * z >= t * z[i][:, None])
+                ok &= (g == g[first[main]]) | (g[i][:, None] < g)
+                run = np.cumsum(ok, 1)
+                place = run - np.repeat(np.concatenate([np.zeros((len(i), 1), run.dtype), run[:, first[1:] - 1]], 1), n, axis=1)
+                a, b = np.nonzero(ok & (place <= PROBES + 1))
+                out.append(np.stack([c[i][a], z[i][a], g[b], c[b], place[a, b] > PROBES]))
+        got = np.unique(np.concatenate(out, 1), axis=1) if out else np.empty((5, 0), np.int64)
+        return pa.table(dict(zip(("q", "qz", "g", "y", "more"), got, strict=True)))
+
+    rows = placed.join(mixed, ["bucket", "lid"], "left_semi").groupBy("bucket").applyInArrow(cross, "q long, qz long, g long, y long, more long")
+    return rows.groupBy("q", "qz", "g", "y").agg(F.max("more").alias("more")).withColumns({"a": F.greatest("q", "y"), "b": F.least("q", "y")})
 
 
 def qualifying(asks: DataFrame, group_of: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -350,9 +378,9 @@ def qualifying(asks: DataFrame, group_of: DataFrame, sets: DataFrame, t: int) ->
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for g, k, parts, data in zip(*[batch.column(n) for n in ("g", key, "parts", "tokens")], strict=True):
-                    x, n = np.frombuffer(data.as_buffer(), np.uint64), parts.as_py()
+                    x, n = unpack(data.as_buffer()), parts.as_py()
                     cut = [x] if n == 1 else [x[x % np.uint64(n) == np.uint64(r)] for r in range(n)]
-                    yield pa.RecordBatch.from_pydict({"g": np.full(n, g.as_py()), "r": np.arange(n), "k": np.full(n, k.as_py()), "tokens": pa.array([c.tobytes() for c in cut], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"g": np.full(n, g.as_py()), "r": np.arange(n), "k": np.full(n, k.as_py()), "tokens": pa.array([c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for c in cut], pa.binary())})
 
         return run
 
@@ -361,10 +389,10 @@ def qualifying(asks: DataFrame, group_of: DataFrame, sets: DataFrame, t: int) ->
     asking = asks.select("q", "g").join(parts, "g").join(one, F.col("q") == F.col("cls")).select("g", "q", "parts", "tokens").mapInArrow(split("q"), kind)
 
     def bound(u: pa.Table, q: pa.Table) -> pa.Table:
-        whole = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in u.column("tokens").to_pylist()] or [np.empty(0, np.uint64)]))
+        whole = np.unique(np.concatenate([unpack(x) for x in u.column("tokens").to_pylist()] or [np.empty(0, np.uint64)]))
         n = []
         for x in q.column("tokens").to_pylist():
-            x = np.frombuffer(x, np.uint64)
+            x = unpack(x)
             at = np.searchsorted(whole, x)
             n.append(int((whole[np.minimum(at, len(whole) - 1)] == x).sum()) if len(whole) else 0)
         return pa.table({"q": q.column("k"), "g": q.column("g"), "n": pa.array(n, pa.int64())})
@@ -386,16 +414,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = found.where("lid is not null").select("bucket", "lid", "c", "z", "m")
     links = durable(linked(pairs, class_sets(slim, _asked(spark, _ends(pairs)), k), percent), "ngram-links")
     groups = durable(components(links), "ngram-groups")
-    near = cross_pairs(lists, groups, percent).withColumns({"a": F.greatest("q", "y"), "b": F.least("q", "y")})
-    near = durable(near.join(pairs, ["a", "b"], "left_anti"), "ngram-cross")  # what was compared is known
-    if not near.isEmpty():
-        asks = near.select("q", "qz", "g").distinct()
-        ids = asks.select(F.col("q").alias("c")).unionByName(asks.select(F.col("g").alias("c"))).unionByName(
-            asks.select("g").distinct().join(groups, F.col("g") == F.col("component")).select(F.col("node").alias("c"))
-        )
-        opened = durable(near.join(qualifying(asks, groups, class_sets(slim, _asked(spark, ids), k), percent), ["q", "g"]).select("a", "b").distinct(), "ngram-opened")
-        more = linked(opened, class_sets(slim, _asked(spark, _ends(opened)), k), percent)
-        groups = components(links.unionByName(more))
+    probes = durable(cross_pairs(lists, groups, percent).where("more = 0").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-probes")
+    if not probes.isEmpty():
+        known = pairs.unionByName(probes)
+        links = links.unionByName(durable(linked(probes, class_sets(slim, _asked(spark, _ends(probes)), k), percent), "ngram-links"))
+        groups = durable(components(links), "ngram-groups")
+        near = cross_pairs(lists, groups, percent)
+        # a class that met all members within reach of a group has nothing to ask
+        asks = near.where("more = 1").select("q", "qz", "g").unionByName(near.join(known, ["a", "b"], "left_anti").select("q", "qz", "g")).distinct()
+        asks = durable(asks, "ngram-asks")
+        if not asks.isEmpty():
+            members = asks.select("g").distinct().join(groups, F.col("g") == F.col("component"), "left").select("g", F.coalesce("node", "g").alias("c"))
+            ids = asks.select(F.col("q").alias("c")).unionByName(members.select("c"))
+            passed = qualifying(asks, groups, class_sets(slim, _asked(spark, ids), k), percent)
+            sizes = rows.where("cls is not null").groupBy("cls").agg(F.max("n").alias("n"))
+            fitting = passed.join(asks, ["q", "g"]).join(members, "g").join(sizes, F.col("c") == F.col("cls"))
+            fitting = fitting.where((F.col("n") * 100 >= F.col("qz") * percent) & (F.col("qz") * 100 >= F.col("n") * percent))
+            opened = fitting.select(F.greatest("q", "c").alias("a"), F.least("q", "c").alias("b")).where("a <> b").distinct()
+            opened = durable(opened.join(known, ["a", "b"], "left_anti"), "ngram-opened")
+            more = linked(opened, class_sets(slim, _asked(spark, _ends(opened)), k), percent)
+            groups = components(links.unionByName(more))
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     labelled = least.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("label"))
     firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
