@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op6_vector_dedup": vector_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL}

@@ -169,3 +169,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     linked = keyed.select("vec_id", "label", "h1", "h2").join(per_class, ["label", "h1", "h2"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.a, r.c FROM l JOIN r ON l.b = r.a),
+m AS (SELECT a, min(c) AS c FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, m.c AS component_id, e.vec_id = m.c AS kept
+FROM embeddings e JOIN m ON m.a = e.vec_id LEFT JOIN k ON k.a = e.vec_id
+"""
