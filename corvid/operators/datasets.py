@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.scalars import origin_key, text_of
+from corvid.storage import durable
 
 
 def dedup_by_md5(clips: DataFrame) -> DataFrame:
@@ -22,23 +23,17 @@ def dedup_by_md5(clips: DataFrame) -> DataFrame:
     return kept.unionByName(clips.where(text_of("md5").isNull()).select(*kept.columns))
 
 
-def renumber(clips: DataFrame, *order: str, column: str = "clip_id", chunks: int = 4096) -> DataFrame:
+def renumber(clips: DataFrame, *order: str, column: str = "clip_id") -> DataFrame:
     """Ids 1..n in the given order.
 
-    Rows are dealt to ranges of the first order column by quantiles; only the counts of ranges are summed in one task."""
-    key = F.struct(*order)
-    first = order[0]
-    kind = clips.schema[first].dataType.typeName()
-    if kind not in ("long", "integer", "short", "byte"):
-        return clips.withColumn(column, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    low, high = clips.agg(F.min(first), F.max(first)).first()
-    if low is None:
-        return clips.withColumn(column, F.lit(None).cast("long"))
-    width = max(1, -(-(high - low + 1) // chunks))
-    cut = clips.withColumn("__c", F.floor((F.coalesce(F.col(first), F.lit(low)) - low) / width).cast("int"))
+    Rows are dealt to sorted ranges and written, so that the ranges stay as they are; each range numbers its own rows,
+    and only the counts of ranges are summed in one task."""
+    n = max(1, int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = durable(clips.repartitionByRange(n, *order).withColumn("__c", F.spark_partition_id()), "renumber")
     before = cut.groupBy("__c").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.sum("n").over(Window.orderBy("__c")) - F.col("n")).drop("n")
-    n = F.row_number().over(Window.partitionBy("__c").orderBy(key))
-    return cut.withColumn("__n", n).join(F.broadcast(before), "__c").withColumn(column, (F.col("__n") + F.col("b")).cast("long")).drop("__c", "__n", "b")
+    own = F.row_number().over(Window.partitionBy("__c").orderBy(*order))
+    # one row a range
+    return cut.withColumn("__n", own).join(F.broadcast(before), "__c").withColumn(column, (F.col("__n") + F.col("b")).cast("long")).drop("__c", "__n", "b")
 
 
 def combine(parts: list[DataFrame], names: list[str] | None = None) -> DataFrame:

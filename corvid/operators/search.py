@@ -116,12 +116,18 @@ def learned_sort(
 def next_clip_hard(ranked: DataFrame, labelled: DataFrame, threshold: float) -> DataFrame:
     """The unlabelled clip whose place is nearest to the threshold's place; ties by score distance, then place.
 
-    Places come from counts of better rows, and only the best row is kept."""
-    idx = F.row_number().over(Window.orderBy(F.desc("score"), "clip_id")) - 1
-    placed = ranked.select("clip_id", "score", idx.alias("idx"))
-    at = ranked.agg(F.count_if(F.col("score") >= threshold).alias("t"))
-    open_ = placed.join(labelled.select("clip_id"), "clip_id", "left_anti").crossJoin(F.broadcast(at))
-    return open_.orderBy(F.abs(F.col("idx") - F.col("t")), F.abs(F.col("score") - threshold), "idx").limit(1).select("clip_id", "score", F.col("idx").cast("long").alias("idx"))
+    It is the last open clip at or above the threshold or the first one below it: two top-1 plans, and one count
+    of the rows before each, so the collection is never sorted as a whole."""
+    open_ = ranked.join(labelled.select("clip_id"), "clip_id", "left_anti").select("clip_id", "score")
+    above = open_.where(F.col("score") >= threshold).orderBy("score", F.desc("clip_id")).limit(1)
+    below = open_.where(F.col("score") < threshold).orderBy(F.desc("score"), "clip_id").limit(1)
+    two = above.unionByName(below).select(F.col("clip_id").alias("id"), F.col("score").alias("s"))
+    before = (F.col("score") > F.col("s")) | (F.col("score") == F.col("s")) & (F.col("clip_id") < F.col("id"))
+    placed = ranked.select("clip_id", "score").crossJoin(F.broadcast(two)).groupBy("id", "s").agg(
+        F.count_if(before).alias("idx"), F.count_if(F.col("score") >= threshold).alias("t")
+    )
+    best = placed.orderBy(F.abs(F.col("idx") - F.col("t")), F.abs(F.col("s") - threshold), "idx").limit(1)
+    return best.select(F.col("id").alias("clip_id"), F.col("s").alias("score"), F.col("idx").cast("long").alias("idx"))
 
 
 def next_clip_top(ranked: DataFrame, labelled: DataFrame) -> DataFrame:
