@@ -401,6 +401,11 @@ def qualifying(asks: DataFrame, group_of: DataFrame, sets: DataFrame, t: int) ->
     return overlap.groupBy("q", "g").agg(F.sum("n").alias("n")).join(asks, ["q", "g"]).where(F.col("n") * 100 >= F.col("qz") * t).select("q", "g")
 
 
+def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The components (node, component) after more links: the known ones count as links to their least node, so the rounds start from stars."""
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id of every document: Jaccard of k-word shingles >= percent / 100."""
     spark = docs.sparkSession
@@ -417,8 +422,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     probes = durable(cross_pairs(lists, groups, percent).where("more = 0").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-probes")
     if not probes.isEmpty():
         known = pairs.unionByName(probes)
-        links = links.unionByName(durable(linked(probes, class_sets(slim, _asked(spark, _ends(probes)), k), percent), "ngram-links"))
-        groups = durable(components(links), "ngram-groups")
+        groups = durable(grown(groups, linked(probes, class_sets(slim, _asked(spark, _ends(probes)), k), percent)), "ngram-groups")
         near = cross_pairs(lists, groups, percent)
         # a class that met all members within reach of a group has nothing to ask
         asks = near.where("more = 1").select("q", "qz", "g").unionByName(near.join(known, ["a", "b"], "left_anti").select("q", "qz", "g")).distinct()
@@ -432,8 +436,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             fitting = fitting.where((F.col("n") * 100 >= F.col("qz") * percent) & (F.col("qz") * 100 >= F.col("n") * percent))
             opened = fitting.select(F.greatest("q", "c").alias("a"), F.least("q", "c").alias("b")).where("a <> b").distinct()
             opened = durable(opened.join(known, ["a", "b"], "left_anti"), "ngram-opened")
-            more = linked(opened, class_sets(slim, _asked(spark, _ends(opened)), k), percent)
-            groups = components(links.unionByName(more))
+            groups = grown(groups, linked(opened, class_sets(slim, _asked(spark, _ends(opened)), k), percent))
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     labelled = least.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("label"))
     firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
