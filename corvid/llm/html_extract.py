@@ -1,11 +1,12 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
-Up to ``SAMPLE`` pages of each host are parsed into trees and aligned pairwise by simple
-tree matching.  A matched node whose text is the same on (nearly) all pages is template;
-a node whose text changes is a slot.  The wrapper of a host is the path of its content
-region, the deepest path that holds most of the changing text outside menus and the like,
-and the template paths within it.  It is a small row (host, wrapper), joined to the pages
-by host; each page is then read once, in order, with a stack and without a tree.
+All pages of a host are aligned by the paths of their elements, equal siblings as one, over
+counts of (host, path, text) made in Spark.  A text that stands on nearly all pages with its
+path is repeated; a block element with a class or id is template, and left out, where its own
+whole text is repeated.  The wrapper of a layout (the set of a page's containers) is its
+region: the smallest container around every text block of all its pages that is neither
+template nor repeated.  Counts and wrappers are small rows, joined to the pages by host and
+layout; each page is read in order, with a stack and without a tree.
 
 Block rules: block elements part the text; inside a block white space becomes one space;
 blocks are joined by two line feeds.  Menus, headers and footers of the page, sidebars,
@@ -13,31 +14,31 @@ notices, adverts, forms, scripts, styles and reader comments are left out by ele
 role, class or id, inside the region too; a header inside an article is part of it.
 
 Edge cases: null and empty html give an empty text; a null url or one without a host shares
-a nameless host; a page without the host's region falls back to its article, main or body;
+a nameless host; a page of a layout without changing text, or left without text, falls back to its article, main or body;
 unclosed elements end with their parent or the next block; repeated rows give equal texts;
 extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
-import json
+import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvid.storage import durable
 
-#: Pages of a host the wrapper is induced from, by the order of a hash of the id.
-SAMPLE = 6
-#: Nodes of a page that take part in the matching; the rest of a longer page is not needed to find its region.
-MAX_NODES = 400
-#: Share of the pages on which a node's text must be the same to be template.
-CONSTANT = 0.8
+#: Share of the pages with a place on which a text must be the same to be template, and the least number of them.
+CONSTANT, LEAST = 0.8, 3
+#: Ends each step of a path where paths are compared; marks of runs of blocks are sums by this base and prime.
+_END, _BASE, _PRIME = "\x01", 1_000_003, (1 << 61) - 1
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -55,6 +56,8 @@ NAMES = frozenset(
     footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion related
     replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget""".split()
 )
+#: Elements that may be a content region.
+REGIONS = frozenset("html body main article section div center".split())
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 INLINE_CLOSED = frozenset("b i em strong a span u s small big font code sub sup mark q cite abbr label".split())
 
@@ -122,167 +125,140 @@ def left_out(tag: str, named: bool, in_article: bool) -> bool:
     return tag in DROPPED or tag == "header" and not in_article or named and tag not in ("html", "body", "main", "article")
 
 
-class Node:
-    """An element of a sampled page."""
-
-    __slots__ = ("label", "path", "dropped", "children", "text")
-
-    def __init__(self, label: str, path: str, dropped: bool):
-        self.label, self.path, self.dropped, self.children, self.text = label, path, dropped, [], ""
-
-
-def tree(page: str, most: int = MAX_NODES) -> Node:
-    """The first ``most`` elements of a page as a tree; text goes to the nearest element."""
-    root = Node("#", "", False)
-    stack, n = [root], 0
-    for e in events(page):
-        if e[0] == "text":
-            stack[-1].text += " " + " ".join(e[1].split())
-        elif e[0] == "close":
-            if len(stack) > 1:
+class Page:
+    """The text blocks of a page outside what is left out, and the elements that hold them.
+
+    ``blocks`` are (path of the nearest block element, text) in order; ``named`` and
+    ``containers`` are (path, first block, end block) of the block elements with a class or
+    id, and of those that may be a region."""
+
+    __slots__ = ("blocks", "named", "containers", "marks", "sums")
+
+    def __init__(self, page: str):
+        self.blocks: list[tuple[str, str]] = []
+        self.named: list[tuple[str, int, int]] = []
+        self.containers: list[tuple[str, int, int]] = []
+        parts: list[str] = []
+        # tag, path, left out, path of the nearest block, first block, whether it has a mark
+        stack: list[tuple[str, str, bool, str, int, bool]] = [("#", "", False, "", 0, False)]
+        inside_article = 0
+
+        def end() -> None:
+            text = " ".join(entities.unescape("".join(parts)).split())
+            parts.clear()
+            if text:
+                self.blocks.append((stack[-1][3], text))
+
+        for e in events(page):
+            tag, path, dropped, near, lo, marked = stack[-1]
+            if e[0] == "text":
+                if not dropped:
+                    parts.append(e[1])
+            elif e[0] == "open":
+                own = f"{path}>{e[1]}{e[2]}"
+                inside_article += e[1] in ("article", "main")
+                bad = dropped or left_out(e[1], e[3], inside_article > 0)
+                if not dropped:
+                    if e[1] == "br":
+                        parts.append(" ")
+                    elif e[1] in BLOCK or bad:
+                        end()
+                stack.append((e[1], own, bad, own if e[1] in BLOCK else near, len(self.blocks), bool(e[2])))
+            elif len(stack) > 1:
+                inside_article -= tag in ("article", "main")
+                if tag in BLOCK or dropped and not stack[-2][2]:
+                    end()
+                if not dropped and tag in BLOCK:
+                    if marked:
+                        self.named.append((path, lo, len(self.blocks)))
+                    if tag in REGIONS:
+                        self.containers.append((path, lo, len(self.blocks)))
                 stack.pop()
-        else:
-            n += 1
-            if n > most:
-                break
-            top = stack[-1]
-            label = e[1] + e[2]
-            node = Node(label, f"{top.path}>{label}", top.dropped or left_out(e[1], e[3], bool(re.search(r">(article|main)\b", top.path))))
-            top.children.append(node)
-            stack.append(node)
-    return root
-
-
-def matched(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Size of the largest order-keeping match of two trees, and its pairs."""
-    if a.label != b.label:
-        return 0, []
-    x, y = a.children, b.children
-    score = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    deep: dict[tuple[int, int], tuple[int, list]] = {}
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            w = 0
-            if x[i - 1].label == y[j - 1].label:
-                deep[i, j] = matched(x[i - 1], y[j - 1])
-                w = deep[i, j][0]
-            score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + w)
-    pairs, i, j = [(a, b)], len(x), len(y)
-    while i and j:
-        if score[i][j] == score[i - 1][j]:
-            i -= 1
-        elif score[i][j] == score[i][j - 1]:
-            j -= 1
-        else:
-            pairs += deep[i, j][1]
-            i, j = i - 1, j - 1
-    return score[len(x)][len(y)] + 1, pairs
+        end()
+        # sums over the blocks' marks, so that the mark of any run of blocks takes one step
+        self.marks = [mark(t) % _PRIME for _, t in self.blocks]
+        self.sums = [0]
+        for m in self.marks:
+            self.sums.append((self.sums[-1] * _BASE + m + 1) % _PRIME)
+
+    def run(self, lo: int, hi: int) -> int:
+        """A mark of the texts of blocks ``lo`` to ``hi``."""
+        return (self.sums[hi] - self.sums[lo] * pow(_BASE, hi - lo, _PRIME)) % _PRIME
+
+    def facts(self) -> set[tuple[int, int]]:
+        """(place, text) marks of the blocks and of the whole texts of the named elements."""
+        own = {(mark(f"block {p}"), m) for (p, _), m in zip(self.blocks, self.marks, strict=True)}
+        return own | {(mark(f"named {p}"), self.run(lo, hi)) for p, lo, hi in self.named if hi > lo}
+
+    def layout(self) -> int:
+        """A mark of the set of containers that hold text."""
+        return mark("\n".join(sorted({p for p, lo, hi in self.containers if hi > lo})))
+
+    def covered(self, spans: Iterable[tuple[int, int]]) -> list[bool]:
+        """Which blocks lie in any of the spans."""
+        edge = [0] * (len(self.blocks) + 1)
+        for lo, hi in spans:
+            edge[lo] += 1
+            edge[hi] -= 1
+        return [n > 0 for n in accumulate(edge[:-1])]
+
+    def template(self, repeated: frozenset, inside: str | None = None) -> list[tuple[str, int, int]]:
+        """Named elements whose whole text is one that their host repeats; only those below ``inside``, where given."""
+        if not repeated:
+            return []
+        return [n for n in self.named if n[2] > n[1] and (inside is None or n[0].startswith(inside + ">")) and (mark(f"named {n[0]}"), self.run(n[1], n[2])) in repeated]
+
+    def changing(self, repeated: frozenset) -> list[str]:
+        """Paths of the blocks whose text is not repeated, outside template, in a form whose order keeps common beginnings."""
+        out = self.covered((lo, hi) for _, lo, hi in self.template(repeated))
+        return [p.replace(">", _END) + _END for (p, _), m, o in zip(self.blocks, self.marks, out, strict=True) if not o and (mark(f"block {p}"), m) not in repeated]
+
+
+def mark(text: str) -> int:
+    """64 bits of a text, signed."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def smallest(low: str, high: str) -> str:
+    """The smallest region around all paths from ``low`` to ``high`` (forms of ``changing``)."""
+    path = os.path.commonprefix([low, high]).rpartition(_END)[0].replace(_END, ">")
+    while path and path.rpartition(">")[2].partition(".")[0] not in REGIONS:
+        path = path.rpartition(">")[0]
+    return path
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of a host's pages: region (a path, or empty) and template (paths within it)."""
-    trees = [tree(p) for p in pages if p]
-    if not trees:
-        return {"region": "", "template": []}
-    first, same, seen = trees[0], Counter(), Counter()
-    changing: set[int] = set()
-    for other in trees[1:]:
-        for a, b in matched(first, other)[1]:
-            if a.text.strip() or b.text.strip():
-                seen[id(a)] += 1
-                same[id(a)] += a.text == b.text
-    weight: Counter = Counter()
-    constant: Counter = Counter()
-    slots: Counter = Counter()
-
-    def visit(node: Node) -> None:
-        if node.dropped:
-            return
-        n = len(node.text.strip())
-        if n:
-            fixed = len(trees) > 2 and seen[id(node)] >= CONSTANT * (len(trees) - 1) and same[id(node)] >= CONSTANT * (len(trees) - 1)
-            (constant if fixed else slots)[node.path] += 1
-            if not fixed:
-                changing.add(id(node))
-                path = node.path
-                while path:
-                    weight[path] += n
-                    path = path.rpartition(">")[0]
-        for c in node.children:
-            visit(c)
-
-    visit(first)
-    total = max(weight.values(), default=0)
-    region = ""
-    containers = {n.path for n in _all(first) if n.children and n.label.partition(".")[0] in BLOCK and n.label.partition(".")[0] not in ("p", "li", "td", "tr", "ul", "ol")}
-    for path, w in weight.items():
-        if path in containers and w >= 0.9 * total and path.count(">") > region.count(">"):
-            region = path
-    # only named blocks: a plain paragraph or an inline word that repeats may well be content
-    named = lambda p: "." in (label := p.rpartition(">")[2]) and label.partition(".")[0] in BLOCK
-    template = [p for p in constant if p.startswith(region + ">") and named(p) and not slots[p]] if total else []
-    return {"region": region, "template": sorted(template)}
-
-
-def _all(node: Node) -> Iterator[Node]:
-    yield node
-    for c in node.children:
-        yield from _all(c)
-
-
-def _blocks(page: str, region: str | None, template: frozenset) -> list[str] | None:
-    """Texts of the blocks inside a region, in order; None where the page has no such region."""
-    out: list[str] = []
-    parts: list[str] = []
-    stack: list[tuple[str, str, bool, bool]] = [("#", "", False, region == "")]
-    found = region == ""
-    inside_article = 0
-
-    def end() -> None:
-        text = " ".join(entities.unescape("".join(parts)).split())
-        parts.clear()
-        if text:
-            out.append(text)
-
-    for e in events(page):
-        tag, path, dropped, within = stack[-1]
-        if e[0] == "text":
-            if within and not dropped:
-                parts.append(e[1])
-        elif e[0] == "open":
-            own = f"{path}>{e[1]}{e[2]}"
-            inside_article += e[1] in ("article", "main")
-            bad = dropped or own in template or left_out(e[1], e[3], inside_article > 0)
-            if within and not dropped:
-                if e[1] == "br":
-                    parts.append(" ")
-                elif e[1] in BLOCK or bad:
-                    end()
-            hit = own == region or region is None and e[1] in ("article", "main")
-            found = found or hit and not bad
-            stack.append((e[1], own, bad, within or hit))
-        else:
-            if len(stack) > 1:
-                inside_article -= stack[-1][0] in ("article", "main")
-                if within and (tag in BLOCK or dropped and not stack[-2][2]):
-                    end()
-                stack.pop()
-    end()
-    return out if found else None
+    """The wrapper of pages of one layout: region (a path; None without changing text), template (paths within it) and repeated (marks)."""
+    parsed = [Page(p) for p in pages if p]
+    seen, same, whose = Counter(), Counter(), {}
+    for page in parsed:
+        facts, whole = page.facts(), page.run(0, len(page.blocks))
+        seen.update({place for place, _ in facts})
+        same.update(facts)
+        for f in facts:
+            whose.setdefault(f, set()).add(whole)
+    repeated = frozenset(f for f, n in same.items() if n >= LEAST and n >= CONSTANT * seen[f[0]] and len(whose[f]) > 1)
+    paths = [c for page in parsed for c in page.changing(repeated)]
+    region = smallest(min(paths), max(paths)) if paths else None
+    template = {n[0] for page in parsed for n in page.template(repeated, region or "")} if paths else set()
+    return {"region": region, "template": sorted(template), "repeated": repeated}
 
 
 def main_text(page: str | None, wrapper: dict | None) -> str:
-    """The main text of a page under its host's wrapper."""
+    """The main text of a page under the wrapper of its layout."""
     if not page:
         return ""
-    blocks = None
-    if wrapper and wrapper["region"]:
-        blocks = _blocks(page, wrapper["region"], frozenset(wrapper["template"]))
-    if not blocks:
-        blocks = _blocks(page, None, frozenset())
-    if blocks is None:
-        blocks = _blocks(page, "", frozenset())
-    return "\n\n".join(blocks or [])
+    p = Page(page)
+    if wrapper and wrapper["region"] is not None:
+        region = wrapper["region"]
+        within = p.covered((lo, hi) for path, lo, hi in p.containers if path == region) if region else [True] * len(p.blocks)
+        out = p.covered((lo, hi) for _, lo, hi in p.template(wrapper["repeated"], region))
+        texts = [t for (_, t), w, o in zip(p.blocks, within, out, strict=True) if w and not o]
+        if texts:
+            return "\n\n".join(texts)
+    main = [(lo, hi) for path, lo, hi in p.containers if path.rpartition(">")[2].partition(".")[0] in ("article", "main")]
+    within = p.covered(main) if main else [True] * len(p.blocks)
+    return "\n\n".join(t for (_, t), w in zip(p.blocks, within, strict=True) if w)
 
 
 def host_of(url):
@@ -290,36 +266,87 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON) of every host: at most SAMPLE pages of a host come together."""
-    order = Window.partitionBy("host").orderBy(F.xxhash64("page_id"), "page_id")
-    few = pages.where("html is not null and html <> ''").select("host", "page_id", "html").withColumn("r", F.row_number().over(order)).where(F.col("r") <= SAMPLE)
+def repeated_texts(pages: DataFrame) -> DataFrame:
+    """host, repeated: the (place, text) marks that a host repeats, counted over all its pages.
 
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(zip(t.column("r").to_pylist(), t.column("html").to_pylist(), strict=True))
-        return pa.table({"host": t.column("host")[:1], "wrapper": pa.array([json.dumps(induce([h for _, h in rows]))])})
+    A text is repeated if it stands on at least CONSTANT of the pages that have its place, and
+    not only in copies of one page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols: tuple[list, list, list, list] = ([], [], [], [])
+            for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
+                parsed = Page(page.as_py())
+                facts, whole = parsed.facts(), parsed.run(0, len(parsed.blocks))
+                for place, text in (*facts, *((place, None) for place in {f[0] for f in facts})):
+                    for c, v in zip(cols, (host, place, text, whole), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_pydict({"host": pa.array(cols[0], pa.string())} | {n: pa.array(c, pa.int64()) for n, c in zip(("place", "mark", "whole"), cols[1:], strict=True)})
 
-    return few.groupBy("host").applyInArrow(run, "host string, wrapper string")
+    facts = pages.where("html is not null and html <> ''").select("host", "html").mapInArrow(run, "host string, place long, mark long, whole long")
+    counts = facts.groupBy("host", "place", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+    often = durable(counts.where(F.col("n") >= LEAST), "html-often")
+    seen = often.where("mark is null").select("host", "place", F.col("n").alias("seen"))
+    kept = often.where("mark is not null and low <> high").join(seen, ["host", "place"]).where(F.col("n") >= F.lit(CONSTANT) * F.col("seen"))
+    pair = F.concat_ws(":", F.col("place").cast("string"), F.col("mark").cast("string"))
+    return kept.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("repeated"))
+
+
+class _Known:
+    """Repeated marks of the hosts met so far, by their text."""
+
+    def __init__(self):
+        self.sets: dict[str | None, frozenset] = {}
+
+    def __call__(self, text: str | None) -> frozenset:
+        if text not in self.sets:
+            if len(self.sets) > 10_000:
+                self.sets.clear()
+            self.sets[text] = frozenset(tuple(map(int, x.split(":"))) for x in text.split(",")) if text else frozenset()
+        return self.sets[text]
+
+
+def regions(rows: DataFrame) -> DataFrame:
+    """host, layout, low, high: the outermost changing paths over all pages of a layout (host, html, repeated)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
+        for b in batches:
+            found = []
+            for host, page, r in zip(b.column("host").to_pylist(), b.column("html"), b.column("repeated").to_pylist(), strict=True):
+                parsed = Page(page.as_py())
+                paths = parsed.changing(known(r))
+                if paths:
+                    found.append((host, parsed.layout(), min(paths), max(paths)))
+            cols = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("host", "layout", "low", "high"), cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)})
+
+    found = rows.where("html is not null and html <> ''").select("host", "html", "repeated").mapInArrow(run, "host string, layout long, low string, high string")
+    return found.groupBy("host", "layout").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    # one short row a host, written first so that its size is known: broadcast only if it is small
-    by_host = durable(wrappers(rows), "html-wrappers")
-    joined = rows.join(by_host, "host", "left").select("page_id", "url", "html", "wrapper")
-    kind = joined.schema["page_id"].dataType.simpleString()
+    # short rows, written first so that their size is known: broadcast only if it is small
+    rows = rows.join(durable(repeated_texts(rows), "html-repeated"), "host", "left")
+    by_layout = durable(regions(rows), "html-regions")
+    kind = rows.schema["page_id"].dataType.simpleString()
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            layouts = pa.array([Page(h).layout() if (h := page.as_py()) else None for page in b.column("html")], pa.int64())
+            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("page_id", "url", "html", "host", "repeated")} | {"layout": layouts})
+
+    laid = rows.select("page_id", "url", "html", "host", "repeated").mapInArrow(lay, f"page_id {kind}, url string, html string, host string, repeated string, layout long")
+    joined = laid.join(by_layout, ["host", "layout"], "left").select("page_id", "url", "html", "repeated", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, dict | None] = {None: None}
+        known = _Known()
         for b in batches:
             texts = []
-            for page, w in zip(b.column("html"), b.column("wrapper").to_pylist(), strict=True):
-                if w not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[w] = json.loads(w) if w else None
-                texts.append(main_text(page.as_py(), known[w]))
+            for page, r, low, high in zip(b.column("html"), *(b.column(n).to_pylist() for n in ("repeated", "low", "high")), strict=True):
+                texts.append(main_text(page.as_py(), None if low is None else {"region": smallest(low, high), "repeated": known(r)}))
             yield pa.RecordBatch.from_pydict(
                 {"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             )

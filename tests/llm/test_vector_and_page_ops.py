@@ -151,3 +151,10 @@ def test_pipeline_stages(spark, tmp_path):
             assert (80 not in kept) == (texts[3].count("\n") >= 2) and kept >= set(range(80))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert out and all(r.round_trip and len(r.ids) == r.n_pieces for r in out)
+
+
+def test_region_keeps_title_and_lead():
+    page = "<body><article><h1>Title {0}</h1><div class=lead>Lead {0}</div><div class=body><p>{1}</p></div></article></body>"
+    w = html_extract.induce([page.format(c, c * 900) for c in "abcd"])
+    assert w["region"].endswith(">article")
+    assert html_extract.main_text(page.format("x", "long"), w) == "Title x\n\nLead x\n\nlong"
