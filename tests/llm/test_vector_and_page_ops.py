@@ -158,3 +158,19 @@ def test_region_keeps_title_and_lead():
     w = html_extract.induce([page.format(c, c * 900) for c in "abcd"])
     assert w["region"].endswith(">article")
     assert html_extract.main_text(page.format("x", "long"), w) == "Title x\n\nLead x\n\nlong"
+
+
+def test_template_is_a_repeated_text_on_any_layout(spark):
+    ship(spark)
+    page = '<body><div class="main"><h1>Head {0}</h1><div class="byline">{1}</div><p>Story {0}</p></div></body>'
+    other = '<body><div class="left">Left {0}</div><div class="right"><section><p>Right {0}</p></section></div></body>'
+    said = {i: f"By guest {i} <b>here</b>" if i % 10 == 3 else "By staff <b>here</b>" for i in range(40)}
+    rows = [(i, f"http://h.example/{i}", page.format(i, said[i])) for i in said] + [(i, f"http://h.example/{i}", other.format(i)) for i in range(40, 44)]
+    # a host where most pages are copies of one: its text is no template
+    copied = '<body><div class="main"><div class="lead">Lead {0}</div><div class="body">Body {0}</div></div></body>'
+    rows += [(100 + i, f"http://c.example/{i}", copied.format(max(0, i - 16))) for i in range(20)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(40):
+        assert got[i] == (f"Head {i}\n\nBy guest {i} here\n\nStory {i}" if i % 10 == 3 else f"Head {i}\n\nStory {i}")
+    assert all(got[i] == f"Left {i}\n\nRight {i}" for i in range(40, 44))
+    assert all(got[100 + i] == f"Lead {max(0, i - 16)}\n\nBody {max(0, i - 16)}" for i in range(20))
