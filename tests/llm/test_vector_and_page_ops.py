@@ -174,3 +174,12 @@ def test_template_is_a_repeated_text_on_any_layout(spark):
         assert got[i] == (f"Head {i}\n\nBy guest {i} here\n\nStory {i}" if i % 10 == 3 else f"Head {i}\n\nStory {i}")
     assert all(got[i] == f"Left {i}\n\nRight {i}" for i in range(40, 44))
     assert all(got[100 + i] == f"Lead {max(0, i - 16)}\n\nBody {max(0, i - 16)}" for i in range(20))
+
+
+def test_content_beyond_many_elements(spark):
+    ship(spark)
+    links = "".join(f"<p><a href=/{i}>Link {i}</a></p>" for i in range(500))
+    page = f'<body><div class="links">{links}</div><div class="one"><p>First {{0}}</p></div><div class="two"><p>Second {{0}}</p></div></body>'
+    rows = [(i, f"http://h.example/{i}", page.format(i)) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"First {i}\n\nSecond {i}" for i in range(6)}
