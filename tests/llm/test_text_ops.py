@@ -283,6 +283,24 @@ def test_secret_spans(spark):
     assert secrets.findings(frame(spark, []), network=net).count() == 0
 
 
+def test_secrets_joined_to_long_runs(spark):
+    rng = random.Random(5)
+    key = lambda: "ghp_" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    joined = [f"see {p}{key()} there" for p in ("/srv/app/config/environments/production/", "cache-control=max-age/static/assets/images/", "the_long_name_of_a_variable_in_some_module_") for _ in range(8)]
+    calm = ["see /srv/app/config/environments/production/settings/default/2024/main-file-of-the-application x"]
+    rows = secrets.digest(secrets.findings(frame(spark, [(i, t, "s") for i, t in enumerate(joined + calm)]))).collect()
+    found = {r.doc_id for r in rows if "model:" in r.spans}
+    assert len(found - {len(joined)}) >= 0.8 * len(joined) and len(joined) not in found
+
+
+def test_secret_threshold_keeps_recall(monkeypatch):
+    rng = np.random.default_rng(1)
+    net, y, x = secrets.Network(rng), (np.arange(1000) % 10 == 0).astype(int), rng.normal(size=1000)
+    monkeypatch.setattr(net, "logit", lambda v: v)
+    net.calibrate(x, y)
+    assert (net.score(x)[y == 1] >= net.threshold).mean() >= secrets.RECALL
+
+
 def test_quality_by_positive_and_unlabelled(spark):
     rng = random.Random(8)
     good = lambda: " ".join("".join(rng.choice("abcdeot") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(20, 120))) + "."
