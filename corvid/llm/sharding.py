@@ -38,9 +38,11 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_v
     )
 
 
-def slot_loads(recs: DataFrame) -> DataFrame:
-    """vslot, bytes, rows."""
-    return recs.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+def slot_loads(recs: DataFrame, n_vslots: int = N_VSLOTS) -> DataFrame:
+    """vslot, bytes, rows of every slot, of those without records too: later records may come into them."""
+    held = recs.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
+    every = recs.sparkSession.range(n_vslots).select(F.col("id").cast("int").alias("vslot"))
+    return every.join(held, "vslot", "full").fillna(0, ["bytes", "rows"])
 
 
 def _pour(slots: DataFrame, start: Column, version: int) -> DataFrame:
@@ -71,24 +73,33 @@ def _pour(slots: DataFrame, start: Column, version: int) -> DataFrame:
 
 
 def first_map(loads: DataFrame, n_shards: int) -> DataFrame:
-    """Version 1 of the map: version, vslot, shard."""
-    return _pour(loads.select("vslot", "bytes"), F.array_repeat(F.lit(0).cast("long"), n_shards), 1)
+    """Version 1 of the map: version, vslot, shard.  Slots without bytes are spread evenly."""
+    dealt = _pour(loads.where("bytes > 0").select("vslot", "bytes"), F.array_repeat(F.lit(0).cast("long"), n_shards), 1)
+    return dealt.unionByName(loads.where("bytes = 0").select(F.lit(1).alias("version"), "vslot", _even(n_shards).alias("shard")))
+
+
+def _even(n_shards: int) -> Column:
+    return F.pmod("vslot", F.lit(n_shards)).cast("int")
 
 
 def rebalance(old: DataFrame, loads: DataFrame, n_shards: int) -> DataFrame:
     """The next version of ``old`` for ``n_shards``: slots that begin beyond a shard's fair share move, all others stay.
 
-    Growing by one shard moves slots only into the new one: every old shard keeps its share at least."""
-    now = old.select("version", "vslot", "shard").join(F.broadcast(loads.select("vslot", "bytes")), "vslot", "left").fillna(0, ["bytes"])
+    Growing by one shard moves slots only into the new one: every old shard keeps its share at least.  Slots that ``old``
+    lacks are added."""
+    now = old.select("version", "vslot", "shard").join(loads.select("vslot", "bytes"), "vslot", "full").fillna(0, ["bytes"])
     by_shard = Window.partitionBy("shard").orderBy("vslot")
     share = F.sum("bytes").over(Window.partitionBy()) / F.lit(n_shards)
-    now = now.withColumn("stays", (F.col("shard") < n_shards) & (F.sum("bytes").over(by_shard) - F.col("bytes") < share))
+    own = F.coalesce(F.col("shard") < n_shards, F.lit(False))
+    now = now.withColumn("stays", own & ((F.sum("bytes").over(by_shard) - F.col("bytes") < share) | (share == 0)))
+    # slots without bytes and without a shard of their own weigh nothing in the fold: they are spread evenly
+    now = now.withColumn("even", ~own & (F.col("bytes") == 0))
     version = F.max("version").over(Window.partitionBy()) + 1
     now = now.withColumn("next", version)
     kept = now.where("stays")
     base = [F.coalesce(F.sum(F.when((F.col("shard") == i) & F.col("stays"), F.col("bytes"))), F.lit(0)).cast("long") for i in range(n_shards)]
     start = now.agg(F.array(*base).alias("start"), F.max("next").alias("next"))
-    movers = now.where(~F.col("stays")).select("vslot", "bytes").crossJoin(F.broadcast(start))
+    movers = now.where(~F.col("stays") & ~F.col("even")).select("vslot", "bytes").crossJoin(F.broadcast(start))
     order = F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("neg"), F.col("vslot"))))
 
     def step(acc: Column, s: Column) -> Column:
@@ -104,7 +115,8 @@ def rebalance(old: DataFrame, loads: DataFrame, n_shards: int) -> DataFrame:
         .select("next", F.explode(F.arrays_zip(F.col("order.vslot").alias("vslot"), F.col("dealt.owner").alias("shard"))).alias("x"))
         .select(F.col("next").alias("version"), F.col("x.vslot").alias("vslot"), F.col("x.shard").alias("shard"))
     )
-    return kept.select(F.col("next").alias("version"), "vslot", "shard").unionByName(moved)
+    spread = now.where("even").select(F.col("next").alias("version"), "vslot", _even(n_shards).alias("shard"))
+    return kept.select(F.col("next").alias("version"), "vslot", "shard").unionByName(moved).unionByName(spread)
 
 
 def save_map(shard_map: DataFrame, path: str) -> None:
@@ -124,16 +136,17 @@ def place(recs: DataFrame, loads: DataFrame, shard_map: DataFrame) -> DataFrame:
     """Shard of every record and its gapless position within the shard.
 
     Positions are counted per virtual slot and shifted by the rows of the
-    shard's earlier slots, so no task sorts a whole shard."""
+    shard's earlier slots, so no task sorts a whole shard.  A record whose slot
+    the map lacks is kept, without a shard; ``rebalance`` adds such slots."""
     earlier = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     spots = (
-        shard_map.select("vslot", "shard").join(F.broadcast(loads), "vslot")
+        shard_map.select("vslot", "shard").join(F.broadcast(loads), "vslot", "left")
         .select("vslot", "shard", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("before"))
     )
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")
     return (
         recs.withColumn("n", F.row_number().over(within))
-        .join(F.broadcast(spots), "vslot")
+        .join(F.broadcast(spots), "vslot", "left")
         .select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("n") - 1).cast("long").alias("slot"), "vslot")
     )
 

@@ -166,6 +166,21 @@ def test_rebalancing_moves_only_what_it_must(spark, tmp_path):
     assert set(shrunk.values()) == {0, 1, 2} and all(shrunk[v] == a[v] for v in a if a[v] != 3)
 
 
+def test_stored_map_places_later_records(spark, tmp_path):
+    first = frame(spark, [(i, "y" * (i % 97), "s") for i in range(300)])
+    sharding.save_map(sharding.first_map(sharding.slot_loads(sharding.records(first)), 4), str(tmp_path / "map"))
+    stored = sharding.load_map(spark, str(tmp_path / "map"))
+    recs = sharding.records(frame(spark, [(i, "z" * (i % 89), "s") for i in range(1000, 3000)]))
+    loads = sharding.slot_loads(recs)
+    for shard_map in (stored, sharding.rebalance(stored.where("vslot % 3 > 0"), loads, 5)):
+        places = defaultdict(list)
+        for r in sharding.place(recs, loads, shard_map).collect():
+            places[r.shard].append(r.slot)
+        assert sum(map(len, places.values())) == 2000 and None not in places
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+        assert max(map(len, places.values())) < 1.3 * 2000 / len(places)
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), ["a", "b", "c", "d", None][min(4, int(rng.expovariate(0.9)))]) for i in range(300)] + [(900 + i, t, "odd") for i, t in enumerate(ODD)] + [(999, "w w", "a")] * 2
