@@ -4,18 +4,20 @@ Unit vectors are cut into subspaces of two dimensions with 16 codewords each, an
 left over is coded once more in the same way.  Codes and codewords minimise ``|r|^2 + (eta - 1) (r . x)^2`` over the residual r: the part of the
 error along the vector, which moves high inner products most, weighs eta times as much.
 Codewords are fitted on a bounded sample; every row is coded.  Queries and codes meet in
-blocks of both, a block scores its rows by summing 16-entry tables, and keeps the best
-``KEEP`` a query; the best ``KEEP`` over all blocks are scored exactly in double precision.
+blocks of both, and a block scores its rows by summing 16-entry tables.  The best ``KEEP`` a
+query are scored exactly, which gives a score to reach; then every row of the block whose
+score by code plus the norm of its rest reaches it is scored exactly in double precision, so
+that no neighbour is lost, however many near copies there are.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no
-part, nor do null ids; vectors are searched among those of their own length (one index a length, for
-the 64 most common ones); equal scores go to the smaller id; a query never finds its own id; repeated rows are found once; an empty
+part, nor do null ids; vectors are searched among those of their own length (one index a length); equal scores go to the smaller id; a query never finds its own id; repeated rows are found once; an empty
 table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,10 @@ from corvid.storage import durable
 
 #: Vectors the codewords are fitted on, by the order of a hash.
 SAMPLE = 8192
-#: Candidates a query that are scored exactly.
+#: Candidates a query and block whose exact scores tell how far the others must reach.
 KEEP = 128
+#: More than single precision loses when table entries are summed.
+_SLACK = 1e-4
 #: Rows and queries that meet in one block.
 ROWS, QUERIES = 100_000, 1024
 #: Share of a vector's norm from which inner products count as high.
@@ -55,6 +59,12 @@ class Codes:
             out.append(codes)
         return np.concatenate(out, 1).astype(np.uint8)
 
+    def decode(self, codes: np.ndarray, dim: int) -> np.ndarray:
+        """The vectors that codes stand for."""
+        m = self.words.shape[1]
+        x = sum(words[np.arange(m), codes[:, i * m : (i + 1) * m]] for i, words in enumerate(self.words))
+        return x.reshape(len(codes), -1)[:, :dim]
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query's parts with the codewords: (levels * m, 16, queries), float32."""
         t = np.einsum("qmw,lmcw->lmcq", self.parts(q), self.words)
@@ -114,26 +124,32 @@ def fit(x: np.ndarray, width: int = 2, levels: int = 2, rounds: int = 4, seed: i
     return own
 
 
-def _unit(b: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
+def _plain(b: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
     column = b.column("embedding")
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _unit(b: pa.RecordBatch | pa.Table, dim: int) -> np.ndarray:
+    x = _plain(b, dim)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def coded(rows: DataFrame, codes, dim: int) -> DataFrame:
-    """vec_id and its codes, two to a byte."""
+    """vec_id, embedding, its codes, two to a byte, and the norm of what the codes leave over (of the unit vector)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                c = codes.value.encode(_unit(b, dim))
+                x = _unit(b, dim)
+                c = codes.value.encode(x)
+                left = np.linalg.norm(x - codes.value.decode(c, dim), axis=1)
                 c = np.pad(c, ((0, 0), (0, c.shape[1] % 2)))
                 packed = c[:, ::2] << 4 | c[:, 1::2]
-                yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id"), "code": pa.array([r.tobytes() for r in packed], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"vec_id": b.column("vec_id"), "embedding": b.column("embedding"), "code": pa.array([r.tobytes() for r in packed], pa.binary()), "rest": pa.array(left, pa.float64())})
 
-    return rows.mapInArrow(run, "vec_id long, code binary")
+    return rows.select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<double>, code binary, rest double")
 
 
 def best_of(score: np.ndarray, keep: int) -> np.ndarray:
@@ -145,50 +161,52 @@ def best_of(score: np.ndarray, keep: int) -> np.ndarray:
     return np.arange(len(score))
 
 
-def candidates(rows: DataFrame, queries: DataFrame, codes, dim: int, n_rows: int, n_queries: int, keep: int = KEEP) -> DataFrame:
-    """query_id, vec_id, about: the best of every block of rows for every query."""
-    n_r, n_q = max(1, -(-n_rows // ROWS)), max(1, -(-n_queries // QUERIES))
-    left = coded(rows, codes, dim).select("vec_id", "code", F.pmod(F.xxhash64("vec_id"), F.lit(n_r)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+def nearest_of(about: np.ndarray, rest: np.ndarray, x: np.ndarray, unit: np.ndarray, q: np.ndarray, most: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and exact scores of the ``most`` nearest rows to q, equal scores by smaller index.
+
+    The ``keep`` best by code give a score that the ``most`` nearest reach at least; every row that
+    could reach it, by its score by code and the norm of its rest, is scored exactly."""
+    first = best_of(about, max(keep, most))
+    own = q / np.abs(q).max()
+    own = own / np.linalg.norm(own)
+    reach = -np.inf if len(first) < most else np.partition(unit[first] @ own, -most)[-most]
+    hit = np.flatnonzero(about + rest >= reach - _SLACK * max(1, len(q) / 512))
+    score = unit[hit] @ own
+    if len(hit) > most:  # rounding must not decide between equal scores
+        hit = hit[score >= np.partition(score, -most)[-most] - 1e-12]
+    score = np.array([float(np.dot(q, y) / (np.sqrt(np.dot(q, q)) * np.sqrt(np.dot(y, y)))) for y in x[hit]])
+    top = best_of(score, most)
+    return hit[top], score[top]
+
+
+def nearest_in_blocks(rows: DataFrame, queries: DataFrame, codes, dim: int, n_rows: int, n_queries: int, most: int, keep: int = KEEP) -> DataFrame:
+    """query_id, vec_id, score: the ``most`` nearest of every block of rows for every query."""
+    n_r, n_q = max(1, -(-n_rows // max(1, min(ROWS, ROWS * 64 // dim)))), max(1, -(-n_queries // QUERIES))
+    left = coded(rows, codes, dim).select("*", F.pmod(F.xxhash64("vec_id"), F.lit(n_r)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
     right = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_r - 1).cast("long"))).alias("rb"))
 
     def scan(a: pa.Table, q: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "about": pa.array([], pa.float32())})
+        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not a.num_rows or not q.num_rows:
             return none
-        ids = a.column("vec_id").to_numpy()
-        by = np.argsort(ids, kind="stable")
-        ids = ids[by]
-        packed = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[by]
+        a = a.sort_by("vec_id")
+        ids, rest, x, unit = a.column("vec_id").to_numpy(), a.column("rest").to_numpy(), _plain(a, dim), _unit(a, dim)
+        packed = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
         code = np.empty((len(ids), packed.shape[1] * 2), np.uint8)
         code[:, ::2], code[:, 1::2] = packed >> 4, packed & 15
-        tables, own, out = codes.value.tables(_unit(q, dim)), q.column("vec_id").to_numpy(), []
+        tables, own, mine, out = codes.value.tables(_unit(q, dim)), q.column("vec_id").to_numpy(), _plain(q, dim), []
         for lo in range(0, len(own), 64):
             part = np.ascontiguousarray(tables[:, :, lo : lo + 64])
             total = np.zeros((len(ids), part.shape[2]), np.float32)
             for j in range(part.shape[0]):
                 total += part[j][code[:, j]]
             for i in range(part.shape[2]):
-                s = np.ascontiguousarray(total[:, i])
-                hit = best_of(s, keep)
-                out.append((np.full(len(hit), own[lo + i]), ids[hit], s[hit]))
+                hit, score = nearest_of(np.ascontiguousarray(total[:, i]), rest, x, unit, mine[lo + i], most, keep)
+                out.append((np.full(len(hit), own[lo + i]), ids[hit], score))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "about": cols[2].astype(np.float32)})
-
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(scan, "query_id long, vec_id long, about float")
+        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
 
-
-def exact(pairs: DataFrame) -> DataFrame:
-    """query_id, vec_id, score of pairs with both embeddings (a, b)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = [
-                float(np.dot(x, y) / (np.sqrt(np.dot(x, x)) * np.sqrt(np.dot(y, y))))
-                for x, y in zip((v.values.to_numpy() for v in b.column("a")), (v.values.to_numpy() for v in b.column("b")), strict=True)
-            ]
-            yield pa.RecordBatch.from_pydict({"query_id": b.column("query_id"), "vec_id": b.column("vec_id"), "score": pa.array(s, pa.float64())})
-
-    return pairs.select("query_id", "vec_id", "a", "b").mapInArrow(run, "query_id long, vec_id long, score double")
+    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(scan, "query_id long, vec_id long, score double")
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, keep: int = KEEP) -> DataFrame:
@@ -205,26 +223,22 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, keep: int = KEEP) ->
     is_query = F.pmod(F.col("vec_id"), F.lit(every)) == 0
     classes = durable(rows.groupBy("h1", "h2", "dim").agg(F.min("vec_id").alias("vec_id"), F.any_value("embedding").alias("embedding")), "ann-classes")
     queries = rows.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "embedding", "dim")
-    dims = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(64).collect()
-    counts = {r[0]: r[1] for r in queries.groupBy("dim").count().collect()} if dims else {}
-    best = None
-    for dim, n in dims:  # one space a length; as a rule there is one
+    counts = dict(queries.groupBy("dim").count().collect())
+    sizes = dict(classes.groupBy("dim").count().collect()) if counts else {}
+    found = []
+    for dim, n_queries in sorted(counts.items()):  # one space a length; as a rule there is one
         own = classes.where(F.col("dim") == dim)
         sample = own.orderBy(F.xxhash64("vec_id", F.lit(3)), "vec_id").limit(SAMPLE).select("embedding").collect()
         x = np.array([r[0] for r in sample])
         x = x / np.abs(x).max(1, keepdims=True)
         codes = spark.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True)))
-        found = candidates(own, queries.where(F.col("dim") == dim), codes, dim, n, counts.get(dim, 0), keep)
-        best = found if best is None else best.unionByName(found)
-    if best is None:
+        found.append(nearest_in_blocks(own, queries.where(F.col("dim") == dim), codes, dim, sizes[dim], n_queries, k + 1, keep))
+        if len(found) == 32:  # the plan stays short, however many lengths there are
+            found = [durable(reduce(DataFrame.unionByName, found), "ann-nearest")]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-    short = durable(best.withColumn("r", F.row_number().over(order)).where(F.col("r") <= keep).select("query_id", "vec_id"), "ann-candidates")
-    pairs = short.join(classes.select("vec_id", F.col("embedding").alias("b")), "vec_id").join(
-        queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), "query_id"
-    )
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = exact(pairs).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
+    top = reduce(DataFrame.unionByName, found).withColumn("r", F.row_number().over(nearest)).where(F.col("r") <= k + 1)
     # each class gives its k + 1 smallest ids: enough, whichever of them is the query's own
     same = Window.partitionBy("h1", "h2", "dim").orderBy("vec_id")
     members = (

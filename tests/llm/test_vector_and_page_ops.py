@@ -82,6 +82,24 @@ def test_ann_recall_and_order(spark, monkeypatch):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_finds_all_in_a_group_of_near_copies(spark):
+    ship(spark)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(0, 1e-3, (10_000, 16)), rng.normal(size=(2000, 16))])
+    df = spark.createDataFrame([(i, [float(c) for c in v], 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u, by = x / np.linalg.norm(x, axis=1, keepdims=True), {}
+    for r in ann.search(df, every=500).collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = sum(len(by[q] & set(np.argsort(-np.where(np.arange(len(x)) == q, -2, u @ u[q]))[:5].tolist())) for q in range(0, len(x), 500))
+    assert hit / (5 * len(by)) >= 0.99 and len(by) == 24
+
+
+def test_ann_every_length_is_searched(spark):
+    ship(spark)
+    df = spark.createDataFrame([(i, [1.0 + i % 2] + [1.0] * (i // 2), 0) for i in range(140)], "vec_id long, embedding array<double>, label int")
+    assert {r.query_id for r in ann.search(df, every=2).collect()} == set(range(0, 140, 2))
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     e = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(i, i + 1) for i in range(1000, 1060)] + [(5, 5)]
