@@ -357,6 +357,12 @@ def wrapped_queries(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.explode(w).alias("w"), F.substring("text", 1, 20).alias("t")).select("item_id", S.wrapped(F.col("w"), F.col("t")).alias("prompt"))
 
 
+@query(f"SELECT item_id, replace(w, '{{text}}', text) AS prompt FROM benchmark, (SELECT unnest([{_WRAPS}]) AS w)")
+def wrapped_texts(spark, sf):
+    w = F.array(*[F.lit(x) for x in WRAPPERS["paragraph"]])
+    return table(spark, sf, "benchmark").select("item_id", "text", F.explode(w).alias("w")).select("item_id", S.wrapped(F.col("w"), F.col("text")).alias("prompt"))
+
+
 @query(f"SELECT label AS category, i AS pos, round(avg(list_extract({_E}, CAST(i + 1 AS BIGINT))), 6) AS mean FROM embeddings, (SELECT unnest(range(64)) AS i) GROUP BY 1, 2")
 def wrapper_mean_vector(spark, sf):
     m = clips(spark, sf).groupBy("category").agg(mean_vector(64, F.col("embedding").cast("array<double>")).alias("v"))
@@ -552,7 +558,7 @@ def eval_learned(spark, sf):
 
 @query()
 def voting_iterations(spark, sf):
-    return evaluate.simulate_voting(clips(spark, sf), [0, 1], categories=[0, 1], every=10, epochs=30, max_steps=40)
+    return evaluate.simulate_voting(clips(spark, sf), [0, 1])
 
 
 @query()

@@ -45,3 +45,19 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_voting_iterations_runs_all_categories_and_steps(spark, monkeypatch):
+    from corvid.plans import queries
+
+    asked = {}
+    monkeypatch.setattr(queries.evaluate, "simulate_voting", lambda clips, seeds, **more: asked.update(more))
+    QUERIES["voting_iterations"](spark, str(DATA))
+    assert not set(asked) & {"categories", "every", "max_steps", "epochs"}
+    monkeypatch.undo()
+    few = queries.clips(spark, str(DATA)).where("clip_id < 40")
+    got = queries.evaluate.simulate_voting(few, [0], epochs=2).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.category, []).append(r.t)
+    assert len(by) > 2 and all(sorted(t) == list(range(min(t), 21)) for t in by.values())
