@@ -3,27 +3,31 @@
 Documents of equal shingle sets form a class (a 64-bit set hash).  The work is on
 classes:
 
-1. *Order.*  A fixed-size sketch counts documents per shingle bucket over the whole
-   corpus; shingles are ordered rare first.  Two sets with Jaccard >= t share one of
-   the first ``|S| - ceil(t |S|) + 1`` shingles in any common order, so only this
-   head of each set is indexed, packed by hash range into binary rows.
-2. *Groups.*  The classes under one shingle are tried against its leader, one of
-   ``LEADERS`` by the shingle's low bits; pairs that reach t by exact comparison are
-   links, and linked classes form groups.
-3. *Token-group matrix.*  Where classes of two groups are within reach of each other
-   under a shingle (by size and by the places of the shingle in both), the smaller
-   side first probes ``PROBES`` members of the other group; what links is merged.
-   What is not settled by that asks the whole group: the union of the group's
-   shingles is stored in packed rows (group, range), the overlap of the asking set
-   with it bounds the overlap with every member, and only groups with
-   ``|Q n U| >= t |Q|`` are opened, all members of fitting size compared exactly.
+1. *Order.*  A sketch counts documents per shingle bucket over the whole corpus;
+   shingles are ordered rare first.  Two sets with Jaccard >= t share one of the
+   first ``|S| - ceil(t |S|) + 1`` shingles in any common order, so only this head
+   of each set is indexed, packed by hash range into binary rows.  A shingle that
+   more than ``LIST`` documents may hold is dealt to several rows by a second hash.
+2. *Leaders.*  The classes under one shingle are tried against its leader, one of
+   ``LEADERS`` by the shingle's low bits (the leaders of a dealt shingle against the
+   first of them); pairs that reach t by exact comparison are links, and linked
+   classes form components.
+3. *Token-group matrix.*  Classes in reach of another component under a shingle are
+   partitioned into groups of similar ones: those whose most common shared shingle
+   is the same, of like size, at most about ``MEMBERS`` classes and ``TOKENS``
+   shingles a group.  The matrix holds a packed row for each group: the union of its
+   shingles and which members hold each.  A class asks the groups that hold a class
+   of another component within its reach (by size and by the places of the shingle in
+   both), the smaller component asking the larger.  The overlap of the asking set with
+   the union bounds its overlap with every member; only groups with
+   ``|Q n U| >= t |Q|`` are opened: the overlap with each member is counted from the
+   row, and one link is kept for each component newly reached.
 4. *Components* of all links.
 
-Members of a group are never paired with each other, so a group of near copies
-costs a few comparisons a member.  Sets are compared by the first 40 bits of their
-shingles' hashes: a pair miscounts by one with probability |x| |y| / 2^40.  A group is asked only by classes that are not
-known to be connected with it, and by all of those within reach, so no link between
-components is lost.
+A group gives back at most as many links as it has askers and members, so a group of
+near copies costs a few comparisons a member and no rows but its links.  Sets are
+compared by their 64-bit hashes, which are written once for the classes that share a
+shingle within reach.
 
 Edge cases: null or empty texts have an empty set and link with nothing; texts of
 fewer than ``k`` words are one shingle; rows that repeat an id are one document with
@@ -44,19 +48,21 @@ from corvid.llm.components import components
 from corvid.llm.shingles import mix64, shingle_sets
 from corvid.storage import durable
 
-#: Buckets of the frequency sketch: 2**20, at any size of the corpus.
-SKETCH_BITS = 20
+#: Buckets of the frequency sketch, as a power of two: grows with the corpus between these.
+SKETCH_BITS = (16, 22)
 _CHUNKS = 64
-#: Postings held by a task before they are handed on.
-_FLUSH = 1 << 20
+#: Postings held by a task before they are handed on, and about as many as one packed row's task gets.
+_FLUSH, _BUCKET = 1 << 20, 4_000_000
 #: Leaders tried under different shingles of a class.
 LEADERS = 4
-#: Members of another group that a class is compared with before it asks the group.
-PROBES = 3
-#: Members whose shingles make one packed row of the token-group matrix.
-MEMBERS = 256
-#: Bits of the membership filter that saves shuffling sets nobody asks for.
-_FILTER_BITS = 23
+#: Classes under one shingle that one task takes; beyond it the shingle is dealt to several.
+LIST = 1 << 16
+#: Classes, and shingles, of one group of the token-group matrix.
+MEMBERS, TOKENS = 256, 1 << 20
+#: Askers of a group that one task takes.
+ASKERS = 4096
+#: Bits of the filter that keeps sets nobody asks for out of the shuffle, as a power of two: eight a class between these.
+FILTER_BITS = (16, 28)
 
 
 def needed(t: int, size: np.ndarray) -> np.ndarray:
@@ -64,6 +70,11 @@ def needed(t: int, size: np.ndarray) -> np.ndarray:
     return -(-(t * size) // 100)
 
 
+def _bits(n: int, between: tuple[int, int]) -> int:
+    """The power of two that holds eight times ``n``, between two bounds."""
+    return min(between[1], max(between[0], (8 * n).bit_length()))
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     return shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), k)
 
@@ -75,14 +86,20 @@ def _set_class(s: np.ndarray) -> int:
         return int(mix64(np.array([a + b * np.uint64(3) + np.uint64(len(s))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _place(s: np.ndarray, bits: int) -> np.ndarray:
+    """The first bits of hashes, as an index."""
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def folded(arrays: DataFrame, how: str, dtype: str) -> list[tuple[int, bytes]]:
     """Arrays of equal chunks (chunk, data) added up as long or or-ed: one array a chunk, whatever the number of rows.
 
-    The result has a fixed size (the caller's number of chunks times the chunk)."""
+    The result has a bounded size (the caller's number of chunks times the chunk)."""
     op, wide = (np.add, np.int64) if how == "add" else (np.bitwise_or, dtype)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,45 +114,49 @@ def folded(arrays: DataFrame, how: str, dtype: str) -> list[tuple[int, bytes]]:
     return [(r[0], bytes(r[1])) for r in arrays.repartition(16, "chunk").mapInArrow(fold, "chunk int, data binary").collect()]
 
 
-def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, cls of every document (chunk null), and the sketch arrays of each task (doc_id null, chunk and data set)."""
+def classes(docs: DataFrame, k: int, bits: int) -> DataFrame:
+    """doc_id, text_hash, n, cls of every document (chunk null), and the sketch arrays of each task (doc_id null, chunk and data set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        types = {"doc_id": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "chunk": pa.int32(), "data": pa.binary()}
+        counts = np.zeros(1 << bits, dtype=np.int64)
+        types = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n": pa.int64(), "cls": pa.int64(), "chunk": pa.int32(), "data": pa.binary()}
         seen = False
         for batch in batches:
             n, cls = [], []
             for s in _sets(batch, k):
                 n.append(len(s))
                 cls.append(_set_class(s) if len(s) else None)
-                np.add.at(counts, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, _place(s, bits), 1)
             seen = True
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()), "chunk": pa.nulls(len(n), pa.int32()), "data": pa.nulls(len(n), pa.binary())}
+                {
+                    "doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.int64()),
+                    "chunk": pa.nulls(len(n), pa.int32()), "data": pa.nulls(len(n), pa.binary()),
+                }
             )
         if seen:
             parts = [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(counts, _CHUNKS)]
             none = pa.nulls(_CHUNKS, pa.int64())
-            yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "cls": none, "chunk": pa.array(range(_CHUNKS), pa.int32()), "data": pa.array(parts, pa.binary())}, schema=pa.schema(types))
+            rest = {"chunk": pa.array(range(_CHUNKS), pa.int32()), "data": pa.array(parts, pa.binary())}
+            yield pa.RecordBatch.from_pydict({"doc_id": none, "text_hash": none, "n": none, "cls": none} | rest, schema=pa.schema(types))
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, chunk int, data binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n long, cls long, chunk int, data binary")
 
 
-def frequency_order(table: DataFrame) -> np.ndarray:
-    """A coarse rank of each sketch bucket by its document count (log scale, one byte)."""
-    counts = np.zeros(1 << SKETCH_BITS)
+def frequencies(table: DataFrame, bits: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each sketch bucket a coarse rank by its document count (log scale, one byte), and the parts its shingles are dealt to."""
+    counts = np.zeros(1 << bits, np.int64)
     width = len(counts) // _CHUNKS
     for chunk, data in folded(table.where("chunk is not null").select("chunk", "data"), "add", "uint16"):
         counts[chunk * width : (chunk + 1) * width] = np.frombuffer(data, np.int64)
-    return np.minimum(255, np.log2(1 + counts) * 6).astype(np.uint8)
+    return np.minimum(255, np.log2(1 + counts) * 6).astype(np.uint8), np.clip(-(-counts // most), 1, 65535).astype(np.uint16)
 
 
-def postings(docs: DataFrame, order, k: int, t: int, buckets: int) -> DataFrame:
-    """The head shingles of each class, packed: bucket, tok (u32), doc (u16 into cls and size), pos (u16)."""
+def postings(docs: DataFrame, order, k: int, t: int, buckets: int, bits: int) -> DataFrame:
+    """The head shingles of each class, packed: bucket, part (-1 unless dealt), tok (u32), doc (u16 into cls and size), pos (u16)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = order.value
+        rank, parts = order.value
         seen: set[int] = set()
         held, held_cls, held_size, total = [], [], [], 0
 
@@ -145,22 +166,24 @@ def postings(docs: DataFrame, order, k: int, t: int, buckets: int) -> DataFrame:
             doc = np.repeat(np.arange(len(held)), lens)
             pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
             cls, size = np.array(held_cls, np.int64), np.array(held_size, np.int32)
+            dealt = parts[_place(tok, bits)].astype(np.uint64)
+            turn = mix64(cls.view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))[doc]
+            part = np.where(dealt > 1, (turn % dealt).astype(np.int64), -1)
             mixed = mix64(tok)
-            to = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            by = np.argsort(to, kind="stable")
-            cuts = np.searchsorted(to[by], np.arange(buckets + 1))
-            out = {n: [] for n in ("bucket", "tok", "doc", "pos", "cls", "size")}
-            for b in range(buckets):
-                i = by[cuts[b] : cuts[b + 1]]
-                if len(i):
-                    own, local = np.unique(doc[i], return_inverse=True)
-                    out["bucket"].append(b)
-                    out["tok"].append(mixed[i].astype(np.uint32).tobytes())
-                    out["doc"].append(local.astype(np.uint16).tobytes())
-                    out["pos"].append(np.minimum(pos[i], 65535).astype(np.uint16).tobytes())
-                    out["cls"].append(cls[own].tobytes())
-                    out["size"].append(size[own].tobytes())
-            return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int32() if n == "bucket" else pa.binary()) for n, v in out.items()})
+            key = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64) + (part + 1) * buckets
+            by = np.argsort(key, kind="stable")
+            keys, cuts = np.unique(key[by], return_index=True)
+            out = {n: [] for n in ("bucket", "part", "tok", "doc", "pos", "cls", "size")}
+            for q, i in zip(keys, np.split(by, cuts[1:]), strict=True):
+                own, local = np.unique(doc[i], return_inverse=True)
+                out["bucket"].append(q % buckets)
+                out["part"].append(q // buckets - 1)
+                out["tok"].append(mixed[i].astype(np.uint32).tobytes())
+                out["doc"].append(local.astype(np.uint16).tobytes())
+                out["pos"].append(np.minimum(pos[i], 65535).astype(np.uint16).tobytes())
+                out["cls"].append(cls[own].tobytes())
+                out["size"].append(size[own].tobytes())
+            return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int32() if n in ("bucket", "part") else pa.binary()) for n, v in out.items()})
 
         for batch in batches:
             for s in _sets(batch, k):
@@ -172,7 +195,7 @@ def postings(docs: DataFrame, order, k: int, t: int, buckets: int) -> DataFrame:
                 if len(seen) < 1_000_000:  # copies within a task are sent once; beyond this, once more
                     seen.add(c)
                 head = len(s) - int(needed(t, np.int64(len(s)))) + 1
-                by = np.argsort(rank[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
+                by = np.argsort(rank[_place(s, bits)], kind="stable")
                 held.append(s[by[:head]])
                 held_cls.append(c)
                 held_size.append(len(s))
@@ -183,14 +206,22 @@ def postings(docs: DataFrame, order, k: int, t: int, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(run, "bucket int, tok binary, doc binary, pos binary, cls binary, size binary")
+    return docs.mapInArrow(run, "bucket int, part int, tok binary, doc binary, pos binary, cls binary, size binary")
+
+
+def _fit(z, m, z2, m2, t: int):
+    """Whether two sets can reach t through a shingle, by their sizes z and the largest partners m they can have."""
+    return (100 * z >= t * z2) & (100 * z2 >= t * z) & (m >= z2) & (m2 >= z)
 
 
-def leaders_and_lists(posted: DataFrame, t: int) -> DataFrame:
+def leaders_and_lists(posted: DataFrame, t: int, most: int) -> DataFrame:
     """Per bucket: pairs (a, b) of each class with the leader under a shingle, and the shingles (lid) of three classes or
-    more, packed: c (class), z (size), m (the largest partner the class can have through the shingle)."""
+    more, packed: c (class), z (size), m (the largest partner the class can have through the shingle), n (classes there).
+
+    Dealt shingles are listed whole, and their leaders (lead) in rows of their own."""
 
     def reduce(table: pa.Table) -> pa.Table:
+        bucket, dealt = table.column("bucket")[0].as_py(), table.column("part")[0].as_py() >= 0
         col = {n: [np.frombuffer(x, d) for x in table.column(n).to_pylist()] for n, d in (("tok", np.uint32), ("doc", np.uint16), ("pos", np.uint16), ("cls", np.int64), ("size", np.int32))}
         tok = np.concatenate(col["tok"])
         cls = np.concatenate([c[d] for c, d in zip(col["cls"], col["doc"], strict=True)])
@@ -198,83 +229,95 @@ def leaders_and_lists(posted: DataFrame, t: int) -> DataFrame:
         pos = np.concatenate(col["pos"]).astype(np.int64)
         del col
         # |x n y| >= t/(1+t) (|x|+|y|) and |x n y| <= |x| - pos bound the partner's size
-        most = (size - pos) * (100 + t) // t - size
+        reach = (size - pos) * (100 + t) // t - size
         turn = mix64(cls.view(np.uint64) + (tok.astype(np.uint64) % np.uint64(LEADERS)) * np.uint64(0x9E3779B97F4A7C15))
-        by = np.lexsort((turn, tok))
-        tok, cls, size, most = tok[by], cls[by], size[by], most[by]
+        by = np.lexsort((pos, turn, tok))
+        tok, cls, size, reach = tok[by], cls[by], size[by], reach[by]
         fresh = np.ones(len(tok), bool)
         fresh[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
-        tok, cls, size, most = tok[fresh], cls[fresh], size[fresh], most[fresh]
+        tok, cls, size, reach = tok[fresh], cls[fresh], size[fresh], reach[fresh]
         start = np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]) if len(tok) else np.empty(0, np.int64)
         count = np.diff(np.r_[start, len(tok)])
         lead = np.repeat(start, count)
-        fits = (np.arange(len(tok)) != lead) & (100 * np.minimum(size, size[lead]) >= t * np.maximum(size, size[lead])) & (most >= size[lead]) & (most[lead] >= size)
+        fits = (np.arange(len(tok)) != lead) & _fit(size, reach, size[lead], reach[lead], t)
         ends = np.stack([np.maximum(cls[fits], cls[lead[fits]]), np.minimum(cls[fits], cls[lead[fits]])], 1)
         pairs = np.unique(ends, axis=0)
-        lid, packed = [], ([], [], [])
-        for s, n in zip(start[count > 2], count[count > 2], strict=True):
-            c, z, m = cls[s : s + n], size[s : s + n], most[s : s + n]
-            # an entry no other can reach by size is dropped
-            zs = np.sort(z)
-            reach = np.searchsorted(zs, np.minimum(m, z * 100 // t), "right") - np.searchsorted(zs, needed(t, z), "left")
-            live = reach > (m >= z)
-            if live.sum() > 1:
-                lid.append(int(tok[s]))
+        lid, length, packed, first = [], [], ([], [], []), []
+        listed = np.ones(len(start), bool) if dealt else count > 2
+        for s, n in zip(start[listed], count[listed], strict=True):
+            c, z, m = cls[s : s + n], size[s : s + n], reach[s : s + n]
+            if not dealt:
+                # an entry no other can reach by size is dropped
+                zs = np.sort(z)
+                near = np.searchsorted(zs, np.minimum(m, z * 100 // t), "right") - np.searchsorted(zs, needed(t, z), "left")
+                live = near > (m >= z)
+                if live.sum() < 2:
+                    continue
+                c, z, m = c[live], z[live], m[live]
+            for lo, hi, is_lead in [(0, len(c), False)] + [(0, 1, True)] * dealt:
+                lid.append((bucket << 32) + int(tok[s]))
+                length.append(most if dealt else int(n))
+                first.append(is_lead)
                 for out, x in zip(packed, (c, z, m), strict=True):
-                    out.append(x[live].tobytes())
+                    out.append(x[lo:hi].tobytes())
         n, k = len(pairs), len(lid)
         return pa.table(
             {
                 "a": pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), pa.nulls(k, pa.int64())]),
                 "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(k, pa.int64())]),
-                "bucket": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array([table.column("bucket")[0].as_py()] * k, pa.int32())]),
                 "lid": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(lid, pa.int64())]),
+                "n": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(length, pa.int64())]),
+                "lead": pa.concat_arrays([pa.nulls(n, pa.bool_()), pa.array(first, pa.bool_())]),
                 **{name: pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(x, pa.binary())]) for name, x in zip("czm", packed, strict=True)},
             }
         )
 
-    return posted.groupBy("bucket").applyInArrow(reduce, "a long, b long, bucket int, lid long, c binary, z binary, m binary")
+    return posted.groupBy("bucket", "part").applyInArrow(reduce, "a long, b long, lid long, n long, lead boolean, c binary, z binary, m binary")
+
+
+def _entries(lists: DataFrame) -> DataFrame:
+    """lid, n, c, z, m: the lists, one row an entry."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lid, n, *cols in zip(*[batch.column(x).to_pylist() for x in ("lid", "n", "c", "z", "m")], strict=True):
+                c, z, m = (np.frombuffer(x, np.int64) for x in cols)
+                yield pa.RecordBatch.from_pydict({"lid": np.full(len(c), lid), "n": np.full(len(c), n), "c": c, "z": z, "m": m})
+
+    return lists.select("lid", "n", "c", "z", "m").mapInArrow(spread, "lid long, n long, c long, z long, m long")
+
+
+def led(found: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) of the leaders of a dealt shingle's parts with the first of them."""
+    leads = _entries(found.where("lead")).withColumn("turn", F.xxhash64("c", F.pmod("lid", F.lit(LEADERS))))
+    first = leads.groupBy("lid").agg(F.min(F.struct("turn", "c", "z", "m")).alias("f"))
+    fits = _fit(F.col("z"), F.col("m"), F.col("f.z"), F.col("f.m"), t)
+    return leads.join(first, "lid").where(fits & (F.col("c") != F.col("f.c"))).select(F.greatest("c", "f.c").alias("a"), F.least("c", "f.c").alias("b"))
 
 
 def _asked(spark: SparkSession, ids: DataFrame):
-    """A fixed-size filter of the class ids in ``ids`` (column c): false for a class that is surely not among them."""
-    bits = 1 << _FILTER_BITS
+    """A filter of the class ids in ``ids`` (column c): false for a class that is surely not among them."""
+    bits = _bits(ids.count(), FILTER_BITS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.zeros(bits, np.uint8)
+        m = np.zeros(1 << bits, np.uint8)
         for b in batches:
-            m[(mix64(b.column("c").to_numpy().view(np.uint64)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = 1
+            m[_place(mix64(b.column("c").to_numpy().view(np.uint64)), bits)] = 1
         packed = np.split(np.packbits(m), _CHUNKS)
         yield pa.RecordBatch.from_pydict({"chunk": pa.array([i for i, x in enumerate(packed) if x.any()], pa.int32()), "data": pa.array([x.tobytes() for x in packed if x.any()], pa.binary())})
 
-    whole = np.zeros(bits // 8, np.uint8)
+    whole = np.zeros((1 << bits) // 8, np.uint8)
     width = len(whole) // _CHUNKS
     for chunk, data in folded(ids.mapInArrow(mark, "chunk int, data binary"), "or", "uint8"):
         whole[chunk * width : (chunk + 1) * width] = np.frombuffer(data, np.uint8)
-    return spark.sparkContext.broadcast(whole)
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("c"))
-
-
-def pack(s: np.ndarray) -> bytes:
-    """The first 40 bits of sorted hashes, five bytes each."""
-    return np.unique(s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpack(data) -> np.ndarray:
-    raw = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :5] = raw
-    return out.view("<u8").ravel()
+    return spark.sparkContext.broadcast((bits, whole))
 
 
 def class_sets(docs: DataFrame, asked, k: int) -> DataFrame:
-    """cls and its sorted shingles (packed) of every class the filter lets through, copies of a task once."""
+    """cls and its sorted shingles (eight bytes each) of every class the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(asked.value)
+        bits, packed = asked.value
         seen: set[int] = set()
         for batch in batches:
             cls, data, size = [], [], 0
@@ -282,13 +325,13 @@ def class_sets(docs: DataFrame, asked, k: int) -> DataFrame:
                 if not len(s):
                     continue
                 c = _set_class(s)
-                slot = int(mix64(np.array([c], np.int64).view(np.uint64))[0] >> np.uint64(64 - _FILTER_BITS))
-                if c in seen or not bits[slot]:
+                slot = int(mix64(np.array([c], np.int64).view(np.uint64))[0] >> np.uint64(64 - bits))
+                if c in seen or not packed[slot >> 3] >> (7 - (slot & 7)) & 1:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
                 cls.append(c)
-                data.append(pack(s))
+                data.append(s.tobytes())
                 size += len(data[-1])
                 if size > 1 << 24:
                     yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "tokens": pa.array(data, pa.binary())})
@@ -296,7 +339,11 @@ def class_sets(docs: DataFrame, asked, k: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "tokens": pa.array(data, pa.binary())})
 
     # copies of a class in different tasks: any one of them is the set
-    return docs.mapInArrow(run, "cls long, tokens binary")
+    return docs.select("text").mapInArrow(run, "cls long, tokens binary").dropDuplicates(["cls"])
+
+
+def _u64(data) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
@@ -306,99 +353,121 @@ def linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
         for b in batches:
             keep = []
             for x, y in zip(b.column("ta"), b.column("tb"), strict=True):
-                x, y = unpack(x.as_buffer()), unpack(y.as_buffer())
-                both = np.concatenate([x, y])
-                both.sort()
+                both = np.concatenate([_u64(x.as_buffer()), _u64(y.as_buffer())])
+                both.sort(kind="stable")
                 n = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * n >= t * (len(x) + len(y) - n))
+                keep.append(100 * n >= t * (len(both) - n))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    one = sets.dropDuplicates(["cls"])
-    left = pairs.join(one.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
-    full = left.join(one.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
+    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
+    full = left.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
     return full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
 
 
-def _entries(lists: DataFrame) -> DataFrame:
-    """bucket, lid, c, z, m: the lists, one row an entry."""
+def matrix_asks(lists: DataFrame, components_: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
+    """Members (c, z, g, grp: a class, its size, component and group of the matrix) and asks (q, qz, g, grp: which class asks which group)."""
+    sized = components_.join(components_.groupBy("component").agg(F.count(F.lit(1)).alias("gn")), "component")
+    placed = _entries(lists).join(sized, F.col("c") == F.col("node"), "left").select("lid", "n", "c", "z", "m", F.coalesce("component", "c").alias("g"), F.coalesce("gn", F.lit(1)).alias("gn"))
+    # a list all in one component is settled
+    mixed = placed.groupBy("lid").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("lid")
+    placed = durable(placed.join(mixed, "lid", "left_semi"), "ngram-placed")
+    # at home under the most common shingle
+    homes = placed.groupBy("c").agg(F.max(F.struct("n", "lid"))["lid"].alias("home"), F.first("z").alias("z"), F.first("g").alias("g"), F.first("gn").alias("gn"))
+    homes = homes.withColumn("bin", F.floor(F.log("z") / F.log(F.lit(4 / 3))))
+    parts = homes.groupBy("home", "bin").agg(F.ceil(F.greatest(F.count(F.lit(1)) / MEMBERS, F.sum("z") / TOKENS)).alias("parts"))
+    members = homes.join(parts, ["home", "bin"]).withColumn("grp", F.xxhash64("home", "bin", F.pmod(F.xxhash64("c"), F.col("parts"))))
+    members = durable(members.select("c", "z", "g", "gn", "home", "grp"), "ngram-members")
+    rank = F.struct("gn", "g")
+    # which homes a class can reach under a shingle, then which of their groups
+    there = placed.join(members.select("c", "home"), "c").groupBy("lid", "home").agg(
+        F.min("z").alias("z0"), F.max("z").alias("z1"), F.max("m").alias("m1"), F.max(rank).alias("top"))
+    can = (F.col("m") >= F.col("z0")) & (F.col("m1") >= F.col("z")) & (100 * F.col("z") >= t * F.col("z0")) & (100 * F.col("z1") >= t * F.col("z")) & (F.col("top") > rank)
+    homely = placed.join(there, "lid").where(can).groupBy("c", "home").agg(*[F.first(x).alias(x) for x in ("z", "g", "gn")])
+    groups = members.groupBy("home", "grp").agg(F.min("z").alias("z0"), F.max("z").alias("z1"), F.max(rank).alias("top"))
+    fits = (100 * F.col("z") >= t * F.col("z0")) & (100 * F.col("z1") >= t * F.col("z")) & (F.col("top") > rank)
+    asks = homely.join(groups, "home").where(fits).select(F.col("c").alias("q"), F.col("z").alias("qz"), "g", "grp")
+    return members, durable(asks, "ngram-asks")
+
+
+def token_group_matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """A packed row for each group: ids, z and g of its members, the union of their shingles, and for each of those the
+    members that hold it (``at`` to ``holders``)."""
+
+    def pack(grp: int, rows: list[tuple]) -> dict:
+        x = np.concatenate([_u64(r[3]) for r in rows])
+        who = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(r[3]) // 8 for r in rows])
+        by = np.argsort(x, kind="stable")
+        union, at = np.unique(x[by], return_index=True)
+        cols = (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), union, np.r_[at, len(x)].astype(np.uint32), who[by])
+        return {"grp": grp} | {n: c.tobytes() for n, c in zip(("ids", "z", "g", "tokens", "at", "holders"), cols, strict=True)}
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for bucket, lid, *cols in zip(*[batch.column(n).to_pylist() for n in ("bucket", "lid", "c", "z", "m")], strict=True):
-                c, z, m = (np.frombuffer(x, np.int64) for x in cols)
-                yield pa.RecordBatch.from_pydict({"bucket": np.full(len(c), bucket, np.int32), "lid": np.full(len(c), lid), "c": c, "z": z, "m": m})
-
-    return lists.mapInArrow(spread, "bucket int, lid long, c long, z long, m long")
-
-
-def cross_pairs(lists: DataFrame, group_of: DataFrame, t: int) -> DataFrame:
-    """q, qz, g, y, more: classes within reach of another group under a shingle, PROBES members y of it, and whether
-    there are more than those."""
-    placed = _entries(lists).join(group_of, F.col("c") == F.col("node"), "left").select("bucket", "lid", "c", "z", "m", F.coalesce("component", "c").alias("g"))
-    # a list all in one group is settled
-    mixed = placed.groupBy("bucket", "lid").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("bucket", "lid")
-
-    def cross(table: pa.Table) -> pa.Table:
-        lid, *cols = (table.column(n).to_numpy() for n in ("lid", "c", "z", "m", "g"))
-        by = np.argsort(lid, kind="stable")
-        lid, cols = lid[by], [x[by] for x in cols]
-        turn = mix64(cols[0].view(np.uint64))
-        out = []
-        cuts = np.flatnonzero(np.r_[True, lid[1:] != lid[:-1], True])
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            order = lo + np.lexsort((turn[lo:hi], cols[3][lo:hi]))  # by group, then by a hash
-            c, z, m, g = (x[order] for x in cols)
-            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
-            n = np.diff(np.r_[first, len(g)])
-            main = n.argmax()
-            other = np.flatnonzero(g != g[first[main]])
-            for i in np.array_split(other, -(-len(other) // 256)):
-                # the group of most entries is asked by all others; those ask each other in one direction
-                ok = (m[i][:, None] >= z) & (m >= z[i][:, None]) & (100 * z[i][:, None] >= t * z) & (100 * z >= t * z[i][:, None])
-                ok &= (g == g[first[main]]) | (g[i][:, None] < g)
-                run = np.cumsum(ok, 1)
-                place = run - np.repeat(np.concatenate([np.zeros((len(i), 1), run.dtype), run[:, first[1:] - 1]], 1), n, axis=1)
-                a, b = np.nonzero(ok & (place <= PROBES + 1))
-                out.append(np.stack([c[i][a], z[i][a], g[b], c[b], place[a, b] > PROBES]))
-        got = np.unique(np.concatenate(out, 1), axis=1) if out else np.empty((5, 0), np.int64)
-        return pa.table(dict(zip(("q", "qz", "g", "y", "more"), got, strict=True)))
-
-    rows = placed.join(mixed, ["bucket", "lid"], "left_semi").groupBy("bucket").applyInArrow(cross, "q long, qz long, g long, y long, more long")
-    return rows.groupBy("q", "qz", "g", "y").agg(F.max("more").alias("more")).withColumns({"a": F.greatest("q", "y"), "b": F.least("q", "y")})
-
-
-def qualifying(asks: DataFrame, group_of: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """(q, g) of ``asks`` (q, qz, g) whose overlap with the union of the group's shingles lets the group be opened."""
-    groups = asks.select("g").distinct()
-    members = groups.join(group_of, F.col("g") == F.col("component"), "left").select("g", F.coalesce("node", "g").alias("c"))
-    parts = members.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("long").alias("parts"))
-    one = sets.dropDuplicates(["cls"])
-
-    def split(key: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for g, k, parts, data in zip(*[batch.column(n) for n in ("g", key, "parts", "tokens")], strict=True):
-                    x, n = unpack(data.as_buffer()), parts.as_py()
-                    cut = [x] if n == 1 else [x[x % np.uint64(n) == np.uint64(r)] for r in range(n)]
-                    yield pa.RecordBatch.from_pydict({"g": np.full(n, g.as_py()), "r": np.arange(n), "k": np.full(n, k.as_py()), "tokens": pa.array([c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes() for c in cut], pa.binary())})
-
-        return run
-
-    kind = "g long, r long, k long, tokens binary"
-    union = members.join(parts, "g").join(one, F.col("c") == F.col("cls")).select("g", "c", "parts", "tokens").mapInArrow(split("c"), kind)
-    asking = asks.select("q", "g").join(parts, "g").join(one, F.col("q") == F.col("cls")).select("g", "q", "parts", "tokens").mapInArrow(split("q"), kind)
-
-    def bound(u: pa.Table, q: pa.Table) -> pa.Table:
-        whole = np.unique(np.concatenate([unpack(x) for x in u.column("tokens").to_pylist()] or [np.empty(0, np.uint64)]))
-        n = []
-        for x in q.column("tokens").to_pylist():
-            x = unpack(x)
-            at = np.searchsorted(whole, x)
-            n.append(int((whole[np.minimum(at, len(whole) - 1)] == x).sum()) if len(whole) else 0)
-        return pa.table({"q": q.column("k"), "g": q.column("g"), "n": pa.array(n, pa.int64())})
-
-    overlap = union.groupBy("g", "r").cogroup(asking.groupBy("g", "r")).applyInArrow(bound, "q long, g long, n long")
-    return overlap.groupBy("q", "g").agg(F.sum("n").alias("n")).join(asks, ["q", "g"]).where(F.col("n") * 100 >= F.col("qz") * t).select("q", "g")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grp, rows = None, []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([pack(grp, rows)], schema=pa.schema([("grp", pa.int64())] + [(n, pa.binary()) for n in ("ids", "z", "g", "tokens", "at", "holders")]))
+
+        for b in batches:
+            for own, *r in zip(*[b.column(n).to_pylist() for n in ("grp", "c", "z", "g", "tokens")], strict=True):
+                if own != grp and rows:
+                    yield row()
+                    rows = []
+                grp = own
+                rows.append(r)
+        if rows:
+            yield row()
+
+    filled = members.join(sets, F.col("c") == F.col("cls")).select("grp", "c", "z", "g", "tokens")
+    return filled.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, ids binary, z binary, g binary, tokens binary, at binary, holders binary")
+
+
+def opened(matrix: DataFrame, asks: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Links (a, b) of askers with members of the groups that the bound lets them open: one for each component newly reached."""
+    packed = ("ids", "z", "g", "at", "holders")
+    turns = asks.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ASKERS, F.sum("qz") / (8 * TOKENS))).alias("turns"))
+    none = [F.lit(None).cast("binary").alias(n) for n in packed]
+    rows = matrix.join(turns, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("long").alias("q"), F.lit(None).cast("long").alias("qg"), "tokens", *packed)
+    asking = asks.join(turns, "grp").join(sets, F.col("q") == F.col("cls")).select("grp", F.pmod(F.xxhash64("q"), F.col("turns")).alias("turn"), "q", F.col("g").alias("qg"), "tokens", *none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        union = ids = size = comp = at = holders = None
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (up := root.get(x, x)) != x:
+                root[x] = root.get(up, up)
+                x = up
+            return x
+
+        for b in batches:
+            found = []
+            for i, q in enumerate(b.column("q").to_pylist()):
+                tokens = _u64(b.column("tokens")[i].as_buffer())
+                if q is None:  # the group's row stands before its askers
+                    root, union = {}, tokens
+                    ids, size, comp = (np.frombuffer(b.column(n)[i].as_buffer(), np.int64) for n in ("ids", "z", "g"))
+                    at, holders = (np.frombuffer(b.column(n)[i].as_buffer(), np.uint32) for n in ("at", "holders"))
+                    continue
+                place = np.searchsorted(union, tokens)
+                place = place[union[np.minimum(place, len(union) - 1)] == tokens]
+                if 100 * len(place) < t * len(tokens):  # the bound: no member can share more
+                    continue
+                lo, n = at[place].astype(np.int64), (at[place + 1] - at[place]).astype(np.int64)
+                ends = np.cumsum(n)
+                both = np.bincount(holders[np.repeat(lo - ends + n, n) + np.arange(ends[-1])], minlength=len(ids))
+                hit = np.flatnonzero(100 * both >= t * (len(tokens) + size - both))
+                _, one = np.unique(comp[hit], return_index=True)
+                g = b.column("qg")[i].as_py()
+                for j in hit[one]:
+                    x, y = find(g), find(int(comp[j]))
+                    if x != y:
+                        root[x] = y
+                        found.append((q, int(ids[j])))
+            a, c = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
+
+    both = rows.unionByName(asking)
+    return both.repartition("grp", "turn").sortWithinPartitions("grp", "turn", F.col("q").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -406,43 +475,32 @@ def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document: Jaccard of k-word shingles >= percent / 100."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, most: int = LIST) -> DataFrame:
+    """doc_id, n_shingles, component_id, label (one for each component, null for empty sets) and text_hash of every document: Jaccard of k-word shingles >= percent / 100."""
     spark = docs.sparkSession
     slim = _with_text(docs, id_col, text_col)
-    table = durable(classes(slim, k), "ngram-classes")
-    rows = table.where("chunk is null").select("doc_id", "n", "cls")
-    order = spark.sparkContext.broadcast(frequency_order(table))
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = durable(leaders_and_lists(postings(slim, order, k, percent, buckets), percent), "ngram-lists")
-    pairs = durable(found.where("a is not null").select("a", "b").distinct(), "ngram-pairs")
-    lists = found.where("lid is not null").select("bucket", "lid", "c", "z", "m")
-    links = durable(linked(pairs, class_sets(slim, _asked(spark, _ends(pairs)), k), percent), "ngram-links")
-    groups = durable(components(links), "ngram-groups")
-    probes = durable(cross_pairs(lists, groups, percent).where("more = 0").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "ngram-probes")
-    if not probes.isEmpty():
-        known = pairs.unionByName(probes)
-        groups = durable(grown(groups, linked(probes, class_sets(slim, _asked(spark, _ends(probes)), k), percent)), "ngram-groups")
-        near = cross_pairs(lists, groups, percent)
-        # a class that met all members within reach of a group has nothing to ask
-        asks = near.where("more = 1").select("q", "qz", "g").unionByName(near.join(known, ["a", "b"], "left_anti").select("q", "qz", "g")).distinct()
-        asks = durable(asks, "ngram-asks")
-        if not asks.isEmpty():
-            members = asks.select("g").distinct().join(groups, F.col("g") == F.col("component"), "left").select("g", F.coalesce("node", "g").alias("c"))
-            ids = asks.select(F.col("q").alias("c")).unionByName(members.select("c"))
-            passed = qualifying(asks, groups, class_sets(slim, _asked(spark, ids), k), percent)
-            sizes = rows.where("cls is not null").groupBy("cls").agg(F.max("n").alias("n"))
-            fitting = passed.join(asks, ["q", "g"]).join(members, "g").join(sizes, F.col("c") == F.col("cls"))
-            fitting = fitting.where((F.col("n") * 100 >= F.col("qz") * percent) & (F.col("qz") * 100 >= F.col("n") * percent))
-            opened = fitting.select(F.greatest("q", "c").alias("a"), F.least("q", "c").alias("b")).where("a <> b").distinct()
-            opened = durable(opened.join(known, ["a", "b"], "left_anti"), "ngram-opened")
-            groups = grown(groups, linked(opened, class_sets(slim, _asked(spark, _ends(opened)), k), percent))
+    bits = _bits(slim.count(), SKETCH_BITS)
+    table = durable(classes(slim, k, bits), "ngram-classes")
+    rows = table.where("chunk is null").select("doc_id", "text_hash", "n", "cls")
+    order = spark.sparkContext.broadcast(frequencies(table, bits, most))
+    heads = rows.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(heads) // _BUCKET)
+    found = durable(leaders_and_lists(postings(slim, order, k, percent, buckets, bits), percent, most), "ngram-lists")
+    lists = found.where("not lead")
+    pairs = durable(found.where("a is not null").select("a", "b").unionByName(led(found, percent)).distinct(), "ngram-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(_entries(lists).select("c")).distinct()
+    sets = durable(class_sets(slim, _asked(spark, durable(ids, "ngram-live")), k), "ngram-sets")
+    groups = durable(components(linked(pairs, sets, percent)), "ngram-groups")
+    members, asks = matrix_asks(lists, groups, percent)
+    if not asks.isEmpty():
+        matrix = durable(token_group_matrix(members.join(asks.select("grp").distinct(), "grp", "left_semi"), sets), "ngram-matrix")
+        groups = grown(groups, durable(opened(matrix, asks, sets, percent), "ngram-opened"))
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     labelled = least.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("label"))
     firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    by_class = labelled.join(firsts, "label").select(F.col("cls").alias("k"), "component_id")
+    by_class = labelled.join(firsts, "label").select(F.col("cls").alias("k"), "component_id", "label")
     return rows.join(by_class, F.col("cls") == F.col("k"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "label", "text_hash"
     )
 
 

@@ -88,6 +88,25 @@ def test_ngram_join_joins_fragments_of_a_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == groups_of(rows)
 
 
+def test_ngram_join_deals_hot_shingles_and_opens_groups(spark):
+    # variants of one text that only some others reach, a template around short own parts, and parts of both sizes
+    rng = random.Random(11)
+    base, form = [f"b{i}" for i in range(90)], [f"f{i}" for i in range(60)]
+    texts = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(90)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+        own = [f"o{i}x{j}" for j in range(rng.randrange(8, 22))]
+        texts.append(" ".join(form + own if i % 2 else own + form[: 40 + i % 20]))
+    rows = list(enumerate(texts))
+    want = groups_of(rows)
+    for most in (1 << 16, 24):
+        got = ngram_join.near_duplicates(frame(spark, [(i, t, "s") for i, t in rows]), most=most)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
 def test_ngram_join_nulls_repeats_and_nothing(spark):
     rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s"), (2, None, None)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
