@@ -230,6 +230,51 @@ def test_mixing_meets_targets(spark):
     assert mixing.taken(frame(spark, [])).count() == 0
 
 
+def test_the_draw_of_a_shard_decides_what_is_read(spark):
+    df = frame(spark, [(i, " ".join(f"w{i}_{j}" for j in range(i % 50)), "abc"[i % 3 if i % 5 else 0]) for i in range(400)])
+    per_source = mixing.targets(mixing.sized(df))
+    plans = {}
+    for seed in (1, 2):
+        read = mixing.slots(per_source, 8, 16, seed).collect()
+        assert len({(r.src, r.slot) for r in read}) == len(read)
+        words, shards = Counter(), Counter()
+        for r in read:
+            words[r.src] += r.words
+            shards[r.shard, r.src] += 1
+        assert all(abs(words[r.src] - r.target) <= 1 for r in per_source.collect())
+        plans[seed] = shards, {r.doc_id: r.taken for r in mixing.taken(df, 8, 16, seed).collect()}
+    assert plans[1][0] != plans[2][0] and plans[1][1] != plans[2][1]
+    # counts of a shard vary as a multinomial's, not as equal parts do
+    assert len({n for (s, src), n in plans[1][0].items() if src == 0}) > 2
+
+
+def test_mixed_blocks_are_the_words_of_their_documents(spark):
+    df = frame(spark, [(i, " ".join(f"w{i}_{j}" for j in range(i % 70)), "ab"[i % 3 == 0]) for i in range(90)])
+    want, got = {r.doc_id: r.taken for r in mixing.taken(df, 4, 16).collect()}, Counter()
+    rows = mixing.mixed_blocks(df, 4, 16).collect()
+    for r in rows:
+        words = r.text.split(" ")
+        assert len(words) == r.n_words <= 16
+        got.update(int(w[1:].split("_")[0]) for w in words)
+        assert {int(w[1:].split("_")[0]) for w in words} <= set(r.doc_ids)
+    assert {i: n for i, n in want.items() if n} == dict(got)
+    assert sum(r.n_words == 16 for r in rows) > 0.8 * len(rows)
+    assert mixing.mixed_blocks(frame(spark, [])).count() == 0
+
+
+def test_mixing_sizes_equal_sql(spark):
+    import duckdb
+
+    rows = [(i, " ".join(["w"] * (i % 37)), [None, "a", "b", "c", "d"][min(4, i % 11)]) for i in range(300)] + [(1000 + i, t, "odd") for i, t in enumerate(ODD)]
+    df = frame(spark, rows)
+    with duckdb.connect() as db:
+        db.register("documents", df.toPandas())
+        want = db.sql(mixing.SIZES_SQL).fetchall()
+    got = mixing.taken(df, block_words=16).select("doc_id", "size", "source_size", "target").collect()
+    assert [(a, b, c) for a, b, c, _ in sorted(want)] == [(a, b, c) for a, b, c, _ in sorted(map(tuple, got))]
+    assert all(x[3] == pytest.approx(y[3]) for x, y in zip(sorted(want), sorted(map(tuple, got)), strict=True))
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 17, 1000, 4097):
         p = mixing.permute(np.arange(n), n, 99)
@@ -241,7 +286,11 @@ def test_mixed_texts_hold_the_words_taken(spark):
     df = frame(spark, [(i, f"{i} " + " ".join(f"w{i}_{j}" for j in range(i % 40)), "ab"[i % 2]) for i in range(60)])
     want = {r.doc_id: r.taken for r in mixing.taken(df, block_words=8).collect()}
     got, texts = Counter(), {r.doc_id: r.text.split() for r in df.collect()}
-    for r in mixing.mixed_texts(df, block_words=8).collect():
+    clash = df.withColumns({n: F.lit("x") for n in ("src", "off", "parts", "size", "row", "cut", "epoch")})
+    mixed = mixing.mixed_texts(clash, block_words=8)
+    assert mixed.columns == clash.columns
+    for r in mixed.collect():
+        assert r.src == r.cut == "x"
         got[r.doc_id] += len(r.text.split())
         assert set(r.text.split()) <= set(texts[r.doc_id]) and r.n_chars == len(r.text)
     assert {i: n for i, n in want.items() if n} == dict(got)
