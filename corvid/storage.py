@@ -2,7 +2,8 @@
 
 Lineage is cut by writing Parquet into the folder named by
 ``spark.checkpoint.dir``, which every executor shares.  Only where that setting
-is absent (tests, notebooks) is a local folder made.
+is absent and the session is local (tests, notebooks) is a local folder made; on a
+cluster without it, writing raises an error.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one where none is set."""
+    """The shared folder of the cluster; a temporary one for a local session where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share: a local one would lose rows")
     made = getattr(spark, "_corvid_dir", None)
     if made is None:
         made = "file://" + tempfile.mkdtemp(prefix="spark-corvid-", dir="/tmp")
@@ -27,12 +31,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read back with its own schema."""
-    spark = df.sparkSession
+def table_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``clear`` removes."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark._corvid_tables = [*getattr(spark, "_corvid_tables", ()), path]
+    return path
+
+
+def durable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back with its own schema; ``clear`` removes it."""
+    path = table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Remove the tables that this session has written, once results made from them are stored; how many there were."""
+    jvm, paths = spark.sparkContext._jvm, getattr(spark, "_corvid_tables", [])
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    spark._corvid_tables = []
+    return len(paths)
 
 
 def ship(spark: SparkSession) -> None:
