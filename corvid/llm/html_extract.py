@@ -2,20 +2,27 @@
 
 All pages of a host are aligned by the paths of their elements, equal siblings as one, over
 counts of (host, path, text) made in Spark.  A text that stands on nearly all pages with its
-path is repeated; a block element with a class or id is template, and left out, where its own
-whole text is repeated.  The wrapper of a layout (the set of a page's containers) is its
+path is repeated.  Constant nodes are template and left out: an element with a class or id
+whose own whole text is repeated, and a plain block whose text is, where such text is the
+lesser part of a page (a page that is mostly repeated text is a copy, not a template around
+changing text).  The wrapper of a layout (the set of a page's containers) is its
 region: the smallest container around every text block of all its pages that is neither
 template nor repeated.  Counts and wrappers are small rows, joined to the pages by host and
-layout; each page is read in order, with a stack and without a tree.
+layout; each page is read in order, with a stack and without a tree, in time and memory in
+proportion to its length.
 
 Block rules: block elements part the text; inside a block white space becomes one space;
 blocks are joined by two line feeds.  Menus, headers and footers of the page, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out by element,
-role, class or id, inside the region too; a header inside an article is part of it.
+notices, adverts, forms, scripts, styles and reader comments are left out by element or
+role, and by a class or id that is such a name or is made of such names and words of page
+structure ("ad-slot", not "menu-design"), inside the region too; a header inside an article
+is part of it, and names say nothing of headings, of the page's frame and of articles.
 
 Edge cases: null and empty html give an empty text; a null url or one without a host shares
 a nameless host; a page of a layout without changing text, or left without text, falls back to its article, main or body;
-unclosed elements end with their parent or the next block; repeated rows give equal texts;
+unclosed elements end with their parent or the next block; a quote that nothing closes is a
+plain character, a "<" that nothing closes is text; a script, style, title or the like that
+is never closed takes the rest of the page, as in browsers; repeated rows give equal texts;
 extra columns are ignored.
 """
 
@@ -37,110 +44,179 @@ from corvid.storage import durable
 
 #: Share of the pages with a place on which a text must be the same to be template, and the least number of them.
 CONSTANT, LEAST = 0.8, 3
+#: A plain block is template from so many pages on, and where such blocks are at most this share of a page's changing text.
+PLAIN_LEAST, PLAIN_SHARE = 5, 1 / 2
 #: Ends each step of a path where paths are compared; marks of runs of blocks are sums by this base and prime.
 _END, _BASE, _PRIME = "\x01", 1_000_003, (1 << 61) - 1
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"'=]*>)?|<[!?]|</")
+_STOP = re.compile(r"[>=]")
+_ATTRIBUTE = re.compile(r"""([^\s=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|(\S*)))?""")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 # Elements and names by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select option".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("nav aside footer form button menu dialog head".split()) | RAW
+DROPPED = frozenset("nav aside footer form button menu dialog head noscript template svg math object select option datalist".split()) | RAW
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus consent cookie cookies copyright
     footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion related
     replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget""".split()
 )
+#: Words of page structure: beside a name they leave it a name.
+STRUCTURE = frozenset(
+    """area articles author avatar bar block body bottom box button buttons col column container content count cta div entry footer form global group header heading
+    icon icons inner item items js left like link links list main message meta mobile news nojs outer page pages panel post posts primary reply right row section secondary site slot
+    stories sub text thread title top ui unit user web wrap wrapper zone""".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that may be a content region.
 REGIONS = frozenset("html body main article section div center".split())
 CLOSED_BY = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 INLINE_CLOSED = frozenset("b i em strong a span u s small big font code sub sup mark q cite abbr label".split())
 
 
+def _no_content(name: str) -> bool:
+    """Whether a class or id names something that is no content."""
+    if name in NAMES:
+        return True
+    words = _WORD.findall(name)
+    return any(w in NAMES for w in words) and all(w in NAMES or w in STRUCTURE or w.isdigit() or len(w) == 1 for w in words)
+
+
 def _names(attrs: str) -> tuple[str, bool]:
     """A short mark of an element's class or id, and whether its names or role say it is no content."""
-    mark, out = "", False
-    if attrs:
-        for m in _NAMED.finditer(attrs):
-            kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-            words = value.split()
+    mark, out, seen = "", False, set()
+    if "=" in attrs:
+        for m in _ATTRIBUTE.finditer(attrs):
+            kind = m[1].lower()
+            if kind not in ("class", "id", "role") or kind in seen:
+                continue
+            seen.add(kind)
+            words = (m[2] or m[3] or m[4] or "").lower().split()
             if kind == "role":
-                out = out or value in ROLES
+                out = out or any(w in ROLES for w in words)
             else:
-                out = out or any(w in NAMES for v in words for w in _WORD.findall(v))
+                out = out or any(map(_no_content, words))
                 if words and (kind == "class" or not mark):
                     mark = "." + words[0]
     return mark, out
 
 
+def _tag_end(page: str, at: int, dead: set[str]) -> int:
+    """Where the ``>`` of a tag stands whose attributes begin at ``at``; -1 if nowhere.  ``dead``: quotes that close no more."""
+    while (m := _STOP.search(page, at)) is not None:
+        if m[0] == ">":
+            return m.start()
+        at = m.end()
+        while at < len(page) and page[at] in " \t\n\r\f":
+            at += 1
+        q = page[at : at + 1]
+        if q in ('"', "'") and q not in dead:
+            end = page.find(q, at + 1)
+            if end < 0:
+                dead.add(q)
+            else:
+                at = end + 1
+    return -1
+
+
+def _tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
+    """(text before a tag, whether it is an end tag, its name, its attributes), and at last the text left, without a tag."""
+    at, n, dead = 0, len(page), set()
+    while (m := _TAG.search(page, at)) is not None:
+        text, at = page[at : m.start()], m.end()
+        tag = (m[2] or "").lower()
+        if not tag:
+            if page.startswith("!--", m.start() + 1):
+                end = page.find("-->", m.start() + 2)
+                end = n if end < 0 else end + 3
+            elif page.startswith("![CDATA[", m.start() + 1):
+                end = page.find("]]>", at)
+                end = n if end < 0 else end + 3
+            else:
+                end = page.find(">", at) + 1 or n
+            at = end
+            yield text, False, "", ""
+            continue
+        attrs = m[3]
+        if attrs is None:
+            end = _tag_end(page, m.end(2), dead)
+            if end < 0:
+                yield text + page[m.start() :], False, "", ""
+                return
+            attrs, at = page[m.end(2) : end + 1], end + 1
+        attrs = attrs[:-1]
+        yield text, bool(m[1]), tag, attrs
+        if tag in RAW and not m[1]:
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = end.end() if end else n
+    yield page[at:], False, "", ""
+
+
 def events(page: str) -> Iterator[tuple]:
     """("open", tag, mark, dropped), ("close", tag) and ("text", string) of a page, with implied ends written out."""
     stack: list[str] = []
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            yield ("text", page[at:])
-            break
-        if m.start() > at:
-            yield ("text", page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    count: Counter[str] = Counter()
+
+    def pop() -> tuple[str, str]:
+        count[stack[-1]] -= 1
+        return "close", stack.pop()
+
+    for text, ends, tag, attrs in _tokens(page):
+        if text:
+            yield "text", text
         if not tag:
             continue
-        if m[1]:
-            if tag in stack:
-                while stack:
-                    top = stack.pop()
-                    yield ("close", top)
-                    if top == tag:
-                        break
+        if ends:
+            if count[tag]:
+                while (e := pop())[1] != tag:
+                    yield e
+                yield e
             continue
-        attrs = m[3] or ""
-        if tag in RAW and not attrs.endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else n
+        if tag in RAW:
             continue
-        if tag in BLOCK:
+        if tag in BLOCK or tag == "option":
             # an inline element left open ends at the next block, and so does an open paragraph
             while stack and (stack[-1] in INLINE_CLOSED or tag in CLOSED_BY.get(stack[-1], ())):
-                yield ("close", stack.pop())
+                yield pop()
         mark, dropped = _names(attrs)
-        yield ("open", tag, mark, dropped)
+        yield "open", tag, mark, dropped
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
-            yield ("close", tag)
+            yield "close", tag
         else:
             stack.append(tag)
+            count[tag] += 1
     while stack:
-        yield ("close", stack.pop())
+        yield pop()
 
 
 def left_out(tag: str, named: bool, in_article: bool) -> bool:
-    """Whether an element is no content by itself; names of the page's frame itself say nothing."""
-    return tag in DROPPED or tag == "header" and not in_article or named and tag not in ("html", "body", "main", "article")
+    """Whether an element is no content by itself; names of headings and of the page's frame itself say nothing."""
+    return tag in DROPPED or tag == "header" and not in_article or named and tag not in HEADINGS and tag not in ("html", "body", "main", "article")
 
 
 class Page:
     """The text blocks of a page outside what is left out, and the elements that hold them.
 
-    ``blocks`` are (path of the nearest block element, text) in order; ``named`` and
-    ``containers`` are (path, first block, end block) of the block elements with a class or
-    id, and of those that may be a region."""
+    Places are numbered: ``parent``, ``step`` (element and its mark), ``depth`` and ``key`` (64 bits of the path) of each.
+    ``blocks`` are (place of the nearest block element, text) in order; ``named`` and ``containers`` are (place, first
+    block, end block) of the block elements with a class or id, and of those that may be a region."""
 
-    __slots__ = ("blocks", "named", "containers", "marks", "sums")
+    __slots__ = ("blocks", "named", "containers", "parent", "step", "depth", "key", "marks", "sums")
 
     def __init__(self, page: str):
-        self.blocks: list[tuple[str, str]] = []
-        self.named: list[tuple[str, int, int]] = []
-        self.containers: list[tuple[str, int, int]] = []
+        self.blocks: list[tuple[int, str]] = []
+        self.named: list[tuple[int, int, int]] = []
+        self.containers: list[tuple[int, int, int]] = []
+        self.parent, self.step, self.depth, self.key = [0], [""], [0], [0]
+        known: dict[tuple[int, str], int] = {}
         parts: list[str] = []
-        # tag, path, left out, path of the nearest block, first block, whether it has a mark
-        stack: list[tuple[str, str, bool, str, int, bool]] = [("#", "", False, "", 0, False)]
+        # tag, place, left out, place of the nearest block, first block, whether it has a mark
+        stack: list[tuple[str, int, bool, int, int, bool]] = [("#", 0, False, 0, 0, False)]
         inside_article = 0
 
         def end() -> None:
@@ -150,12 +226,19 @@ class Page:
                 self.blocks.append((stack[-1][3], text))
 
         for e in events(page):
-            tag, path, dropped, near, lo, marked = stack[-1]
+            tag, place, dropped, near, lo, marked = stack[-1]
             if e[0] == "text":
                 if not dropped:
                     parts.append(e[1])
             elif e[0] == "open":
-                own = f"{path}>{e[1]}{e[2]}"
+                step = e[1] + e[2]
+                own = known.get((place, step))
+                if own is None:
+                    own = known[place, step] = len(self.key)
+                    self.parent.append(place)
+                    self.step.append(step)
+                    self.depth.append(self.depth[place] + 1)
+                    self.key.append(below(self.key[place], step))
                 inside_article += e[1] in ("article", "main")
                 bad = dropped or left_out(e[1], e[3], inside_article > 0)
                 if not dropped:
@@ -170,9 +253,9 @@ class Page:
                     end()
                 if not dropped and tag in BLOCK:
                     if marked:
-                        self.named.append((path, lo, len(self.blocks)))
+                        self.named.append((place, lo, len(self.blocks)))
                     if tag in REGIONS:
-                        self.containers.append((path, lo, len(self.blocks)))
+                        self.containers.append((place, lo, len(self.blocks)))
                 stack.pop()
         end()
         # sums over the blocks' marks, so that the mark of any run of blocks takes one step
@@ -181,18 +264,26 @@ class Page:
         for m in self.marks:
             self.sums.append((self.sums[-1] * _BASE + m + 1) % _PRIME)
 
+    def path(self, place: int) -> str:
+        """A place as a string, each step ended by _END: an order that keeps common beginnings."""
+        steps = []
+        while place:
+            steps.append(self.step[place] + _END)
+            place = self.parent[place]
+        return "".join(reversed(steps))
+
     def run(self, lo: int, hi: int) -> int:
         """A mark of the texts of blocks ``lo`` to ``hi``."""
         return (self.sums[hi] - self.sums[lo] * pow(_BASE, hi - lo, _PRIME)) % _PRIME
 
     def facts(self) -> set[tuple[int, int]]:
         """(place, text) marks of the blocks and of the whole texts of the named elements."""
-        own = {(mark(f"block {p}"), m) for (p, _), m in zip(self.blocks, self.marks, strict=True)}
-        return own | {(mark(f"named {p}"), self.run(lo, hi)) for p, lo, hi in self.named if hi > lo}
+        own = {(below(self.key[p], "block"), m) for (p, _), m in zip(self.blocks, self.marks, strict=True)}
+        return own | {(below(self.key[p], "named"), self.run(lo, hi)) for p, lo, hi in self.named if hi > lo}
 
     def layout(self) -> int:
         """A mark of the set of containers that hold text."""
-        return mark("\n".join(sorted({p for p, lo, hi in self.containers if hi > lo})))
+        return mark(" ".join(map(str, sorted({self.key[p] for p, lo, hi in self.containers if hi > lo}))))
 
     def covered(self, spans: Iterable[tuple[int, int]]) -> list[bool]:
         """Which blocks lie in any of the spans."""
@@ -202,16 +293,43 @@ class Page:
             edge[hi] -= 1
         return [n > 0 for n in accumulate(edge[:-1])]
 
-    def template(self, repeated: frozenset, inside: str | None = None) -> list[tuple[str, int, int]]:
-        """Named elements whose whole text is one that their host repeats; only those below ``inside``, where given."""
+    def template(self, repeated: frozenset, inside: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
+        """Named elements whose whole text is one that their host repeats; only those below the elements ``inside``, where given."""
         if not repeated:
             return []
-        return [n for n in self.named if n[2] > n[1] and (inside is None or n[0].startswith(inside + ">")) and (mark(f"named {n[0]}"), self.run(n[1], n[2])) in repeated]
-
-    def changing(self, repeated: frozenset) -> list[str]:
-        """Paths of the blocks whose text is not repeated, outside template, in a form whose order keeps common beginnings."""
+        found = [n for n in self.named if n[2] > n[1] and (below(self.key[n[0]], "named"), self.run(n[1], n[2])) in repeated]
+        if inside is None or not inside:
+            return found
+        within, depth = self.covered((lo, hi) for _, lo, hi in inside), self.depth[inside[0][0]]
+        return [n for n in found if within[n[1]] and self.depth[n[0]] > depth]
+
+    def plain(self, repeated: frozenset, *often: bool) -> list[bool]:
+        """Which blocks' own texts are repeated; ``often``: on PLAIN_LEAST pages at least."""
+        return [(below(self.key[p], "block"), m, *often) in repeated for (p, _), m in zip(self.blocks, self.marks, strict=True)]
+
+    def changing(self, repeated: frozenset) -> str | None:
+        """The path of the least place around all blocks whose text is not repeated, outside template; None without any."""
         out = self.covered((lo, hi) for _, lo, hi in self.template(repeated))
-        return [p.replace(">", _END) + _END for (p, _), m, o in zip(self.blocks, self.marks, out, strict=True) if not o and (mark(f"block {p}"), m) not in repeated]
+        near, under = None, set()
+        for (p, _), same, o in zip(self.blocks, self.plain(repeated), out, strict=True):
+            if o or same:
+                continue
+            if near is None:
+                near = p
+            climbed, at = [], p
+            while at not in under and at != near:  # what is known to lie below ``near`` stays below it
+                climbed.append(at)
+                if self.depth[at] > self.depth[near]:
+                    at = self.parent[at]
+                elif self.depth[at] < self.depth[near]:
+                    under.add(near)
+                    near = self.parent[near]
+                else:
+                    under.add(near)
+                    at, near = self.parent[at], self.parent[near]
+            under.update(climbed)
+            under.discard(near)
+        return None if near is None else self.path(near)
 
 
 def mark(text: str) -> int:
@@ -219,12 +337,25 @@ def mark(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def below(key: int, step: str) -> int:
+    """The key of a step below a place."""
+    return mark(f"{key}>{step}")
+
+
 def smallest(low: str, high: str) -> str:
-    """The smallest region around all paths from ``low`` to ``high`` (forms of ``changing``)."""
-    path = os.path.commonprefix([low, high]).rpartition(_END)[0].replace(_END, ">")
-    while path and path.rpartition(">")[2].partition(".")[0] not in REGIONS:
-        path = path.rpartition(">")[0]
-    return path
+    """The smallest region around all paths from ``low`` to ``high`` (forms of ``Page.path``), in the same form."""
+    steps = os.path.commonprefix([low, high]).split(_END)[:-1]
+    while steps and steps[-1].partition(".")[0] not in REGIONS:
+        steps.pop()
+    return "".join(s + _END for s in steps)
+
+
+def key_of(path: str) -> int:
+    """The key of a place, from its path."""
+    key = 0
+    for step in path.split(_END)[:-1]:
+        key = below(key, step)
+    return key
 
 
 def induce(pages: list[str]) -> dict:
@@ -237,10 +368,14 @@ def induce(pages: list[str]) -> dict:
         same.update(facts)
         for f in facts:
             whose.setdefault(f, set()).add(whole)
-    repeated = frozenset(f for f, n in same.items() if n >= LEAST and n >= CONSTANT * seen[f[0]] and len(whose[f]) > 1)
-    paths = [c for page in parsed for c in page.changing(repeated)]
+    repeated = {f for f, n in same.items() if n >= LEAST and n >= CONSTANT * seen[f[0]] and len(whose[f]) > 1}
+    repeated = frozenset(repeated | {(*f, True) for f in repeated if same[f] >= PLAIN_LEAST})
+    paths = [c for page in parsed if (c := page.changing(repeated)) is not None]
     region = smallest(min(paths), max(paths)) if paths else None
-    template = {n[0] for page in parsed for n in page.template(repeated, region or "")} if paths else set()
+    template, key = set(), key_of(region) if paths else 0
+    for page in parsed if paths else ():
+        own = [c for c in page.containers if page.key[c[0]] == key]
+        template |= {page.path(n[0]) for n in page.template(repeated, own)}
     return {"region": region, "template": sorted(template), "repeated": repeated}
 
 
@@ -250,13 +385,16 @@ def main_text(page: str | None, wrapper: dict | None) -> str:
         return ""
     p = Page(page)
     if wrapper and wrapper["region"] is not None:
-        region = wrapper["region"]
-        within = p.covered((lo, hi) for path, lo, hi in p.containers if path == region) if region else [True] * len(p.blocks)
-        out = p.covered((lo, hi) for _, lo, hi in p.template(wrapper["repeated"], region))
-        texts = [t for (_, t), w, o in zip(p.blocks, within, out, strict=True) if w and not o]
+        key, repeated = key_of(wrapper["region"]), wrapper["repeated"]
+        own = [c for c in p.containers if p.key[c[0]] == key]
+        within = p.covered((lo, hi) for _, lo, hi in own) if wrapper["region"] else [True] * len(p.blocks)
+        out = p.covered((lo, hi) for _, lo, hi in p.template(repeated, own))
+        kept = [(len(t), same, t) for (_, t), same, w, o in zip(p.blocks, p.plain(repeated, True), within, out, strict=True) if w and not o]
+        new, old = sum(n for n, same, _ in kept if not same), sum(n for n, same, _ in kept if same)
+        texts = [t for _, same, t in kept if not same or old > PLAIN_SHARE * new]
         if texts:
             return "\n\n".join(texts)
-    main = [(lo, hi) for path, lo, hi in p.containers if path.rpartition(">")[2].partition(".")[0] in ("article", "main")]
+    main = [(lo, hi) for place, lo, hi in p.containers if p.step[place].partition(".")[0] in ("article", "main")]
     within = p.covered(main) if main else [True] * len(p.blocks)
     return "\n\n".join(t for (_, t), w in zip(p.blocks, within, strict=True) if w)
 
@@ -288,7 +426,7 @@ def repeated_texts(pages: DataFrame) -> DataFrame:
     often = durable(counts.where(F.col("n") >= LEAST), "html-often")
     seen = often.where("mark is null").select("host", "place", F.col("n").alias("seen"))
     kept = often.where("mark is not null and low <> high").join(seen, ["host", "place"]).where(F.col("n") >= F.lit(CONSTANT) * F.col("seen"))
-    pair = F.concat_ws(":", F.col("place").cast("string"), F.col("mark").cast("string"))
+    pair = F.concat_ws(":", F.col("place").cast("string"), F.col("mark").cast("string"), F.when(F.col("n") >= PLAIN_LEAST, "1"))
     return kept.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("repeated"))
 
 
@@ -302,12 +440,13 @@ class _Known:
         if text not in self.sets:
             if len(self.sets) > 10_000:
                 self.sets.clear()
-            self.sets[text] = frozenset(tuple(map(int, x.split(":"))) for x in text.split(",")) if text else frozenset()
+            rows = [tuple(map(int, x.split(":"))) for x in text.split(",")] if text else []
+            self.sets[text] = frozenset(rows) | {r[:2] for r in rows}
         return self.sets[text]
 
 
 def regions(rows: DataFrame) -> DataFrame:
-    """host, layout, low, high: the outermost changing paths over all pages of a layout (host, html, repeated)."""
+    """host, layout, low, high: the first and last of the places around the changing text of the pages of a layout (host, html, repeated)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known()
@@ -315,9 +454,9 @@ def regions(rows: DataFrame) -> DataFrame:
             found = []
             for host, page, r in zip(b.column("host").to_pylist(), b.column("html"), b.column("repeated").to_pylist(), strict=True):
                 parsed = Page(page.as_py())
-                paths = parsed.changing(known(r))
-                if paths:
-                    found.append((host, parsed.layout(), min(paths), max(paths)))
+                path = parsed.changing(known(r))
+                if path is not None:
+                    found.append((host, parsed.layout(), path, path))
             cols = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("host", "layout", "low", "high"), cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)})
 

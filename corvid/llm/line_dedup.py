@@ -7,7 +7,8 @@ lines, which are cut out of its text.
 
 All work is in DataFrame functions.  Windows are made inside the row, the first
 place of each hash is found with a map-side combined aggregate, and the whole
-text is shuffled once, to meet its removed runs.
+text is shuffled once, to meet its removed runs; it is put together again from the
+slices between them.
 
 Edge cases: a null text stays null; a document of fewer than three lines has no
 window and stays as it is; rows that repeat the same id are the same place in
@@ -51,26 +52,38 @@ def repeated(wins: DataFrame) -> DataFrame:
 
 
 def covered_runs(places: DataFrame, width: int = WINDOW) -> DataFrame:
-    """id and its merged runs of covered lines, array<struct<s,e>> with e exclusive."""
+    """id and its merged runs of covered lines in order, array<struct<s,e>> with e exclusive."""
     by_doc = Window.partitionBy("id").orderBy("pos")
     new = (F.col("pos") > F.coalesce(F.lag("pos").over(by_doc) + width, F.lit(-1))).cast("int")
     return (
         places.withColumn("new", new).withColumn("run", F.sum("new").over(by_doc))
         .groupBy("id", "run").agg(F.min("pos").alias("s"), (F.max("pos") + width).alias("e"))
-        .groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+        .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
     )
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:
-    """``docs`` with the later copies of repeated windows cut out of the text, and ``n_removed`` lines."""
+    """``docs`` with the later copies of repeated windows cut out of the text, and ``n_removed`` lines.
+
+    A column of ``docs`` named ``n_removed`` is replaced."""
+    names = [c for c in docs.columns if c != "n_removed"]
     runs = covered_runs(repeated(windows(docs, id_col, text_col, width)), width).withColumnsRenamed({"id": "__id", "runs": "__runs"})
-    joined = docs.join(runs, docs[id_col].eqNullSafe(F.col("__id")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.exists("__runs", lambda r: (i >= r["s"]) & (i < r["e"]))), "\n")
-    gone = F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + (r["e"] - r["s"]))
+    joined = docs.select(*names).join(runs, F.col(id_col).eqNullSafe(F.col("__id")), "left")
     hit = F.col("__runs").isNotNull() & F.col(text_col).isNotNull()
+    # the lines are a column of their own, so that they are split once and not for each slice
+    joined = joined.withColumn("__lines", F.when(hit, F.split(F.col(text_col), "\n", -1)))
+    n = F.size("__runs")
+
+    def between(i: Column) -> Column:
+        lo = F.when(i == 0, F.lit(0)).otherwise(F.get("__runs", i - 1)["e"])
+        hi = F.when(i == n, F.size("__lines")).otherwise(F.get("__runs", i)["s"])
+        # a row that repeats an id may be shorter than the runs of another
+        return F.slice("__lines", lo + 1, F.greatest(hi - lo, F.lit(0)))
+
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), n), between)), "\n")
+    gone = F.aggregate("__runs", F.lit(0).cast("long"), lambda n, r: n + F.greatest(F.least(r["e"], F.size("__lines")) - r["s"], F.lit(0)))
     return joined.select(
-        *[F.when(hit, kept).otherwise(F.col(text_col)).alias(text_col) if c == text_col else docs[c] for c in docs.columns],
+        *[F.when(hit, kept).otherwise(F.col(text_col)).alias(text_col) if c == text_col else F.col(c) for c in names],
         F.when(hit, gone).otherwise(F.lit(0).cast("long")).alias("n_removed"),
     )
 

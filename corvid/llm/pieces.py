@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: The public model used unless another path is given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words remembered by a worker; beyond it the memory is emptied.
-REMEMBERED = 300_000
+#: Words remembered by a worker, and the longest of them in characters; beyond the number the memory is emptied.
+REMEMBERED, LONGEST = 200_000, 48
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _workers: dict[str, "Pieces"] = {}
 
@@ -105,11 +105,13 @@ class Pieces:
             return np.empty(0, np.int32)
         marked = MARK + text.replace(" ", MARK)
         units = _UNIT.findall(marked) if self.by_words else [marked]
-        memory = self.memory
-        if len(memory) > REMEMBERED:
-            memory.clear()
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        memory, long = self.memory, {}
         for u in set(units).difference(memory):
-            memory[u] = np.array(self.viterbi(u), np.int32).tobytes()
+            (memory if len(u) <= LONGEST else long)[u] = np.array(self.viterbi(u), np.int32).tobytes()
+        if long:
+            return np.frombuffer(b"".join([long[u] if u in long else memory[u] for u in units]), np.int32)
         return np.frombuffer(b"".join([memory[u] for u in units]), np.int32)
 
     def decode(self, ids) -> str:
@@ -127,7 +129,8 @@ def _worker(model) -> Pieces:
 
 
 def encode(docs: DataFrame, path: str = MODEL, text_col: str = "text") -> DataFrame:
-    """``docs`` with ids (array<int>), n_pieces and decoded (the text made of the ids again)."""
+    """``docs`` with ids (array<int>), n_pieces and decoded (the text made of the ids again); columns of these names are replaced."""
+    docs = docs.drop("ids", "n_pieces", "decoded")
     model = docs.sparkSession.sparkContext.broadcast(read_model(path))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

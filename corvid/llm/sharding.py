@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvid.storage import durable, table_path
+
 #: Slots are fixed for the life of a data set; the map's size is bounded by it.
 N_VSLOTS = 4096
 
@@ -151,8 +153,14 @@ def place(recs: DataFrame, loads: DataFrame, shard_map: DataFrame) -> DataFrame:
     )
 
 
-def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot, vslot of every record, with shards of near-equal bytes."""
-    recs = records(docs, id_col, text_col)
-    loads = slot_loads(recs)
-    return place(recs, loads, first_map(loads, n_shards))
+def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot, vslot of every record, with shards of near-equal bytes.
+
+    Records are placed by the latest version of the map stored at ``map_path``; where none is given, a first version is
+    made from their loads and stored beside the other tables of the session."""
+    recs = durable(records(docs, id_col, text_col), "shard-records")
+    loads = durable(slot_loads(recs), "shard-loads")
+    if map_path is None:
+        map_path = table_path(docs.sparkSession, "shard-map")
+        save_map(first_map(loads, n_shards), map_path)
+    return place(recs, loads, load_map(docs.sparkSession, map_path))

@@ -12,7 +12,7 @@ Cosines are in double precision on the original components.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components, null
 labels and null ids link with nothing; vectors of different lengths never link; repeated
-rows are separate vectors; ties of the cosine at the threshold link; an empty table
+rows are separate vectors, and rows that share an id are one node of the groups; ties of the cosine at the threshold link; an empty table
 gives an empty result; extra columns are ignored.
 """
 
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from corvid.llm.components import components
 from corvid.storage import durable
 
-#: Vectors k-means is fitted on, by the order of a hash.
-SAMPLE = 16384
-#: Aim of classes a cell, most centroids, vectors a block.
-CELL, MAX_CELLS, BLOCK = 2000, 1024, 1024
+#: Vectors k-means is fitted on, by the order of a hash: sixteen a cell between these, and components of them at most.
+SAMPLE, COMPONENTS = (16384, 131072), 1 << 24
+#: Aim of classes a cell, most centroids (beyond CELL times as many classes a label, cells grow), vectors a block.
+CELL, MAX_CELLS, BLOCK = 2000, 8192, 1024
+#: Vectors placed at once.
+_PLACED = 256
 
 
 def usable(embedding) -> object:
@@ -73,13 +75,16 @@ def placed(classes: DataFrame, cells: dict[int, np.ndarray], reach: float) -> Da
                 if c is None or len(c) < 2:
                     rows, cell, home = np.arange(len(x)), np.zeros(len(x), np.int64), np.ones(len(x), bool)
                 else:
-                    dot = x @ c.T
-                    best = dot.argmax(1)
-                    gap = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))[best]
-                    near = dot[np.arange(len(x)), best][:, None] - dot <= reach * gap + 1e-9
-                    near[np.arange(len(x)), best] = True
-                    rows, cell = np.nonzero(near)
-                    home = best[rows] == cell
+                    found = []
+                    for at in range(0, len(x), _PLACED):
+                        dot = x[at : at + _PLACED] @ c.T
+                        best = dot.argmax(1)
+                        gap = np.sqrt(np.maximum(0, 2 - 2 * c[best] @ c.T))
+                        near = dot[np.arange(len(dot)), best][:, None] - dot <= reach * gap + 1e-9
+                        near[np.arange(len(dot)), best] = True
+                        r, near_cell = np.nonzero(near)
+                        found.append((r + at, near_cell, best[r] == near_cell))
+                    rows, cell, home = (np.concatenate(f) for f in zip(*found, strict=True))
                 out = part.take(pa.array(rows))
                 yield pa.RecordBatch.from_pydict(
                     {n: out.column(n) for n in ("label", "dim", "node", "weight", "embedding")} | {"cell": pa.array(cell, pa.int64()), "home": pa.array(home)}
@@ -153,9 +158,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     )
     cells = {}
     for dim, most in classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count")).collect() if not classes.isEmpty() else []:
-        k = int(min(MAX_CELLS, -(-most // CELL)))
+        k = int(min(MAX_CELLS, -(-most // CELL), max(1, COMPONENTS // dim // 8)))
         if k > 1:
-            x = np.array([r[0] for r in classes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(2))).select("embedding").limit(SAMPLE).collect()])
+            n = min(max(SAMPLE[0], 16 * k), SAMPLE[1], COMPONENTS // dim)
+            x = np.array([r[0] for r in classes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(2)), "node").select("embedding").limit(n).collect()])
             cells[dim] = centroids(x / np.linalg.norm(x, axis=1, keepdims=True), k)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     out = durable(compared(placed(classes.select("label", "dim", "node", "weight", "embedding"), cells, reach), threshold), "vector-links")

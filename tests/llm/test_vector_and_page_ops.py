@@ -141,13 +141,72 @@ def test_html_extraction(spark):
 
 def test_wrapper_finds_region_and_template():
     w = html_extract.induce([PAGE.format(f"n{i}") for i in range(5)])
-    assert w["region"].endswith(">article") and any(p.endswith(">div.byline") for p in w["template"])
+    assert w["region"].endswith("article\x01") and any(p.endswith("div.byline\x01") for p in w["template"])
     plain = "<body><div id=top>Menu of site</div><div id=main><p>{0} story</p><p>{0} more</p></div><div id=end>Same</div></body>"
     w = html_extract.induce([plain.format(c * 30) for c in "abcd"])
-    assert w["region"].endswith(">div.main")
+    assert w["region"].endswith("div.main\x01")
     assert html_extract.main_text(plain.format("new"), w) == "new story\n\nnew more"
 
 
+def test_the_wrapper_changes_pages(spark):
+    ship(spark)
+    # nothing but div and p, no names: only the alignment tells the constant text and the region
+    page = "<body><div><div>Welcome to the site</div><div><p>Story {0} begins.</p><p>Please read our terms.</p><p>More of {0} and its long end, which tells in so many words how all of it went on from there to the very last day.</p></div><div>All rights</div></div></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"tale{i}")) for i in range(12)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story tale{i} begins.\n\nMore of tale{i} and its long end, which tells in so many words how all of it went on from there to the very last day." for i in range(12)}
+    assert all(html_extract.main_text(h, None) != got[i] for i, _, h in rows)
+
+
+def test_generated_sites_equal_what_was_put_in(spark):
+    import random
+
+    ship(spark)
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta rho sigma".split()) + str(rng.randrange(999)) for _ in range(n))
+    rows, want = [], {}
+    for site in range(6):
+        box, menu, legal = rng.choice(["article", "div", "section class=story", "main"]), "".join(f"<li><a href=/{i}>{say(1)}</a>" for i in range(rng.randint(3, 30))), say(6)
+        for i in range(rng.randint(5, 9)):
+            parts = [say(rng.randint(8, 30)) for _ in range(rng.randint(2, 6))]
+            body = "".join(f"<p>{x}{rng.choice(['</p>', ''])}" for x in parts)
+            side = rng.choice([f"<div class='ad-slot'>{say(4)}</div>", f"<aside>{say(5)}</aside>", f"<div class=comments><p>{say(9)}</p></div>", ""])
+            html = f"<html><head><title>{say(3)}</title></head><body><div id=top><ul>{menu}</ul></div><{box}><h1>{parts[0]}</h1>{body}{side}</{box.split()[0]}><div>{legal}</div><footer>{say(3)}</footer></body></html>"
+            key = site * 100 + i
+            rows.append((key, f"https://s{site}.example/{i}", html))
+            want[key] = "\n\n".join([parts[0], *parts])
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
+def test_nothing_of_an_article_is_lost_to_names_or_quotes():
+    text = lambda h: html_extract.main_text(h, None)
+    article = "<article><h2 id='related-work'>Related work</h2><p>a</p><h2 id=\"menu-design\">Menu design</h2><div class='menu-design'>b</div><div class='related-posts'>x</div><div class=ad-300x250>x</div></article>"
+    assert text(article) == "Related work\n\na\n\nMenu design\n\nb"
+    assert text("<p>one <a title=don't>two</a> three</p><p>it's four</p>") == "one two three\n\nit's four"
+    assert text("<datalist><option value=1><option value=2></datalist><p>two</p>") == "two"
+    assert text("<p data-id='comments' title='class=ad'>kept</p><p class=ad>gone</p>") == "kept"
+    assert text("a < b and <b>c</b> 3<4 <i") == "a < b and c 3<4 <i"
+    assert text("<p>x<!-- <p>no --><![CDATA[no]]><?php no ?>y</p><script>var a='<p>no</p>'</script>z</ p>") == "xy\n\nz"
+
+
+def test_broken_and_deep_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    began = time.time()
+    for bad in ('<a "', "<a x='", '<a x="', "<", "<p", "</", "<!--", "<a b=", "</span>", "<p>x"):
+        html_extract.main_text(bad * (1_000_000 // len(bad)), None)
+    assert time.time() - began < 60
+    tracemalloc.start()
+    assert html_extract.main_text("<div>" * 100_000 + "deep", None) == "deep"
+    deep = "<div>t" * 10_000
+    assert html_extract.main_text(deep, None).count("t") == 10_000
+    assert html_extract.main_text(deep + "e", html_extract.induce([deep + c for c in "abcd"])) == "te"
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def test_pipeline_stages(spark, tmp_path):
     import random
 
@@ -174,7 +233,7 @@ def test_pipeline_stages(spark, tmp_path):
 def test_region_keeps_title_and_lead():
     page = "<body><article><h1>Title {0}</h1><div class=lead>Lead {0}</div><div class=body><p>{1}</p></div></article></body>"
     w = html_extract.induce([page.format(c, c * 900) for c in "abcd"])
-    assert w["region"].endswith(">article")
+    assert w["region"].endswith("article\x01")
     assert html_extract.main_text(page.format("x", "long"), w) == "Title x\n\nLead x\n\nlong"
 
 
