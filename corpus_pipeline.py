@@ -28,12 +28,19 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every near-duplicate group; documents without an id stay."""
+    """The document of the smallest id of every near-duplicate group (null ids last, then by a hash of the text).
+
+    Documents without words are linked with nothing and all stay.  An id that stands for several texts is a document for
+    each of them; of rows that repeat an id and its text, one stays."""
     ship(spark)
     groups = ngram_join.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("k")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("k"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
+    kept = groups.where("label is not null").groupBy("label").agg(F.min(place).alias("p")).select(F.col("p.doc_id").alias("k"), F.col("p.text_hash").alias("h"))
+    kept = kept.unionByName(groups.where("label is null").select(F.col("doc_id").alias("k"), F.col("text_hash").alias("h"))).distinct()
+    keyed = docs.withColumn("__h", F.xxhash64(F.col("text").cast("string")))
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("__h") == F.col("h")), "left_semi")
+    wordless = F.coalesce(F.col("text"), F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    return found.where(~wordless).dropDuplicates(["doc_id", "__h"]).unionByName(found.where(wordless)).drop("__h")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
