@@ -143,3 +143,26 @@ def test_vote_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("toggled").collect())) == [(1, 1, "good"), (1, 3, "unlabel"), (1, 4, "bad"), (2, 2, "bad"), (2, 5, "good")]
+
+
+def test_storage_refuses_a_local_folder_on_a_cluster():
+    from corvid import storage
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://far:7077"}.get(key, default)
+
+    class Far:
+        conf = Conf()
+
+    with pytest.raises(ValueError, match="share"):
+        storage.shared_dir(Far())
+
+
+def test_storage_removes_its_tables(spark):
+    from corvid import storage
+
+    kept = storage.durable(spark.range(3), "kept")
+    assert kept.count() == 3 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
+    with pytest.raises(Exception, match="(?i)not.exist|file"):
+        kept.selectExpr("sum(id) + 1").collect()
