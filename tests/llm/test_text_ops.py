@@ -150,6 +150,24 @@ def test_line_dedup_equals_brute_force(spark):
     assert sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_lines(same).collect()) == [("1", ""), ("1", ""), ("None", "a\nb\nc")]
 
 
+def test_line_dedup_long_text_and_clash(spark):
+    # one text of many removed runs, and a column with the result's name
+    lines = [f"l{i}" for i in range(30_000)]
+    rows = [(1, "\n".join(lines), "s"), (2, "\n".join(y for i in range(0, 30_000, 4) for y in (*lines[i : i + 3], f"own{i}")), "s")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows).withColumn("n_removed", F.lit("x"))).collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 22_500 and got[2].text == "\n".join(f"own{i}" for i in range(0, 30_000, 4))
+
+
+def test_pieces_replace_clashing_columns_and_bound_memory(spark):
+    df = frame(spark, [(1, "hello world", "s"), (2, None, None)]).withColumns({"ids": F.lit(1), "n_pieces": F.lit("x"), "decoded": F.lit(2.0)})
+    got = {r.doc_id: r for r in pieces.encode(df).collect()}
+    assert got[1].decoded == "hello world" and got[1].n_pieces == len(got[1].ids) > 0 and got[2].decoded is None
+    coder = pieces.Pieces(pieces.read_model())
+    long = "ab" * 5000
+    assert coder.decode(coder.encode(f"{long} x {long}").tolist()) == f"{long} x {long}"
+    assert max(map(len, coder.memory)) <= pieces.LONGEST
+
+
 def test_sharding_laws(spark):
     rng = random.Random(3)
     rows = [(i, "x" * rng.randint(0, 200), "s") for i in range(500)] + [(None, None, None), (7, "é", "s"), (7, "é", "s")]
@@ -166,6 +184,15 @@ def test_sharding_laws(spark):
     assert sharding.shard(frame(spark, []), 8).count() == 0
 
 
+def test_sharding_places_by_a_stored_map(spark, tmp_path):
+    df, path = frame(spark, [(i, "y" * (i % 97), "s") for i in range(800)]), str(tmp_path / "map")
+    sharding.save_map(sharding.first_map(sharding.slot_loads(sharding.records(df)), 4), path)
+    one = {r.doc_id: r.shard for r in sharding.shard(df, map_path=path).collect()}
+    sharding.save_map(sharding.rebalance(sharding.load_map(spark, path), sharding.slot_loads(sharding.records(df)), 5), path)
+    two = {r.doc_id: r.shard for r in sharding.shard(df, map_path=path).collect()}
+    assert {one[i] for i in one} == set(range(4)) and all(two[i] in (one[i], 4) for i in one) and 4 in two.values()
+
+
 def test_rebalancing_moves_only_what_it_must(spark, tmp_path):
     df = frame(spark, [(i, "y" * (i % 97), "s") for i in range(2000)])
     loads = sharding.slot_loads(sharding.records(df))

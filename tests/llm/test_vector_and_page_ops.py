@@ -230,6 +230,27 @@ def test_pipeline_stages(spark, tmp_path):
     assert out and all(r.round_trip and len(r.ids) == r.n_pieces for r in out)
 
 
+def test_pipeline_stages_on_nulls_repeats_and_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    ship(spark)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    same, near = "one two three four five six seven eight nine ten " * 3, "one two three four five six seven eight nine ten " * 3 + "more"
+    rows = [(1, same), (1, same), (1, "another text under the same id as before it"), (2, near), (None, near), (None, "a text without an id that nothing is like"), (3, None), (4, ""), (4, " \n"), (5, "w " * 30_000)]
+    docs = spark.createDataFrame([(i, t, "en", None if t is None else "s", len(t or "")) for i, t in rows], schema)
+    got = corpus_pipeline.one_of_each_group(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == sorted(
+        [("1", same), ("1", rows[2][1]), ("None", rows[5][1]), ("3", ""), ("4", ""), ("4", " \n"), ("5", rows[9][1])]
+    )
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        out = stage(spark, docs, str(tmp_path))
+        assert name == "piece encoding" or out.columns == docs.columns, name
+        assert out.count() > 0, name
+
+
 def test_region_keeps_title_and_lead():
     page = "<body><article><h1>Title {0}</h1><div class=lead>Lead {0}</div><div class=body><p>{1}</p></div></article></body>"
     w = html_extract.induce([page.format(c, c * 900) for c in "abcd"])
