@@ -387,12 +387,30 @@ def test_secret_spans(spark):
         slow.sort(key=lambda f: (f[1][0], ["assign", "access", "hex"].index(f[0])))
         assert got[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, (a, b) in slow).encode()).hexdigest()
     assert "model:" in got[7].spans and got[8].spans == ""
-    x, y = secrets.labelled_findings(600, 77)
+    x, y = secrets.made_findings(600, 77)
     hit = net.score(x) >= net.threshold
     assert hit[y == 1].mean() >= 0.93 and hit[y == 0].mean() <= 0.05
     assert secrets.findings(frame(spark, []), network=net).count() == 0
 
 
+def test_secrets_of_the_documents_are_learnt_and_held_out(spark):
+    rng = random.Random(12)
+    say = lambda n: " ".join(rng.choice("alpha beta gamma delta rho sigma".split()) for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f'{say(8)} token = "{hexes(40)}" {say(5)} card {rng.randrange(10**15, 10**16)} call 555-{rng.randrange(1000, 9999)} {say(4)}', "s") for i in range(160)]
+    df = frame(spark, rows)
+    x, y, fold, around = secrets.table_findings(df.select("doc_id", "text"))
+    assert set(y.tolist()) == {0, 1} and set(fold.tolist()) == {0, 1, 2, 3} and len(around) == (fold > 0).sum()
+    net = secrets.train(df.select("doc_id", "text"))
+    got = secrets.quality(net)
+    assert got["recall_all"] >= 0.97 and got["precision_all"] >= 0.8 and got["recall_documents"] >= 0.97 and got["precision_documents"] >= 0.9 and got["n_documents"] > 50
+    # keys that no pattern knows are added, the plain runs are not
+    odd = [(900, f"{say(6)} Authorization: Bearer {hexes(20)}x{hexes(3)}Q {say(3)}", "s"), (901, f"{say(5)} client_key='sk_live_9aZ{hexes(10)}Q7{hexes(9)}' {say(3)}", "s")]
+    found = {r.doc_id: r.spans for r in secrets.digest(secrets.findings(frame(spark, [*rows, *odd]), network=net)).collect()}
+    assert "model:" in found[900] and "model:" in found[901]
+    assert sum("model:" in found[i] for i in range(160)) <= 8
+
+
 def test_secrets_joined_to_long_runs(spark):
     rng = random.Random(5)
     key = lambda: "ghp_" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
