@@ -45,8 +45,26 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df``, dealt by ``key`` into as many partitions as shuffles have, written in the shared folder as a table of so
+    many buckets: joins on ``key`` read it without moving it; ``clear`` removes it."""
+    spark = df.sparkSession
+    path, table_name = table_path(spark, name), f"corvid_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets(spark), key).sortBy(key).option("path", path).saveAsTable(table_name)
+    spark._corvid_named = [*getattr(spark, "_corvid_named", ()), table_name]
+    return spark.table(table_name)
+
+
+def buckets(spark: SparkSession) -> int:
+    """Buckets of ``bucketed`` tables: the partitions of a shuffle, within what Spark allows."""
+    return min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def clear(spark: SparkSession) -> int:
     """Remove the tables that this session has written, once results made from them are stored; how many there were."""
+    for name in getattr(spark, "_corvid_named", ()):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark._corvid_named = []
     jvm, paths = spark.sparkContext._jvm, getattr(spark, "_corvid_tables", [])
     for path in paths:
         at = jvm.org.apache.hadoop.fs.Path(path)
