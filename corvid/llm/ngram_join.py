@@ -15,8 +15,8 @@ classes:
 3. *Token-group matrix.*  Classes in reach of another component under a shingle are
    partitioned into groups of similar ones: those whose most common shared shingle
    is the same, of like size, at most about ``MEMBERS`` classes and ``TOKENS``
-   shingles a group.  The matrix holds a packed row for each group: the union of its
-   shingles and which members hold each.  A class asks the groups that hold a class
+   shingles a group.  The matrix holds a packed row for each group (``Group``): the union
+   of its shingles and which members hold each.  A class asks the groups that hold a class
    of another component within its reach (by size and by the places of the shingle in
    both), the smaller component asking the larger.  The overlap of the asking set with
    the union bounds its overlap with every member; only groups with
@@ -26,8 +26,8 @@ classes:
 
 A group gives back at most as many links as it has askers and members, so a group of
 near copies costs a few comparisons a member and no rows but its links.  Sets are
-compared by their 64-bit hashes, which are written once for the classes that share a
-shingle within reach.
+compared by their 64-bit hashes, which are written once, in buckets by class, for the
+classes that share a shingle within reach.
 
 Edge cases: null or empty texts have an empty set and link with nothing; texts of
 fewer than ``k`` words are one shingle; rows that repeat an id are one document with
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from corvid.llm.components import components
 from corvid.llm.shingles import mix64, shingle_sets
-from corvid.storage import durable
+from corvid.storage import bucketed, buckets as n_buckets, durable
 
 #: Buckets of the frequency sketch, as a power of two: grows with the corpus between these.
 SKETCH_BITS = (16, 22)
@@ -59,9 +59,9 @@ LEADERS = 4
 LIST = 1 << 16
 #: Classes, and shingles, of one group of the token-group matrix.
 MEMBERS, TOKENS = 256, 1 << 20
-#: Askers of a group that one task takes.
+#: Askers of a group, or classes of a leader, that one task takes.
 ASKERS = 4096
-#: Bits of the filter that keeps sets nobody asks for out of the shuffle, as a power of two: eight a class between these.
+#: Bits of the filter that keeps sets nobody asks for out of the shuffle, as a power of two: at least 32 a class between these.
 FILTER_BITS = (16, 28)
 
 
@@ -215,7 +215,7 @@ def _fit(z, m, z2, m2, t: int):
 
 
 def leaders_and_lists(posted: DataFrame, t: int, most: int) -> DataFrame:
-    """Per bucket: pairs (a, b) of each class with the leader under a shingle, and the shingles (lid) of three classes or
+    """Per bucket: pairs (a, b) of each class with its leader under a shingle, and the shingles (lid) of three classes or
     more, packed: c (class), z (size), m (the largest partner the class can have through the shingle), n (classes there).
 
     Dealt shingles are listed whole, and their leaders (lead) in rows of their own."""
@@ -240,8 +240,7 @@ def leaders_and_lists(posted: DataFrame, t: int, most: int) -> DataFrame:
         count = np.diff(np.r_[start, len(tok)])
         lead = np.repeat(start, count)
         fits = (np.arange(len(tok)) != lead) & _fit(size, reach, size[lead], reach[lead], t)
-        ends = np.stack([np.maximum(cls[fits], cls[lead[fits]]), np.minimum(cls[fits], cls[lead[fits]])], 1)
-        pairs = np.unique(ends, axis=0)
+        pairs = np.unique(np.stack([cls[fits], cls[lead[fits]]], 1), axis=0)
         lid, length, packed, first = [], [], ([], [], []), []
         listed = np.ones(len(start), bool) if dealt else count > 2
         for s, n in zip(start[listed], count[listed], strict=True):
@@ -292,12 +291,12 @@ def led(found: DataFrame, t: int) -> DataFrame:
     leads = _entries(found.where("lead")).withColumn("turn", F.xxhash64("c", F.pmod("lid", F.lit(LEADERS))))
     first = leads.groupBy("lid").agg(F.min(F.struct("turn", "c", "z", "m")).alias("f"))
     fits = _fit(F.col("z"), F.col("m"), F.col("f.z"), F.col("f.m"), t)
-    return leads.join(first, "lid").where(fits & (F.col("c") != F.col("f.c"))).select(F.greatest("c", "f.c").alias("a"), F.least("c", "f.c").alias("b"))
+    return leads.join(first, "lid").where(fits & (F.col("c") != F.col("f.c"))).select(F.col("c").alias("a"), F.col("f.c").alias("b"))
 
 
 def _asked(spark: SparkSession, ids: DataFrame):
     """A filter of the class ids in ``ids`` (column c): false for a class that is surely not among them."""
-    bits = _bits(ids.count(), FILTER_BITS)
+    bits = _bits(4 * ids.count(), FILTER_BITS)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros(1 << bits, np.uint8)
@@ -338,8 +337,8 @@ def class_sets(docs: DataFrame, asked, k: int) -> DataFrame:
                     cls, data, size = [], [], 0
             yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "tokens": pa.array(data, pa.binary())})
 
-    # copies of a class in different tasks: any one of them is the set
-    return docs.select("text").mapInArrow(run, "cls long, tokens binary").dropDuplicates(["cls"])
+    # copies of a class in different tasks: any one of them is the set; dealt once, for ``bucketed``
+    return docs.select("text").mapInArrow(run, "cls long, tokens binary").repartition(n_buckets(docs.sparkSession), "cls").dropDuplicates(["cls"])
 
 
 def _u64(data) -> np.ndarray:
@@ -347,21 +346,29 @@ def _u64(data) -> np.ndarray:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold, compared exactly."""
+    """The pairs (a, b: a class and its leader) whose sets reach the threshold, compared exactly.
+
+    A leader's set meets the sets of its classes, ASKERS at a time."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("long").alias("parts"))
+    leads = parts.select(F.col("b").alias("cls"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"))
+    led_ = pairs.join(parts, "b").select(F.col("a").alias("cls"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = np.empty(0, np.uint64)
         for b in batches:
             keep = []
-            for x, y in zip(b.column("ta"), b.column("tb"), strict=True):
-                both = np.concatenate([_u64(x.as_buffer()), _u64(y.as_buffer())])
-                both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * n >= t * (len(both) - n))
+            for a, x in zip(b.column("a").to_pylist(), b.column("tokens"), strict=True):
+                x = _u64(x.as_buffer())
+                if a is None:  # the leader stands before its classes
+                    lead = x
+                    keep.append(False)
+                    continue
+                n = int((lead[np.minimum(np.searchsorted(lead, x), len(lead) - 1)] == x).sum())
+                keep.append(100 * n >= t * (len(x) + len(lead) - n))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
-    full = left.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    rows = leads.unionByName(led_).join(sets, "cls").select("b", "part", "a", "tokens")
+    return rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(compare, "a long, b long")
 
 
 def matrix_asks(lists: DataFrame, components_: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
@@ -389,49 +396,42 @@ def matrix_asks(lists: DataFrame, components_: DataFrame, t: int) -> tuple[DataF
     return members, durable(asks, "ngram-asks")
 
 
-def token_group_matrix(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """A packed row for each group: ids, z and g of its members, the union of their shingles, and for each of those the
-    members that hold it (``at`` to ``holders``)."""
+class Group:
+    """A packed row of the token-group matrix: the members' classes, sizes and components, the union of their shingles, and
+    for each of those the members that hold it (``holders`` from ``at``)."""
 
-    def pack(grp: int, rows: list[tuple]) -> dict:
-        x = np.concatenate([_u64(r[3]) for r in rows])
-        who = np.repeat(np.arange(len(rows), dtype=np.uint32), [len(r[3]) // 8 for r in rows])
+    def __init__(self, members: list[tuple[int, int, int, np.ndarray]]):
+        ids, z, g, sets = zip(*members, strict=True)
+        self.ids, self.z, self.g = (np.array(x, np.int64) for x in (ids, z, g))
+        x = np.concatenate(sets)
         by = np.argsort(x, kind="stable")
-        union, at = np.unique(x[by], return_index=True)
-        cols = (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), union, np.r_[at, len(x)].astype(np.uint32), who[by])
-        return {"grp": grp} | {n: c.tobytes() for n, c in zip(("ids", "z", "g", "tokens", "at", "holders"), cols, strict=True)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, rows = None, []
-
-        def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([pack(grp, rows)], schema=pa.schema([("grp", pa.int64())] + [(n, pa.binary()) for n in ("ids", "z", "g", "tokens", "at", "holders")]))
-
-        for b in batches:
-            for own, *r in zip(*[b.column(n).to_pylist() for n in ("grp", "c", "z", "g", "tokens")], strict=True):
-                if own != grp and rows:
-                    yield row()
-                    rows = []
-                grp = own
-                rows.append(r)
-        if rows:
-            yield row()
-
-    filled = members.join(sets, F.col("c") == F.col("cls")).select("grp", "c", "z", "g", "tokens")
-    return filled.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp long, ids binary, z binary, g binary, tokens binary, at binary, holders binary")
-
-
-def opened(matrix: DataFrame, asks: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """Links (a, b) of askers with members of the groups that the bound lets them open: one for each component newly reached."""
-    packed = ("ids", "z", "g", "at", "holders")
+        self.holders = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])[by]
+        self.union, at = np.unique(x[by], return_index=True)
+        self.at = np.r_[at, len(x)]
+
+    def near(self, tokens: np.ndarray, t: int) -> np.ndarray:
+        """Indices of the members that reach t with a set; none are counted unless the bound lets the group be opened."""
+        place = np.searchsorted(self.union, tokens)
+        place = place[self.union[np.minimum(place, len(self.union) - 1)] == tokens]
+        if 100 * len(place) < t * len(tokens):  # no member can share more than the union does
+            return place[:0]
+        lo, n = self.at[place], self.at[place + 1] - self.at[place]
+        ends = np.cumsum(n)
+        both = np.bincount(self.holders[np.repeat(lo - ends + n, n) + np.arange(ends[-1])], minlength=len(self.ids))
+        return np.flatnonzero(100 * both >= t * (len(tokens) + self.z - both))
+
+
+def opened(members: DataFrame, asks: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """Links (a, b) of askers with members of the groups that the bound lets them open: one for each component newly reached.
+
+    The matrix is made where the askers of a group come, ASKERS at a time."""
     turns = asks.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ASKERS, F.sum("qz") / (8 * TOKENS))).alias("turns"))
-    none = [F.lit(None).cast("binary").alias(n) for n in packed]
-    rows = matrix.join(turns, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("long").alias("q"), F.lit(None).cast("long").alias("qg"), "tokens", *packed)
-    asking = asks.join(turns, "grp").join(sets, F.col("q") == F.col("cls")).select("grp", F.pmod(F.xxhash64("q"), F.col("turns")).alias("turn"), "q", F.col("g").alias("qg"), "tokens", *none)
+    here = members.join(turns, "grp").select(
+        F.col("c").alias("cls"), "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("long").alias("q"), "z", "g")
+    asking = asks.join(turns, "grp").select(F.col("q").alias("cls"), "grp", F.pmod(F.xxhash64("q"), F.col("turns")).alias("turn"), "q", F.col("qz").alias("z"), "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        union = ids = size = comp = at = holders = None
-        root: dict[int, int] = {}
+        now, held, group, root = None, [], None, {}
 
         def find(x: int) -> int:
             while (up := root.get(x, x)) != x:
@@ -441,33 +441,27 @@ def opened(matrix: DataFrame, asks: DataFrame, sets: DataFrame, t: int) -> DataF
 
         for b in batches:
             found = []
-            for i, q in enumerate(b.column("q").to_pylist()):
-                tokens = _u64(b.column("tokens")[i].as_buffer())
-                if q is None:  # the group's row stands before its askers
-                    root, union = {}, tokens
-                    ids, size, comp = (np.frombuffer(b.column(n)[i].as_buffer(), np.int64) for n in ("ids", "z", "g"))
-                    at, holders = (np.frombuffer(b.column(n)[i].as_buffer(), np.uint32) for n in ("at", "holders"))
-                    continue
-                place = np.searchsorted(union, tokens)
-                place = place[union[np.minimum(place, len(union) - 1)] == tokens]
-                if 100 * len(place) < t * len(tokens):  # the bound: no member can share more
+            for grp, turn, q, cls, z, g, tokens in zip(*[b.column(n).to_pylist() for n in ("grp", "turn", "q", "cls", "z", "g")], b.column("tokens"), strict=True):
+                tokens = _u64(tokens.as_buffer())
+                if (grp, turn) != now:
+                    now, held, group, root = (grp, turn), [], None, {}
+                if q is None:  # the members stand before their askers
+                    held.append((cls, z, g, tokens))
                     continue
-                lo, n = at[place].astype(np.int64), (at[place + 1] - at[place]).astype(np.int64)
-                ends = np.cumsum(n)
-                both = np.bincount(holders[np.repeat(lo - ends + n, n) + np.arange(ends[-1])], minlength=len(ids))
-                hit = np.flatnonzero(100 * both >= t * (len(tokens) + size - both))
-                _, one = np.unique(comp[hit], return_index=True)
-                g = b.column("qg")[i].as_py()
+                if group is None:
+                    group, held = Group(held), []
+                hit = group.near(tokens, t)
+                _, one = np.unique(group.g[hit], return_index=True)
                 for j in hit[one]:
-                    x, y = find(g), find(int(comp[j]))
+                    x, y = find(g), find(int(group.g[j]))
                     if x != y:
                         root[x] = y
-                        found.append((q, int(ids[j])))
+                        found.append((q, int(group.ids[j])))
             a, c = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
 
-    both = rows.unionByName(asking)
-    return both.repartition("grp", "turn").sortWithinPartitions("grp", "turn", F.col("q").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    rows = here.unionByName(asking).join(sets, "cls").select("grp", "turn", "q", "cls", "z", "g", "tokens")
+    return rows.repartition("grp", "turn").sortWithinPartitions("grp", "turn", F.col("q").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -489,12 +483,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = found.where("not lead")
     pairs = durable(found.where("a is not null").select("a", "b").unionByName(led(found, percent)).distinct(), "ngram-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(_entries(lists).select("c")).distinct()
-    sets = durable(class_sets(slim, _asked(spark, durable(ids, "ngram-live")), k), "ngram-sets")
+    sets = bucketed(class_sets(slim, _asked(spark, durable(ids, "ngram-live")), k), "ngram-sets", "cls")
     groups = durable(components(linked(pairs, sets, percent)), "ngram-groups")
     members, asks = matrix_asks(lists, groups, percent)
     if not asks.isEmpty():
-        matrix = durable(token_group_matrix(members.join(asks.select("grp").distinct(), "grp", "left_semi"), sets), "ngram-matrix")
-        groups = grown(groups, durable(opened(matrix, asks, sets, percent), "ngram-opened"))
+        groups = grown(groups, durable(opened(members, asks, sets, percent), "ngram-opened"))
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     labelled = least.join(groups, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("component", "cls").alias("label"))
     firsts = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
