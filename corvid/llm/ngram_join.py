@@ -18,8 +18,9 @@ classes:
    shingles a group.  The matrix holds a packed row for each group (``Group``): the union
    of its shingles and which members hold each.  A class asks the groups that hold a class
    of another component within its reach (by size and by the places of the shingle in
-   both), the smaller component asking the larger.  The overlap of the asking set with
-   the union bounds its overlap with every member; only groups with
+   both), the smaller component asking the larger.  Signatures (the hash ranges in which a
+   set, or a group's union, has shingles) settle most asks without moving a set.  The
+   overlap of the asking set with the union bounds its overlap with every member; only groups with
    ``|Q n U| >= t |Q|`` are opened: the overlap with each member is counted from the
    row, and one link is kept for each component newly reached.
 4. *Components* of all links.
@@ -345,13 +346,75 @@ def _u64(data) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
+def signature(s: np.ndarray) -> np.ndarray:
+    """Which hash ranges a set has shingles in: four to eight ranges a shingle, a power of two, in order (true or false)."""
+    bits = max(8, int(4 * len(s) - 1).bit_length())
+    out = np.zeros(1 << bits, bool)
+    out[_place(s, bits)] = True
+    return out
+
+
+def coarse(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two signatures in the ranges of the coarser one."""
+    n = min(len(x), len(y))
+    return x.reshape(n, -1).any(1), y.reshape(n, -1).any(1)
+
+
+def signed(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """``rows`` (cls and others) with the size and the packed signature of their set; the set itself doesn't move."""
+    names = rows.columns
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets_ = [_u64(x.as_buffer()) for x in b.column("tokens")]
+            new = {"n": pa.array([len(x) for x in sets_], pa.int64()), "sign": pa.array([np.packbits(signature(x)).tobytes() for x in sets_], pa.binary())}
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in names} | new)
+
+    return rows.join(sets, "cls").select(*names, "tokens").mapInArrow(run, f"{kept}, n long, sign binary")
+
+
+def _bools(sign) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(sign.as_buffer(), np.uint8)).astype(bool)
+
+
+def _led_rows(pairs: DataFrame) -> DataFrame:
+    """cls, b, part, a: for each leader and part a row of its own (a null), and its classes, ASKERS to a part."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("long").alias("parts"))
+    leads = parts.select(F.col("b").alias("cls"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"))
+    return leads.unionByName(pairs.join(parts, "b").select(F.col("a").alias("cls"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), "a"))
+
+
+def _met(rows: DataFrame, key: tuple[str, str], asker: str) -> DataFrame:
+    """``rows`` dealt by ``key``, what is asked before the askers."""
+    return rows.repartition(*key).sortWithinPartitions(*key, F.col(asker).asc_nulls_first())
+
+
+def likely_pairs(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs (a, b) whose signatures leave room for t: each range that one set has and the other has not is a shingle they don't share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, size = np.zeros(1, bool), 0
+        for b in batches:
+            keep = []
+            for a, n, sign in zip(b.column("a").to_pylist(), b.column("n").to_pylist(), b.column("sign"), strict=True):
+                x = _bools(sign)
+                if a is None:
+                    lead, size = x, n
+                    keep.append(False)
+                    continue
+                x, y = coarse(x, lead)
+                most = min(n - int((x & ~y).sum()), size - int((y & ~x).sum()))
+                keep.append((100 + t) * most >= t * (n + size))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _met(signed(_led_rows(pairs), sets), ("b", "part"), "a").mapInArrow(run, "a long, b long")
+
+
 def linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """The pairs (a, b: a class and its leader) whose sets reach the threshold, compared exactly.
 
     A leader's set meets the sets of its classes, ASKERS at a time."""
-    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / ASKERS).cast("long").alias("parts"))
-    leads = parts.select(F.col("b").alias("cls"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"))
-    led_ = pairs.join(parts, "b").select(F.col("a").alias("cls"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), "a")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.empty(0, np.uint64)
@@ -367,8 +430,8 @@ def linked(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
                 keep.append(100 * n >= t * (len(x) + len(lead) - n))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = leads.unionByName(led_).join(sets, "cls").select("b", "part", "a", "tokens")
-    return rows.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first()).mapInArrow(compare, "a long, b long")
+    rows = _led_rows(pairs).join(sets, "cls").select("b", "part", "a", "tokens")
+    return _met(rows, ("b", "part"), "a").mapInArrow(compare, "a long, b long")
 
 
 def matrix_asks(lists: DataFrame, components_: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
@@ -421,14 +484,40 @@ class Group:
         return np.flatnonzero(100 * both >= t * (len(tokens) + self.z - both))
 
 
+def _asking_rows(members: DataFrame, asks: DataFrame) -> DataFrame:
+    """cls, grp, turn, q, z, g: the members of each group that is asked (q null), for each turn of its askers, and those, ASKERS to a turn."""
+    turns = asks.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ASKERS, F.sum("qz") / (8 * TOKENS))).alias("turns"))
+    here = members.join(turns, "grp").select(
+        F.col("c").alias("cls"), "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("long").alias("q"), "z", "g")
+    return here.unionByName(asks.join(turns, "grp").select(F.col("q").alias("cls"), "grp", F.pmod(F.xxhash64("q"), F.col("turns")).alias("turn"), "q", F.col("qz").alias("z"), "g"))
+
+
+def likely_asks(members: DataFrame, asks: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The asks (q, qz, g, grp) that the group's signature, the ranges in which its union has shingles, leaves room for t."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, union = None, None
+        for b in batches:
+            keep = []
+            for grp, turn, q, n, sign in zip(*[b.column(x).to_pylist() for x in ("grp", "turn", "q", "n")], b.column("sign"), strict=True):
+                x = _bools(sign)
+                if (grp, turn) != now:
+                    now, union = (grp, turn), None
+                if q is None:
+                    union = x if union is None else np.logical_or(*coarse(union, x))
+                    keep.append(False)
+                    continue
+                x, y = coarse(x, union)
+                keep.append(100 * (n - int((x & ~y).sum())) >= t * n)
+            yield b.select(["q", "z", "g", "grp"]).filter(pa.array(keep, pa.bool_())).rename_columns(["q", "qz", "g", "grp"])
+
+    return _met(signed(_asking_rows(members, asks), sets), ("grp", "turn"), "q").mapInArrow(run, "q long, qz long, g long, grp long")
+
+
 def opened(members: DataFrame, asks: DataFrame, sets: DataFrame, t: int) -> DataFrame:
     """Links (a, b) of askers with members of the groups that the bound lets them open: one for each component newly reached.
 
     The matrix is made where the askers of a group come, ASKERS at a time."""
-    turns = asks.groupBy("grp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / ASKERS, F.sum("qz") / (8 * TOKENS))).alias("turns"))
-    here = members.join(turns, "grp").select(
-        F.col("c").alias("cls"), "grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("long").alias("q"), "z", "g")
-    asking = asks.join(turns, "grp").select(F.col("q").alias("cls"), "grp", F.pmod(F.xxhash64("q"), F.col("turns")).alias("turn"), "q", F.col("qz").alias("z"), "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, group, root = None, [], None, {}
@@ -460,8 +549,8 @@ def opened(members: DataFrame, asks: DataFrame, sets: DataFrame, t: int) -> Data
             a, c = zip(*found, strict=True) if found else ((), ())
             yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(c, pa.int64())})
 
-    rows = here.unionByName(asking).join(sets, "cls").select("grp", "turn", "q", "cls", "z", "g", "tokens")
-    return rows.repartition("grp", "turn").sortWithinPartitions("grp", "turn", F.col("q").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    rows = _asking_rows(members, asks).join(sets, "cls").select("grp", "turn", "q", "cls", "z", "g", "tokens")
+    return _met(rows, ("grp", "turn"), "q").mapInArrow(run, "a long, b long")
 
 
 def grown(groups: DataFrame, links: DataFrame) -> DataFrame:
@@ -484,8 +573,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = durable(found.where("a is not null").select("a", "b").unionByName(led(found, percent)).distinct(), "ngram-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("c")).unionByName(_entries(lists).select("c")).distinct()
     sets = bucketed(class_sets(slim, _asked(spark, durable(ids, "ngram-live")), k), "ngram-sets", "cls")
-    groups = durable(components(linked(pairs, sets, percent)), "ngram-groups")
+    groups = durable(components(linked(durable(likely_pairs(pairs, sets, percent), "ngram-likely"), sets, percent)), "ngram-groups")
     members, asks = matrix_asks(lists, groups, percent)
+    asks = durable(likely_asks(members, asks, sets, percent), "ngram-likely-asks")
     if not asks.isEmpty():
         groups = grown(groups, durable(opened(members, asks, sets, percent), "ngram-opened"))
     least = rows.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))

@@ -107,6 +107,15 @@ def test_ngram_join_deals_hot_shingles_and_opens_groups(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_signatures_bound_the_overlap():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2))
+        a, b = (np.sort(rng.choice(pool, rng.integers(1, len(pool)), replace=False)) for _ in range(2))
+        x, y = ngram_join.coarse(ngram_join.signature(a), ngram_join.signature(b))
+        assert len(np.intersect1d(a, b)) <= min(len(a) - (x & ~y).sum(), len(b) - (y & ~x).sum())
+
+
 def test_ngram_join_nulls_repeats_and_nothing(spark):
     rows = [(1, "a b c d e f", "s"), (1, "a b c d e f", "s"), (None, "a b c d e f", "s"), (2, None, None)]
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
