@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.scalars import origin_key, text_of
-from corvid.storage import durable
+from corvid.operators.ranges import ranked
 
 
 def dedup_by_md5(clips: DataFrame) -> DataFrame:
@@ -26,14 +26,8 @@ def dedup_by_md5(clips: DataFrame) -> DataFrame:
 def renumber(clips: DataFrame, *order: str, column: str = "clip_id") -> DataFrame:
     """Ids 1..n in the given order.
 
-    Rows are dealt to sorted ranges and written, so that the ranges stay as they are; each range numbers its own rows,
-    and only the counts of ranges are summed in one task."""
-    n = max(1, int(clips.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    cut = durable(clips.repartitionByRange(n, *order).withColumn("__c", F.spark_partition_id()), "renumber")
-    before = cut.groupBy("__c").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.sum("n").over(Window.orderBy("__c")) - F.col("n")).drop("n")
-    own = F.row_number().over(Window.partitionBy("__c").orderBy(*order))
-    # one row a range
-    return cut.withColumn("__n", own).join(F.broadcast(before), "__c").withColumn(column, (F.col("__n") + F.col("b")).cast("long")).drop("__c", "__n", "b")
+    Sorted ranges number their own rows; only the counts of ranges are summed in one task."""
+    return ranked(clips, [F.col(c) for c in order], column)
 
 
 def combine(parts: list[DataFrame], names: list[str] | None = None) -> DataFrame:
@@ -57,10 +51,12 @@ def combine(parts: list[DataFrame], names: list[str] | None = None) -> DataFrame
 
 
 def category_slice(clips: DataFrame, start: int, end: int, categories: list[str] | None = None) -> DataFrame:
-    """Rows start..end (exclusive) of every category in file-name order."""
+    """Rows start..end (exclusive) of every category in file-name order.
+
+    The filter on the row number itself lets every task drop all but its first ``end`` rows before the shuffle."""
     chosen = clips if categories is None else clips.where(F.col("category").isin(categories))
-    place = F.row_number().over(Window.partitionBy("category").orderBy("filename", "clip_id"))
-    return chosen.withColumn("place", place - 1).where((F.col("place") >= start) & (F.col("place") < end))
+    rn = F.row_number().over(Window.partitionBy("category").orderBy("filename", "clip_id"))
+    return chosen.withColumn("place", rn).where((F.col("place") <= end) & (F.col("place") > start)).withColumn("place", F.col("place") - 1)
 
 
 def split_key(seed: Column | int, category: Column, item: Column) -> Column:
@@ -70,12 +66,14 @@ def split_key(seed: Column | int, category: Column, item: Column) -> Column:
 def stratified_split(clips: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """``clips`` with ``side`` (test or simulation), split within each category by a seeded hash order.
 
-    n * fraction, half to even, go to test; both sides get one at least where a category has two."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("category"))
-    rn = F.row_number().over(Window.partitionBy("category").orderBy(split_key(seed, F.col("category"), F.col("clip_id"))))
+    n * fraction, half to even, go to test; both sides get one at least where a category has two.  Places come from
+    sorted ranges, so a category of a third of all rows is many tasks' work."""
+    placed = ranked(clips.withColumn("__h", split_key(seed, F.col("category"), F.col("clip_id"))), [F.col("__h"), F.col("clip_id")], "rn", ("category",))
+    counts = placed.groupBy(F.col("category").alias("__k")).agg(F.max("rn").alias("n"))
     want = F.bround(F.col("n") * F.lit(float(fraction)), 0)
     n_test = F.when(F.col("n") < 2, F.lit(0)).otherwise(F.least(F.greatest(want, F.lit(1)), F.col("n") - 1))
-    return clips.withColumns({"n": n, "rn": rn}).withColumn("side", F.when(F.col("rn") <= n_test, "test").otherwise("simulation")).drop("n", "rn")
+    whole = placed.join(counts, F.col("category").eqNullSafe(F.col("__k")))
+    return whole.withColumn("side", F.when(F.col("rn") <= n_test, "test").otherwise("simulation")).select(*clips.columns, "side")
 
 
 def reingest(missing: DataFrame, reread: DataFrame, clips: DataFrame) -> DataFrame:

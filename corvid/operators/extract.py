@@ -44,3 +44,21 @@ def extract(found: DataFrame, extractors: DataFrame, media_type: str) -> DataFra
     return each.where(F.col("e.confidence") >= F.col("threshold")).select(
         "extractor", "clip_id", F.round("e.confidence", 4).alias("confidence"), F.transform("e.bbox", lambda x: F.round(x, 2)).alias("bbox"), F.col("e.label").alias("label")
     )
+
+
+def run(clips: DataFrame, makers: dict[str, Callable[[], "object"]], columns: tuple[str, ...] = ("clip_bytes",)) -> DataFrame:
+    """extractor, clip_id, confidence, bbox, label of every extractor over every clip: each is built and loaded once a task
+    and its ``extract`` is given the clip's ``columns`` and id; clips without a finding give no row."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready = {name: make() for name, make in makers.items()}
+        for e in ready.values():
+            e.load_model()
+        for pdf in batches:
+            rows = [
+                (name, clip["clip_id"], float(f["confidence"]), [float(b) for b in f.get("bbox") or []], str(f["label"]))
+                for clip in pdf.to_dict("records") for name, e in ready.items() for f in e.extract(clip)
+            ]
+            yield pd.DataFrame(rows, columns=["extractor", "clip_id", "confidence", "bbox", "label"])
+
+    return clips.select("clip_id", *columns).mapInPandas(work, "extractor string, clip_id long, confidence double, bbox array<double>, label string")

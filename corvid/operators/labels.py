@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.functions.scalars import origin_key, text_of
+from corvid.operators.ranges import ranked
 
 
 def resolve(entries: DataFrame, clips: DataFrame) -> DataFrame:
@@ -75,23 +76,20 @@ def current(history: DataFrame) -> DataFrame:
 def click_ordinals(history: DataFrame) -> DataFrame:
     """clip_id, click: the 1-based number of the accepted vote that still stands; numbers taken back are not reused.
 
-    One ordered pass over accepted votes; votes are made by hand, so the log is of human size."""
-    n = F.row_number().over(Window.orderBy("seq"))
-    accepted = history.where("label <> 'unlabel'").select("clip_id", "seq", n.alias("click"))
+    Numbers come from sorted ranges of accepted votes, so a long log is many tasks' work."""
+    accepted = ranked(history.where("label <> 'unlabel'").select("clip_id", "seq"), [F.col("seq"), F.col("clip_id")], "click")
     return accepted.join(current(history).select("clip_id", "seq"), ["clip_id", "seq"]).select("clip_id", F.col("click").cast("long").alias("click"))
 
 
 def vote_sets(history: DataFrame) -> DataFrame:
     """label, ord, clip_id: both vote sets in vote order, good first."""
-    now = current(history)
-    return now.select("label", F.row_number().over(Window.partitionBy("label").orderBy("seq")).cast("long").alias("ord"), "clip_id")
+    return ranked(current(history), [F.col("seq"), F.col("clip_id")], "ord", ("label",)).select("label", "ord", "clip_id")
 
 
 def labelset(votes: DataFrame, clips: DataFrame) -> DataFrame:
     """The exported label set: good in vote order, then bad; votes of clips that are not loaded are left out."""
     rows = votes.join(clips.select("clip_id", "md5", "origin", "origin_name", "filename", "category"), "clip_id")
-    order = F.row_number().over(Window.partitionBy("label").orderBy("seq"))
-    return rows.withColumn("ord", order).select("label", "ord", "md5", "origin", text_of("origin_name").alias("origin_name"), text_of("filename").alias("filename"), text_of("category").alias("category"))
+    return ranked(rows, [F.col("seq"), F.col("clip_id")], "ord", ("label",)).select("label", "ord", "md5", "origin", text_of("origin_name").alias("origin_name"), text_of("filename").alias("filename"), text_of("category").alias("category"))
 
 
 def labelset_from_hits(hit: DataFrame, clips: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvid.operators import metrics, mlp, thresholds
+from corvid.storage import durable
 
 
 def label_states(history: DataFrame) -> DataFrame:
@@ -63,6 +64,40 @@ def cost_over_time(clips: DataFrame, models: DataFrame, labels: DataFrame, inclu
     return metrics.error_cost(preds, inclusion, ("step",))
 
 
+def stability(clips: DataFrame, models: DataFrame, history: DataFrame) -> DataFrame:
+    """step, flips, common of a replay: predictions of the clips that carry no label at the step."""
+    return flips(predictions(clips, models, label_states(history).select("step", "clip_id")))
+
+
+def model_at(clips: DataFrame, history: DataFrame, step: int, inclusion: int = 0, epochs: int = mlp.EPOCHS) -> tuple[mlp.Mlp | None, float | None, list[int], list[int]]:
+    """Network, threshold, good and bad ids after event ``step`` (from 0) of the log; no network outside the log or without both labels.
+
+    Only the labels that stand at that step train, a set of human size."""
+    if step < 0 or step >= history.count():
+        return None, None, [], []
+    past = history.orderBy("seq").limit(step + 1)
+    votes = past.groupBy("clip_id").agg(F.max_by("label", "seq").alias("label")).where("label <> 'unlabel'")
+    rows = votes.join(clips.select("clip_id", "embedding"), "clip_id").orderBy("clip_id").collect()
+    good, bad = ([r["clip_id"] for r in rows if r["label"] == side] for side in ("good", "bad"))
+    if not good or not bad:
+        return None, None, good, bad
+    x, y = np.array([r["embedding"] for r in rows], float), np.array([r["label"] == "good" for r in rows], float)
+    m = mlp.train(x, y, inclusion, epochs=epochs)
+    return m, thresholds.optimal_threshold_np(m.score(x), y, inclusion), good, bad
+
+
+def report(clips: DataFrame, history: DataFrame, inclusion: int = 0, epochs: int = mlp.EPOCHS) -> DataFrame:
+    """step, cost, fpr, fnr, flips, common, total_labels, total_clips of the whole log: error cost on the labels that stand
+    now and changed predictions, a row for each step that has a model.  Models are trained once and written."""
+    from corvid.operators.labels import current
+
+    models = durable(replay(clips, history, inclusion, epochs), "replay")
+    now = current(history)
+    costs, moved = cost_over_time(clips, models, now, inclusion), stability(clips, models, history)
+    totals = now.agg(F.count(F.lit(1)).alias("total_labels")).crossJoin(clips.agg(F.count(F.lit(1)).alias("total_clips")))
+    return models.select("step").join(costs, "step", "left").join(moved, "step", "left").crossJoin(totals)
+
+
 def status(costs: DataFrame, n_good: int, n_bad: int, n_steps: int) -> DataFrame:
     """status (red, yellow, green) and slope: whether error still falls over the last ten steps."""
     recent = costs.where(F.col("cost").isNotNull() & (F.col("step") >= n_steps - 10))

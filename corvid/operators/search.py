@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions.vectors import cosine, vector_literal
 from corvid.operators import mlp, thresholds
+from corvid.operators.ranges import ranked
 
 
 def similarity(clips: DataFrame, query, column: str = "embedding") -> DataFrame:
@@ -60,9 +61,11 @@ def detector_scores(clips: DataFrame, detectors: DataFrame, columns: tuple[str,
 
 
 def hits(scores: DataFrame) -> DataFrame:
-    """Rows at or above their detector's threshold (raw against raw), with ``score`` rounded to four places and ``rank``."""
-    order = Window.partitionBy("detector").orderBy(F.desc("score"), "clip_id")
-    return scores.where(F.col("raw") >= F.col("threshold")).withColumn("score", F.round("raw", 4)).withColumn("rank", F.row_number().over(order))
+    """Rows at or above their detector's threshold (raw against raw), with ``score`` rounded to four places and ``rank``.
+
+    Ranks come from sorted ranges, so the hits of one detector are many tasks' work."""
+    found = scores.where(F.col("raw") >= F.col("threshold")).withColumn("score", F.round("raw", 4))
+    return ranked(found, [F.desc("score"), F.col("clip_id")], "rank", ("detector",)).withColumn("rank", F.col("rank").cast("int"))
 
 
 def hit_counts(scores: DataFrame, detectors: DataFrame) -> DataFrame:

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from corvid.functions import scalars as S
 from corvid.functions.vectors import cosine, mean_vector
-from corvid.operators import datasets, evaluate, extract, labels, metrics, mlp, progress, search, thresholds
-from corvid.operators.embed import WRAPPERS
+from corvid.operators import datasets, evaluate, extract, labels, metrics, mlp, progress, search, thresholds, training
+from corvid.operators.embed import WRAPPERS, HashingEmbedder, embedded
 from corvid.schema import DETECTORS, EXTENSIONS, MIME
 from corvid.sinks import files as sinks
-from corvid.storage import table
+from corvid.storage import durable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -556,6 +556,48 @@ def eval_learned(spark, sf):
     return evaluate.eval_learned_sort(clips(spark, sf), epochs=60)
 
 
+@query(f"""SELECT entry_id, clip_id, label FROM (SELECT entry_id, clip_id, row_number() OVER (PARTITION BY entry_id ORDER BY kind, clip_id) AS rn FROM ({_MATCH}))
+  JOIN (SELECT entry_id, label FROM ({_ENTRIES})) USING (entry_id) WHERE rn = 1 AND label IN ('good', 'bad')""")
+def detector_training_rows(spark, sf):
+    return training.matched(entries(spark, sf), text_clips(spark, sf).withColumn("embedding", F.array(F.lit(1.0))))
+
+
+def _embedded_texts(spark, sf):
+    """Embedded once and written: searches and training read the vectors several times, never the texts."""
+    docs = embedded(text_clips(spark, sf), HashingEmbedder, "clip_string").where("embedding is not null")
+    return durable(docs.select("clip_id", "md5", "origin", "origin_name", "embedding"), "embedded")
+
+
+@query()
+def detector_from_labels(spark, sf):
+    """A detector trained on 200 entries, a label file of human size, and its hits over all documents."""
+    docs, asked = _embedded_texts(spark, sf), entries(spark, sf).orderBy("entry_id").limit(200)
+    found = training.from_labels(asked, docs, epochs=60)
+    one = found.row(spark, "quality", "paragraph")
+    return search.hit_counts(search.detector_scores(docs, one), one).withColumns({"loaded": F.lit(found.loaded), "skipped": F.lit(found.skipped)})
+
+
+@query()
+def text_search(spark, sf):
+    ranking, threshold = training.text_search(_embedded_texts(spark, sf), HashingEmbedder(), "the quality of data", enrich=True)
+    return ranking.withColumn("above", F.col("similarity") >= threshold)
+
+
+@query()
+def eval_report(spark, sf):
+    """mAP and mean F1, with the first vector of each category as its query."""
+    c = clips(spark, sf).where("category is not null")
+    q = c.groupBy("category").agg(F.min_by("embedding", "clip_id").alias("vector")).withColumn("query", F.col("category").cast("string"))
+    found = evaluate.run_eval({"embeddings": (c, q)}, epochs=60)
+    return spark.createDataFrame([(n, r["text_sort"]["mAP"], r["learned_sort"]["mean_f1"]) for n, r in found.items()], "dataset string, mean_ap double, mean_f1 double")
+
+
+@query()
+def progress_report(spark, sf):
+    h = _votes(spark, sf, 24).withColumn("seq", F.row_number().over(Window.orderBy(F.sha2(F.col("clip_id").cast("string"), 256))))
+    return progress.report(clips(spark, sf), h, epochs=40)
+
+
 @query()
 def voting_iterations(spark, sf):
     return evaluate.simulate_voting(clips(spark, sf), [0, 1])

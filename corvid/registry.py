@@ -9,6 +9,7 @@ import pkgutil
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -252,6 +253,45 @@ class Detectors:
         return [n for n in names if n not in have]
 
 
+class Extractors:
+    """A saved table of extractors (name, kind, media_type, config as JSON); a row is taken only if its maker can build it."""
+
+    SCHEMA = "name string, kind string, media_type string, config string"
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+
+    @classmethod
+    def empty(cls, spark: SparkSession) -> "Extractors":
+        return cls(spark.createDataFrame([], cls.SCHEMA))
+
+    def add(self, name: str, kind: str, media_type: str, config: dict) -> "Extractors":
+        """Adding overwrites; ValueError for an unknown kind or a config that its maker refuses."""
+        self.build(kind, config)
+        row = self.table.sparkSession.createDataFrame([(name, kind, media_type, json.dumps(config, sort_keys=True))], self.SCHEMA)
+        return Extractors(self.table.where(F.col("name") != name).unionByName(row))
+
+    def delete(self, name: str) -> "Extractors":
+        return Extractors(self.table.where(F.col("name") != name))
+
+    def rename(self, old: str, new: str) -> "Extractors":
+        return Extractors(Detectors(self.table).rename(old, new).table)
+
+    def of_type(self, media_type: str) -> dict[str, Callable[[], Extractor]]:
+        """Makers of the extractors of a media type, by name: ``operators.extract.run`` calls them in tasks."""
+        rows = self.table.where(F.col("media_type") == media_type).orderBy("name").collect()
+        return {r["name"]: partial(extractor_makers[r["kind"]], json.loads(r["config"])) for r in rows}
+
+    @staticmethod
+    def build(kind: str, config: dict) -> Extractor:
+        if kind not in extractor_makers:
+            raise ValueError(f"no kind of extractor named {kind}; there are {', '.join(sorted(extractor_makers))}")
+        try:
+            return extractor_makers[kind](config)
+        except (KeyError, TypeError, ValueError) as e:
+            raise ValueError(f"{kind} can't be built from this config: {e}") from e
+
+
 @dataclass
 class Settings:
     """Settings with their bounds; saved as JSON."""

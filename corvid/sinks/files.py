@@ -105,3 +105,8 @@ def email(doc: dict, host: str, port: int, sender: str, to: str, user: str | Non
         if user:
             s.login(user, password or "")
         s.send_message(message)
+
+
+def eval_json(reports: dict[str, dict]) -> str:
+    """The reports of ``operators.evaluate.run_eval`` as a JSON list."""
+    return json.dumps(list(reports.values()), indent=2)
