@@ -135,14 +135,22 @@ def labels_json(spark: SparkSession, path: str) -> DataFrame:
     return each.select(F.col("entry_id").cast("long").alias("entry_id"), *own, origin, S.first_named(get("path"), get("file"), get("filename")).alias("path"))
 
 
-def labels_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """entry_id, md5, label and other columns of a CSV label file: header trimmed and lower-cased, label lower-cased, blank rows left out."""
+def labels_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """entry_id, md5, label and other columns of a CSV label file: header trimmed and lower-cased, label lower-cased, blank rows left out.
+
+    Entries are numbered from 0 in file order, files by path, since the last entry of a clip wins.  Without an
+    ``encoding``, files are UTF-8 where all of their lines are valid, else Latin-1."""
+    if encoding is None:
+        broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
+        encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
     raw = spark.read.option("encoding", encoding).csv(path, header=True)
-    raw = raw.toDF(*[c.replace("﻿", "").strip().lower() for c in raw.columns])
-    if not {"md5", "label"} <= set(raw.columns):
+    names = [c.replace("\ufeff", "").replace("ï»¿", "").strip().lower() for c in raw.columns]
+    if not {"md5", "label"} <= set(names):
         raise ValueError("columns md5 and label are needed")
-    rows = raw.select(*[F.trim(c).alias(c) for c in raw.columns]).withColumn("label", F.lower("label"))
-    return rows.where((F.coalesce("md5", F.lit("")) != "") & (F.coalesce("label", F.lit("")) != "")).withColumn("entry_id", F.monotonically_increasing_id())
+    place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__row")]
+    rows = raw.select(*[F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(raw.columns, names, strict=True)], *place).withColumn("label", F.lower("label"))
+    rows = rows.where((F.coalesce("md5", F.lit("")) != "") & (F.coalesce("label", F.lit("")) != ""))
+    return renumber(rows, "__file", "__at", "__row", column="entry_id").withColumn("entry_id", F.col("entry_id") - 1).drop("__file", "__at", "__row")
 
 
 def trainer_rows(labels: DataFrame) -> DataFrame:

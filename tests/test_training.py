@@ -218,3 +218,22 @@ def test_run_builds_extractors_in_tasks(spark):
     clips = spark.createDataFrame([(1, "x"), (2, None), (3, "")], "clip_id long, clip_string string")
     got = extract.run(clips, {"own": make}, ("clip_string",)).collect()
     assert [(r["extractor"], r["clip_id"], r["label"], r["bbox"]) for r in got] == [("own", 1, "x", [])]
+
+
+def test_csv_labels_keep_file_order_and_fall_back_to_latin_1(spark, tmp_path):
+    from corvid.sources.files import labels_csv
+
+    (tmp_path / "a.csv").write_bytes("\ufeff MD5 ,Label,note\n".encode() + b"".join(f"h{i},GOOD,n{i}\n".encode() for i in range(50)) + b",good,x\nh7,bad,last\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200b")
+    try:
+        got = labels_csv(spark, str(tmp_path / "a.csv")).orderBy("entry_id").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r["entry_id"], r["md5"], r["label"]) for r in got] == [(i, f"h{i}", "good") for i in range(50)] + [(50, "h7", "bad")]
+    (tmp_path / "b.csv").write_bytes("md5,label,note\nx,good,caf\u00e9\n".encode("latin-1"))
+    assert labels_csv(spark, str(tmp_path / "b.csv")).first()["note"] == "caf\u00e9"
+    (tmp_path / "c.csv").write_bytes("md5,label,note\nx,good,caf\u00e9\n".encode())
+    assert labels_csv(spark, str(tmp_path / "c.csv")).first()["note"] == "caf\u00e9"
+    (tmp_path / "d.csv").write_text("md5,other\nx,y\n")
+    with pytest.raises(ValueError):
+        labels_csv(spark, str(tmp_path / "d.csv"))
