@@ -100,10 +100,14 @@ def archive(spark: SparkSession, path: str, to: str, media_type: str, embedder:
 
 
 def feed_items(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
-    """title, url, filename of the enclosures of an RSS file, in order; ``limit`` 0 takes all."""
-    items = spark.read.format("xml").option("rowTag", "item").schema("title string, enclosure struct<_url:string,_type:string>").load(path)
-    urls = items.where("enclosure._url is not null").select("title", F.col("enclosure._url").alias("url")).withColumn("filename", S.url_filename(F.col("url")))
-    return urls.limit(limit) if limit else urls
+    """title, url, filename of the enclosures of an RSS or Atom file, in feed order; ``limit`` 0 takes all."""
+    read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    place = F.monotonically_increasing_id().alias("__row")
+    rss = read("item", "title string, enclosure struct<_url:string,_type:string>").select("title", F.col("enclosure._url").alias("url"), place)
+    linked = read("entry", "title string, link array<struct<_rel:string,_href:string>>").select("title", "link", place)
+    atom = linked.select("title", F.get(F.filter("link", lambda x: x["_rel"] == "enclosure"), 0)["_href"].alias("url"), "__row")
+    urls = rss.unionByName(atom).where("url is not null").withColumn("filename", S.url_filename(F.col("url"))).orderBy("__row")
+    return (urls.limit(limit) if limit else urls).drop("__row")
 
 
 def metadata_csv(spark: SparkSession, path: str) -> DataFrame:

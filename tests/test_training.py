@@ -237,3 +237,14 @@ def test_csv_labels_keep_file_order_and_fall_back_to_latin_1(spark, tmp_path):
     (tmp_path / "d.csv").write_text("md5,other\nx,y\n")
     with pytest.raises(ValueError):
         labels_csv(spark, str(tmp_path / "d.csv"))
+
+
+def test_atom_feeds_are_read_in_order(spark, tmp_path):
+    from corvid.sources.files import feed_items
+
+    entry = '<entry><title>t{0}</title><link rel="alternate" href="http://x/page{0}"/><link rel="enclosure" href="http://x/e{0}.mp3?k=1"/></entry>'
+    body = "".join(entry.format(i) for i in range(5)) + '<entry><title>no file</title><link href="http://x/only"/></entry>'
+    (tmp_path / "feed.xml").write_text(f'<feed xmlns="http://www.w3.org/2005/Atom">{body}</feed>')
+    got = [(r["title"], r["url"], r["filename"][8:]) for r in feed_items(spark, str(tmp_path / "feed.xml")).collect()]
+    assert got == [(f"t{i}", f"http://x/e{i}.mp3?k=1", f"_e{i}.mp3") for i in range(5)]
+    assert [r["title"] for r in feed_items(spark, str(tmp_path / "feed.xml"), 2).collect()] == ["t0", "t1"]
