@@ -2,8 +2,10 @@
 
 Trusted positives are labelled texts of quality 1; the unlabelled texts are a sample
 of the web texts themselves.  A small network minimises the non-negative unbiased
-risk ``pi R+(P) + max(0, R-(U) - pi R-(P))`` under a class prior ``pi``, estimated as
-the share of quality 1 among the rows labels may be learnt from.
+risk ``pi R+(P) + max(0, R-(U) - pi R-(P))`` under a class prior ``pi``.  The prior is
+estimated from positives and unlabelled texts alone: networks tell P from U on one half
+of the sample and score the other; the smallest ratio of the shares of U and of P above
+a score, with its confidence bound, gives the share of U that is like P.
 
 Features are shape statistics of the whole text (bytes by class, word length,
 repetition); labels, language, source and id are never among them.  They are
@@ -12,12 +14,13 @@ as it is scored.
 
 Edge cases: null and empty texts get the features of an empty text and a score;
 repeated rows get equal scores; documents with contradicting labels count by each;
-without labelled positives every score is the prior 0.5; extra columns are ignored.
+without labelled positives every score is 0.5; with fewer than ``LEAST`` positives the
+whole sample serves both steps of the prior's estimate; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +34,13 @@ MAX_POSITIVE = 6000
 MAX_UNLABELLED = 12000
 HIDDEN = 16
 EPOCHS = 300
+PRIOR_EPOCHS = 100
 RATE = 0.02
 SEED = 7
+#: Positives from which on the prior is estimated on halves that the network has not seen.
+LEAST = 20
+#: Chance that the confidence bound of the prior fails, and its slack.
+DELTA, SLACK = 0.1, 0.01
 
 
 def _is(chars: str) -> np.ndarray:
@@ -83,16 +91,15 @@ def _rows(batch: pa.RecordBatch, text_col: str) -> np.ndarray:
 
 
 def feature_table(docs: DataFrame) -> DataFrame:
-    """x (features) and every other column than ``text`` of the documents."""
+    """x (features, 32-bit floats as bytes) and every other column than ``text`` of the documents."""
     others = [f for f in docs.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            flat = pa.array(_rows(b, "text").ravel(), pa.float64())
-            x = pa.ListArray.from_arrays(pa.array(np.arange(0, b.num_rows * N_FEATURES + 1, N_FEATURES), pa.int32()), flat)
+            x = pa.array([row.tobytes() for row in _rows(b, "text").astype(np.float32)], pa.binary())
             yield pa.RecordBatch.from_pydict({f.name: b.column(f.name) for f in others} | {"x": x})
 
-    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["x array<double>"]))
+    return docs.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["x binary"]))
 
 
 def fold_of(doc_id: Column) -> Column:
@@ -111,28 +118,18 @@ class Model:
         return 1 / (1 + np.exp(-(h @ self.w2 + self.b2).clip(-30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = SEED, epochs: int = EPOCHS) -> Model | None:
-    """Minimise the non-negative risk by Adam on the whole sample; None without positives."""
-    if not len(positive) or not len(unlabelled):
-        return None
+def _trained(positive: np.ndarray, unlabelled: np.ndarray, pull: Callable[[np.ndarray, int], np.ndarray], seed: int, epochs: int) -> Model:
+    """Adam on the whole sample; ``pull`` gives the risk's slope by each row's logit from all scores and the number of positives."""
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
+    mean, scale = unlabelled.mean(0, dtype=np.float64), unlabelled.std(0, dtype=np.float64) + 1e-3
     x = ((both - mean) / scale).clip(-8, 8)
-    d, n_p, n_u = x.shape[1], len(positive), len(unlabelled)
+    d = x.shape[1]
     p = [rng.normal(0, np.sqrt(2 / d), (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, np.sqrt(1 / HIDDEN), HIDDEN), np.array(0.0)]
     m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
     for step in range(1, epochs + 1):
         h = np.maximum(0, x @ p[0] + p[1])
-        s = 1 / (1 + np.exp(-(h @ p[2] + p[3]).clip(-30, 30)))
-        # logistic losses: the risk of P as positive falls by s-1, that of a set as negative by s
-        loss_neg = -np.log1p(-s.clip(0, 1 - 1e-12))
-        negative = loss_neg[n_p:].mean() - prior * loss_neg[:n_p].mean()
-        g = np.empty(len(x))
-        if negative >= 0:
-            g[:n_p], g[n_p:] = prior * ((s[:n_p] - 1) - s[:n_p]) / n_p, s[n_p:] / n_u
-        else:  # the estimated risk fell below nought: step back up
-            g[:n_p], g[n_p:] = prior * s[:n_p] / n_p, -s[n_p:] / n_u
+        g = pull(1 / (1 + np.exp(-(h @ p[2] + p[3]).clip(-30, 30))), len(positive))
         back = np.outer(g, p[2]) * (h > 0)
         grads = [x.T @ back + 1e-4 * p[0], back.sum(0), h.T @ g + 1e-4 * p[2], np.array(g.sum())]
         for i, q in enumerate(grads):
@@ -142,13 +139,50 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     return Model(mean, scale, *p)
 
 
+def _apart(s: np.ndarray, n_p: int) -> np.ndarray:
+    """Slope of the plain logistic risk of P against U, both of weight one half."""
+    return np.concatenate([(s[:n_p] - 1) / n_p, s[n_p:] / (len(s) - n_p)]) / 2
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED, epochs: int = PRIOR_EPOCHS) -> float:
+    """The share of ``unlabelled`` that is like ``positive``: above the score where it is bounded best."""
+    both = [positive, unlabelled]
+    if min(len(positive), len(unlabelled)) < LEAST:
+        scored = [_trained(*both, _apart, seed, epochs).score(x) for x in both]
+    else:
+        scored = [np.empty(len(x)) for x in both]
+        for half in (0, 1):
+            model = _trained(*[x[1 - half :: 2] for x in both], _apart, seed, epochs)
+            for x, s in zip(both, scored, strict=True):
+                s[half::2] = model.score(x[half::2])
+    p, u = np.sort(scored[0]), np.sort(scored[1])
+    above_p, above_u = 1 - np.searchsorted(p, p) / len(p), 1 - np.searchsorted(u, p) / len(u)
+    doubt = np.sqrt(np.log(4 / DELTA) / 2) * (len(u) ** -0.5 + len(p) ** -0.5)
+    best = np.argmin((above_u + (1 + SLACK) * doubt) / above_p)
+    return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, seed: int = SEED, epochs: int = EPOCHS) -> Model | None:
+    """Minimise the non-negative risk on the whole sample, under an estimated prior if none is given; None without positives."""
+    if not len(positive) or not len(unlabelled):
+        return None
+    pi = prior_of(positive, unlabelled, seed) if prior is None else prior
+
+    def pull(s: np.ndarray, n_p: int) -> np.ndarray:
+        # logistic losses: the risk of P as positive falls by s-1, that of a set as negative by s
+        n_u, loss = len(s) - n_p, -np.log1p(-s.clip(0, 1 - 1e-12))
+        if loss[n_p:].mean() >= pi * loss[:n_p].mean():
+            return np.concatenate([pi * ((s[:n_p] - 1) - s[:n_p]) / n_p, s[n_p:] / n_u])
+        # the estimated risk fell below nought: step back up
+        return np.concatenate([pi * s[:n_p] / n_p, -s[n_p:] / n_u])
+
+    return _trained(positive, unlabelled, pull, seed, epochs)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on a bounded sample of ``docs`` (doc_id, text) and ``labels`` (doc_id, quality), fold 1 left out."""
     fold = fold_of(F.col("doc_id")) != 1
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & fold)
-    share, n = known.agg(F.avg(F.col("quality").cast("double")), F.count(F.lit(1))).first()
-    if not n or not share:
-        return None
     mark = F.xxhash64("doc_id", F.lit("sample"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     positive = known.where("quality = 1").select("doc_id").distinct().orderBy(mark, "doc_id").limit(MAX_POSITIVE).withColumn("known", F.lit(1))
@@ -156,8 +190,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     # at most MAX_POSITIVE + MAX_UNLABELLED ids
     sample = slim.join(F.broadcast(positive.unionByName(others)), "doc_id")
     got = feature_table(sample).orderBy(mark, "doc_id").limit(2 * (MAX_POSITIVE + MAX_UNLABELLED)).collect()
-    x, known_ = np.array([r["x"] for r in got]).reshape(-1, N_FEATURES), np.array([r["known"] for r in got])
-    return fit(x[known_ == 1], x[known_ == 0], prior=float(min(0.98, share)))
+    x, known_ = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, N_FEATURES), np.array([r["known"] for r in got])
+    return fit(x[known_ == 1], x[known_ == 0])
 
 
 def _judged(model, b: pa.RecordBatch, text_col: str) -> np.ndarray:

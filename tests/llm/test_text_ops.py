@@ -454,3 +454,15 @@ def test_quality_by_positive_and_unlabelled(spark):
     assert kept == {i for i, r in got.items() if r.predicted == 1}
     assert {r.score for r in quality.scores(df, labels.limit(0)).collect()} == {0.5}
     assert quality.scores(df.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.3, 0.85])
+def test_prior_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(3)
+    like = lambda n: rng.normal([3, 0, 0], 1, (n, 3))
+    unlike = lambda n: rng.normal([-3, 0, 0], 1, (n, 3))
+    unlabelled = rng.permutation(np.concatenate([like(int(3000 * share)), unlike(3000 - int(3000 * share))]))
+    assert abs(quality.prior_of(like(1000), unlabelled) - share) < 0.05
+    model = quality.fit(like(1000), unlabelled)
+    assert (model.score(like(500)) >= 0.5).mean() > 0.93 and (model.score(unlike(500)) < 0.5).mean() > 0.93
+    assert 0 < quality.prior_of(like(1), unlabelled[:1]) < 1 and quality.fit(like(0), unlabelled) is None
