@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import ann, fill_middle, html_extract, line_dedup, mixing, ngram_join, pieces, quality, quality_rules, secrets, sharding, vector_dedup
+from corvid.llm import ann, fill_middle, html_extract, line_dedup, mixing, ngram_join, pieces, prefix_trie, quality, quality_rules, secrets, sharding, vector_dedup
 from corvid.storage import table
 
 
@@ -53,6 +53,10 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judged(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -63,7 +67,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_pieces, op4_secrets, op5_sharding, op6_vector_dedup, op7_quality, op8_html, op9_line_dedup, op10_ann, op12_quality_rules, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_mixing, op2_ngram_join, op3_pieces, op4_secrets, op5_sharding, op6_vector_dedup, op7_quality, op8_html, op9_line_dedup, op10_ann, op11_prefix_trie, op12_quality_rules, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
