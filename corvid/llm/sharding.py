@@ -7,8 +7,8 @@ lightest shard so far.  The map is a small versioned table
 (``version, vslot, shard``); rebalancing writes a next version in which only the
 slots that must move have another shard.
 
-Null and edge cases: a null text counts as empty, a null id is hashed by its
-text instead, equal rows share a slot and get neighbouring positions, an empty
+Null and edge cases: a null text counts as empty, a null id is a value of its own, rows
+equal in id and text share a slot by eights (a hot key is spread like any others), an empty
 table gives an empty result, and other columns of the input are ignored.
 """
 
@@ -17,27 +17,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvid.operators import ranges
 from corvid.storage import durable, table_path
 
 #: Slots are fixed for the life of a data set; the map's size is bounded by it.
 N_VSLOTS = 4096
-
-
-def virtual_slot(record_id: Column, text: Column, n_vslots: int = N_VSLOTS) -> Column:
-    """Slot of a record: a hash of its id, or of its text where the id is null."""
-    mark = F.when(record_id.isNull(), F.xxhash64(text, F.lit("vslot"))).otherwise(F.xxhash64(record_id, F.lit("vslot")))
-    return F.pmod(mark, F.lit(n_vslots)).cast("int")
+#: Rows equal in id and text that share a slot.
+TOGETHER = 8
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_vslots: int = N_VSLOTS) -> DataFrame:
-    """id, UTF-8 size plus one, CRC-32 of the text and the virtual slot of every record."""
+    """id, UTF-8 size plus one, CRC-32 of the text and the virtual slot of every record.
+
+    The slot is a hash of id, text and a salt.  Rows equal in id and text are numbered by sorted ranges where there are
+    more than ``TOGETHER`` of them, and every ``TOGETHER`` of them have a salt of their own: which of them has which does
+    not show in the result."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
+    read = docs.select(
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        virtual_slot(F.col(id_col), text, n_vslots).alias("vslot"),
+        F.xxhash64(F.col(id_col).isNull(), F.col(id_col), text).alias("mark"),
     )
+    read = durable(read, "shard-records")
+    hot = durable(read.groupBy("mark").count().where(F.col("count") > TOGETHER).select("mark"), "shard-hot")
+    many = ranges.ranked(read.join(hot, "mark", "left_semi"), [F.col("size")], "place", ("mark",))
+    salted = read.join(hot, "mark", "left_anti").withColumn("salt", F.lit(0).cast("long"))
+    salted = salted.unionByName(many.withColumn("salt", F.floor((F.col("place") - 1) / TOGETHER)).drop("place"))
+    return salted.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("mark", "salt"), F.lit(n_vslots)).cast("int").alias("vslot"))
 
 
 def slot_loads(recs: DataFrame, n_vslots: int = N_VSLOTS) -> DataFrame:
@@ -158,7 +165,7 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
 
     Records are placed by the latest version of the map stored at ``map_path``; where none is given, a first version is
     made from their loads and stored beside the other tables of the session."""
-    recs = durable(records(docs, id_col, text_col), "shard-records")
+    recs = durable(records(docs, id_col, text_col), "shard-slots")
     loads = durable(slot_loads(recs), "shard-loads")
     if map_path is None:
         map_path = table_path(docs.sparkSession, "shard-map")
