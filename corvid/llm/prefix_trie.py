@@ -415,3 +415,44 @@ def trie(conversations: DataFrame, segment: int = SEGMENT, per_range: int = RANG
     return told.unionByName(asked).select(
         "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends", F.lit(NOTHING)).alias("ends_sha256")
     )
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           md5(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32 of the decimal id, a bit at a time
+crc AS (
+  SELECT c, CAST(c AS VARCHAR) AS s, CAST(0 AS INTEGER) AS k, CAST(4294967295 AS BIGINT) AS r FROM (SELECT DISTINCT c FROM own)
+  UNION ALL
+  SELECT c, s, k + 1, xor(u // 2, 3988292384 * (u % 2))
+  FROM (SELECT c, s, k, CASE WHEN k % 8 = 0 THEN xor(r, CAST(ascii(substr(s, k // 8 + 1, 1)) AS BIGINT)) ELSE r END AS u
+        FROM crc WHERE k < 8 * length(s))),
+taken AS (SELECT c, xor(r, 4294967295) % 4 AS h FROM crc WHERE k = 8 * length(s)),
+turned AS (
+  SELECT t.c, o.i, o.role, o.text FROM taken t JOIN own o ON o.c = t.c - t.c % 20 AND o.i <= t.h
+  UNION ALL
+  SELECT o.c, o.i, o.role, o.text FROM own o JOIN taken t ON o.c = t.c AND o.i > t.h),
+marked AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, md5(CAST(octet_length(encode(role)) AS VARCHAR) || ':' || role || text) AS m,
+         len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM turned),
+prefixes AS (
+  SELECT c, d, words, md5(string_agg(m, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS node,
+         md5(coalesce(string_agg(m, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS parent,
+         d = count(*) OVER (PARTITION BY c) AS last FROM marked
+  UNION ALL
+  SELECT c, 0, 0, md5(''), NULL, c NOT IN (SELECT c FROM turned) FROM taken),
+nodes AS (
+  SELECT node, any_value(parent) AS parent, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '')) AS ends_sha256
+  FROM prefixes GROUP BY node),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+subtree AS (
+  SELECT p.node, sum(CASE WHEN k.node IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved_tokens
+  FROM nodes n LEFT JOIN kids k ON k.node = n.node JOIN prefixes p ON p.c = n.conv_id AND p.d <= n.depth GROUP BY p.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children,
+       CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN kids k ON k.node = n.node JOIN subtree s ON s.node = n.node
+"""

@@ -184,3 +184,54 @@ def report(docs: DataFrame, text_col: str = "text", steps: int = STEPS) -> DataF
     told = voted.agg(F.array(*[F.struct(F.lit(name).alias("rule"), count(i, 1).alias("votes_good"), count(i, -1).alias("votes_bad")) for i, name in enumerate(rules)]).alias("told"))
     each = told.crossJoin(fitted).select(F.explode(F.arrays_zip("told", "on_good", "on_bad")).alias("x"))
     return each.select("x.told.*", F.col("x.on_good").alias("bad_on_good"), F.col("x.on_bad").alias("bad_on_bad"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE base AS (
+  SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l FROM documents),
+windows AS (
+  SELECT row, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS win, unnest(range(1, len(w) - 1)) AS i
+  FROM base WHERE len(w) >= 3),
+marked AS (SELECT row, i, count(*) OVER (PARTITION BY row, win) AS n FROM windows),
+covered AS (SELECT row, count(DISTINCT i + k) AS n FROM marked, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY row),
+measured AS (
+  SELECT b.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+         coalesce(c.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^\p{Lu}\p{Ll}]+', '', 'g')) AS n_cased,
+         length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^\p{L}\p{M}]+', '', 'g')) AS n_letters,
+         length(t) - length(replace(t, '!', '')) AS n_shouts,
+         len(list_filter(w, lambda x: regexp_matches(x, '[.!?…。！？]["''”’»)]*$'))) AS n_ends, len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) AS n_alphabetic,
+         len(list_filter(w, lambda x: regexp_matches(x, '[^\p{L}\p{M}\p{N}.\-_=]{2}')
+           AND len(list_filter(range(1, length(x)), lambda i: x[i] = x[i+1] AND NOT regexp_matches(x[i], '[\p{L}\p{M}\p{N}.\-_=]'))) > 0)) AS n_doubled
+  FROM base b LEFT JOIN covered c ON b.row = c.row),
+shares AS (
+  SELECT *, [CASE WHEN n_words > 0 THEN n_symbols / n_words END, CASE WHEN n_cased >= 20 THEN n_upper / n_cased END, CASE WHEN n_words > 0 THEN n_shouts / n_words END,
+             CASE WHEN n_words > 0 THEN n_repeat_words / n_words END, CASE WHEN n_lines >= 3 THEN n_dup_lines / n_lines END, CASE WHEN n_words >= 50 THEN n_ends / n_words END,
+             CASE WHEN word_chars > 0 THEN n_letters / word_chars END, CASE WHEN n_words > 0 THEN n_alphabetic / n_words END, CASE WHEN n_words > 0 THEN n_doubled / n_words END,
+             CASE WHEN n_words > 0 THEN word_chars / n_words END] AS x,
+         -- good from, good to, bad below, bad above
+         [[-1, 0.02, -1, 0.1], [-1, 0.25, -1, 0.6], [-1, 0.05, -1, 0.25], [-1, 0.2, -1, 0.4], [-1, 0.15, -1, 0.4], [0.02, 0.3, 0.002, 0.6], [0.9, 1, 0.8, 1], [0.9, 1, 0.8, 1],
+          [-1, 0.02, -1, 0.1], [3, 12, 2, 60]] AS r
+  FROM measured),
+voted AS MATERIALIZED (
+  SELECT *, list_transform(range(1, 11), lambda j: CASE WHEN x[j] < r[j][3] OR x[j] > r[j][4] THEN -1 WHEN x[j] BETWEEN r[j][1] AND r[j][2] THEN 1 ELSE 0 END) AS v FROM shares),
+patterns AS (SELECT v, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY v),
+held AS MATERIALIZED (SELECT list(v ORDER BY v) AS vs, list(n ORDER BY v) AS ns, len(list(v)) AS m FROM patterns),
+em AS (
+  SELECT 0 AS step, list_transform(vs, lambda v: CASE WHEN list_contains(v, -1) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS q FROM held
+  UNION ALL
+  SELECT step + 1, list_transform(vs, lambda v: 1 / (1 + exp(-(ln(share) - ln(1 - share) + list_sum(list_transform(range(1, 11), lambda j:
+           CASE WHEN v[j] < 0 THEN least(0, ln(g[j]) - ln(b[j])) WHEN v[j] > 0 THEN greatest(0, ln(1 - g[j]) - ln(1 - b[j])) ELSE 0 END))))))
+  FROM (
+    SELECT step, vs, (17 + list_sum(list_transform(range(1, m + 1), lambda i: ns[i] * q[i]))) / (20 + list_sum(ns)) AS share,
+           list_transform(range(1, 11), lambda j: (0.5 + list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN vs[i][j] < 0 THEN ns[i] * q[i] ELSE 0 END)))
+             / (50 + list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN vs[i][j] <> 0 THEN ns[i] * q[i] ELSE 0 END)))) AS g,
+           list_transform(range(1, 11), lambda j: (4 + list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN vs[i][j] < 0 THEN ns[i] * (1 - q[i]) ELSE 0 END)))
+             / (10 + list_sum(list_transform(range(1, m + 1), lambda i: CASE WHEN vs[i][j] <> 0 THEN ns[i] * (1 - q[i]) ELSE 0 END)))) AS b
+    FROM em, held) WHERE step < 61),
+believed AS (SELECT unnest(vs) AS v, unnest(q) AS posterior FROM em, held WHERE step = 61),
+failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM voted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept
+FROM failing JOIN believed USING (v)
+"""

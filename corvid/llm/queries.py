@@ -71,4 +71,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": ngram_join.ORACLE_SQL, "op6_vector_dedup": vector_dedup.ORACLE_SQL, "op9_line_dedup": line_dedup.ORACLE_SQL, "op13_fill_middle": fill_middle.ORACLE_SQL}
+    return {
+        "op2_ngram_join": ngram_join.ORACLE_SQL,
+        "op6_vector_dedup": vector_dedup.ORACLE_SQL,
+        "op9_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+        "op12_quality_rules": quality_rules.ORACLE_SQL,
+        "op13_fill_middle": fill_middle.ORACLE_SQL,
+    }

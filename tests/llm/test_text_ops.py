@@ -159,6 +159,30 @@ def test_line_dedup_equals_brute_force(spark):
     assert sorted((str(r.doc_id), r.text) for r in line_dedup.dedup_lines(same).collect()) == [("1", ""), ("1", ""), ("None", "a\nb\nc")]
 
 
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(6)
+    own = "own 1\nown 2\nown 3\nown 4\nown 5"
+    rows = [(7, "l1\nl2\nl3\nl4", "s"), (7, own, "s"), (3, "l1\nl2\nl3\nl4", "s"), (None, "l1\nl2\nl3\nl4", "s"), (None, own + "\nmore", "s"), (None, None, "s")]
+    rows += [(rng.choice([None, 1, 2]), "\n".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))), "s") for _ in range(50)]
+    rows += rows[:9]  # the same rows again
+    marked = frame(spark, rows).withColumn("h", F.xxhash64("text")).collect()
+    places = defaultdict(list)
+    for r in {(r.doc_id, r.h): r for r in marked}.values():
+        lines = (r.text or "").split("\n")
+        for i in range(len(lines) - 2 if r.text is not None else 0):
+            places[tuple(lines[i : i + 3])].append(((r.doc_id is not None, r.doc_id or 0), r.h, i))
+    gone = {(i, h, p + k) for v in places.values() for i, h, p in sorted(v)[1:] for k in range(3)}
+    want = Counter()
+    for r in marked:
+        key, lines = ((r.doc_id is not None, r.doc_id or 0), r.h), (r.text or "").split("\n")
+        left = [x for i, x in enumerate(lines) if (*key, i) not in gone]
+        want[r.doc_id, r.text if r.text is None or len(left) == len(lines) else "\n".join(left), len(lines) - len(left)] += 1
+    got = Counter((r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert got == want
+    only = {r.text for r in line_dedup.dedup_lines(frame(spark, rows[:2])).collect()}
+    assert only == {"l1\nl2\nl3\nl4", own}
+
+
 def test_line_dedup_long_text_and_clash(spark):
     # one text of many removed runs, and a column with the result's name
     lines = [f"l{i}" for i in range(30_000)]
@@ -193,6 +217,20 @@ def test_sharding_laws(spark):
     assert sharding.shard(frame(spark, []), 8).count() == 0
 
 
+def test_sharding_splits_a_hot_key(spark):
+    rows = [(None, "the same", "s")] * 500 + [(5, "one id", "s")] * 300 + [(i, "other " + str(i % 7), "s") for i in range(1000)]
+    got = sharding.shard(frame(spark, rows), 8).collect()
+    assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len(t) + 1) for i, t, _ in rows)
+    load, places, slots = Counter(), defaultdict(list), Counter()
+    for r in got:
+        load[r.shard] += r.size
+        places[r.shard].append(r.slot)
+        slots[r.vslot] += 1
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    assert len(load) == 8 and max(load.values()) <= 1.01 * sum(load.values()) / 8
+    assert max(slots.values()) <= 4 * sharding.TOGETHER
+
+
 def test_sharding_places_by_a_stored_map(spark, tmp_path):
     df, path = frame(spark, [(i, "y" * (i % 97), "s") for i in range(800)]), str(tmp_path / "map")
     sharding.save_map(sharding.first_map(sharding.slot_loads(sharding.records(df)), 4), path)
