@@ -80,4 +80,5 @@ def embedded(df: DataFrame, make: Callable[[], Embedder], column: str, out: str
             found = [None if x is None else one(bytes(x) if binary else x) for x in s]
             yield pd.Series([None if v is None else np.asarray(v, np.float32) for v in found], dtype=object)
 
-    return df.withColumn(out, vectors(F.col(column)))
+    # said to be nondeterministic so that a filter on the vector does not run it a second time
+    return df.withColumn(out, vectors.asNondeterministic()(F.col(column)))

@@ -4,39 +4,101 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvid.operators import metrics, mlp, thresholds
+from corvid.operators import metrics, mlp, ranges, thresholds
 from corvid.storage import durable
 
 
+def steps(history: DataFrame) -> DataFrame:
+    """seq, clip_id, label, step (from 0) and mark, which tells a log's beginning up to the event from any other's.
+
+    Places and marks come from sorted ranges: no task reads the whole log."""
+    placed = ranges.ranked(history.select("seq", "clip_id", "label"), [F.col("seq")], "step").withColumn("step", F.col("step") - 1)
+    event = F.xxhash64("step", "clip_id", "label").cast("decimal(38,0)")
+    return ranges.running(placed, [F.col("step")], {"mark": event}).select("seq", "clip_id", "label", "step", "mark")
+
+
+def label_spans(placed: DataFrame) -> DataFrame:
+    """clip_id, label, first, end: the steps from which and before which (null: none) a label stands, of ``steps``."""
+    until = F.lead("step").over(Window.partitionBy("clip_id").orderBy("step"))
+    return placed.withColumn("end", until).where("label <> 'unlabel'").select("clip_id", "label", F.col("step").alias("first"), "end")
+
+
 def label_states(history: DataFrame) -> DataFrame:
     """step, clip_id, label: the labels that stand after each event of the log (steps from 0)."""
-    steps = history.select("seq", (F.row_number().over(Window.orderBy("seq")) - 1).alias("step"))
-    events = history.join(steps, "seq").select("clip_id", "label", "step")
-    until = F.lead("step").over(Window.partitionBy("clip_id").orderBy("step"))
-    last = steps.agg(F.max("step").alias("last"))
-    spans = events.withColumn("until", until).crossJoin(F.broadcast(last)).where("label <> 'unlabel'")
-    return spans.select(F.explode(F.sequence(F.col("step"), F.coalesce(F.col("until") - 1, F.col("last")))).alias("step"), "clip_id", "label")
+    placed = steps(history)
+    last = placed.agg(F.max("step").alias("last"))
+    spans = label_spans(placed).crossJoin(F.broadcast(last))
+    return spans.select(F.explode(F.sequence(F.col("first"), F.coalesce(F.col("end") - 1, F.col("last")))).alias("step"), "clip_id", "label")
+
+
+#: Steps that one task trains, from the labels that stand in any of them.
+BLOCK = 32
+MODELS = "step long, threshold double, w0 array<array<double>>, b0 array<double>, w2 array<double>, b2 double"
 
 
-def replay(clips: DataFrame, history: DataFrame, inclusion: int = 0, epochs: int = mlp.EPOCHS) -> DataFrame:
+def replay(clips: DataFrame, history: DataFrame, inclusion: int = 0, epochs: int = mlp.EPOCHS, only: DataFrame | None = None) -> DataFrame:
     """step, threshold and weights of the model each step of the log would have trained; steps without both labels are left out.
 
-    Steps are independent: one group a step, with only its labelled rows in it."""
-    rows = label_states(history).join(clips.select("clip_id", "embedding"), "clip_id")
+    ``only`` (step) names the steps to train.  Steps are independent: a task gets the labels of ``BLOCK`` steps once, with
+    the span each stands for, and trains those steps one after the other."""
+    placed = steps(history)
+    asked = placed.select("step") if only is None else placed.select("step").join(only.select("step"), "step", "left_semi")
+    blocks = asked.groupBy(F.floor(F.col("step") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list("step")).alias("steps"))
+    last = placed.agg(F.floor(F.max("step") / BLOCK).alias("last"))
+    spans = label_spans(placed).crossJoin(F.broadcast(last))
+    spans = spans.select("clip_id", "label", "first", "end", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), F.coalesce(F.floor((F.col("end") - 1) / BLOCK), F.col("last")))).alias("block"))
+    rows = spans.join(blocks, "block").join(clips.select("clip_id", "embedding"), "clip_id")
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("clip_id")
-        y = (pdf["label"] == "good").to_numpy(float)
-        if len(y) < 2 or y.all() or not y.any():
-            return pd.DataFrame(columns=["step", "threshold", "w0", "b0", "w2", "b2"], dtype=object)
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        m = mlp.train(x, y, inclusion, epochs=epochs)
-        return pd.DataFrame([{"step": int(pdf["step"].iloc[0]), "threshold": thresholds.optimal_threshold_np(m.score(x), y, inclusion), **m.as_row()}])
-
-    return rows.groupBy("step").applyInPandas(fit, "step long, threshold double, w0 array<array<double>>, b0 array<double>, w2 array<double>, b2 double")
+        pdf = pdf.sort_values("clip_id", ignore_index=True)
+        x, good = np.stack(pdf["embedding"].to_numpy()).astype(float), (pdf["label"] == "good").to_numpy()
+        first, end = pdf["first"].to_numpy(), pdf["end"].fillna(np.inf).to_numpy()
+        made = []
+        for step in pdf["steps"].iloc[0]:
+            stands = (first <= step) & (step < end)
+            y = good[stands].astype(float)
+            if len(y) < 2 or y.all() or not y.any():
+                continue
+            m = mlp.train(x[stands], y, inclusion, epochs=epochs)
+            made.append({"step": int(step), "threshold": thresholds.optimal_threshold_np(m.score(x[stands]), y, inclusion), **m.as_row()})
+        return pd.DataFrame(made, columns=["step", "threshold", "w0", "b0", "w2", "b2"])
+
+    return rows.groupBy("block").applyInPandas(fit, MODELS)
+
+
+class ReplayCache:
+    """Models of replayed steps, kept below ``path``: a log that has grown trains its new steps alone.
+
+    A step is known by its mark (of the log up to it), the inclusion and the epochs; a log that was cleared or began in
+    another way has other marks, so old models are not found.  Each call appends the steps it trained as one write, those
+    without both labels too (threshold null), and a lost driver leaves whole writes only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _stored(self, inclusion: int, epochs: int) -> DataFrame:
+        schema = f"mark decimal(38,0), {MODELS}, inclusion int, epochs int"
+        fs_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = fs_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+        rows = self.spark.read.schema(schema).parquet(self.path) if there else self.spark.createDataFrame([], schema)
+        return rows.where((F.col("inclusion") == inclusion) & (F.col("epochs") == epochs)).drop("inclusion", "epochs")
+
+    def replay(self, clips: DataFrame, history: DataFrame, inclusion: int = 0, epochs: int = mlp.EPOCHS) -> DataFrame:
+        """What ``replay`` gives, training only steps that no earlier call has trained."""
+        marks = durable(steps(history).select("step", "mark"), "replay-marks")
+        unseen = durable(marks.join(self._stored(inclusion, epochs), ["step", "mark"], "left_anti"), "replay-unseen")
+        if not unseen.isEmpty():
+            found = unseen.join(replay(clips, history, inclusion, epochs, unseen), "step", "left")
+            found.withColumns({"inclusion": F.lit(inclusion), "epochs": F.lit(epochs)}).write.mode("append").parquet(self.path)
+        return self._stored(inclusion, epochs).join(marks, ["step", "mark"], "left_semi").where("threshold is not null").drop("mark").dropDuplicates(["step"])
+
+    def clear(self) -> None:
+        """Forget every model, as when votes or clips are cleared."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def predictions(clips: DataFrame, models: DataFrame, only: DataFrame | None = None) -> DataFrame:

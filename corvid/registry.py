@@ -116,6 +116,7 @@ class Registry:
 
 
 sources, sinks = Registry(Source), Registry(Sink)
+label_importers, processor_importers = Registry(Source), Registry(Source)
 extractor_makers: dict[str, Callable[[dict], Extractor]] = {}
 
 
@@ -150,12 +151,15 @@ class CombineSource(Source):
 
 
 class ArchiveSource(Source):
-    name, options = "http_archive", (Option("path"), Option("to"), Option("media_type"), Option("embedder", "object", False))
+    name, options = "http_archive", (Option("path"), Option("to", "text", False), Option("media_type"), Option("embedder", "object", False))
 
     def read(self, spark, **values):
+        """Members are read where they lie; with ``to``, a shared folder, they are unpacked there first."""
         from corvid.sources import files
 
         v = self.checked(values)
+        if not v["to"]:
+            return files.archive_scan(spark, v["path"], v["media_type"], v["embedder"])
         return files.archive(spark, v["path"], v["to"], v["media_type"], v["embedder"])
 
 
@@ -193,6 +197,40 @@ class CsvLabels(Source):
         return files.labels_csv(spark, **self.checked(values))
 
 
+class DetectorFile(Source):
+    """A detector from an exchange file."""
+
+    name, options = "detector_file", (Option("path"), Option("media_type", "text", False, "audio"))
+
+    def read(self, spark, **values):
+        from corvid.sources import files
+
+        return files.detector_json(spark, **self.checked(values))
+
+
+class LabelFile(Source):
+    """A detector trained on the files that a label file (JSON, or CSV with path and label) names."""
+
+    name, options = "label_file", (Option("path"), Option("embedder", "object"), Option("name", "text", False, "detector"), Option("epochs", "number", False, None))
+    csv = False
+
+    def read(self, spark, **values):
+        from corvid.operators import training
+        from corvid.sources import files
+
+        v = self.checked(values)
+        labels = files.path_labels_csv(spark, v["path"]) if self.csv else files.labels_json(spark, v["path"])
+        typed = files.trainer_rows(labels)
+        how = {} if v["epochs"] is None else {"epochs": int(v["epochs"])}
+        made = training.from_label_file(labels, v["embedder"], **how)
+        first = typed.select("media_type").first()
+        return made.row(spark, v["name"], first["media_type"])
+
+
+class CsvLabelFile(LabelFile):
+    name, csv = "csv_label_file", True
+
+
 class FileSink(Sink):
     name, options = "file", (Option("path"), Option("media_type", "text", False, "audio"))
 
@@ -216,6 +254,10 @@ class CsvSink(Sink):
 
 for _kind in (FolderSource, DatasetSource, CombineSource, ArchiveSource, PlaylistSource, FeedSource, JsonLabels, CsvLabels):
     sources.add(_kind())
+for _kind in (JsonLabels, CsvLabels):
+    label_importers.add(_kind())
+for _kind in (DetectorFile, LabelFile, CsvLabelFile):
+    processor_importers.add(_kind())
 for _kind in (FileSink, CsvSink):
     sinks.add(_kind())
 
@@ -253,6 +295,56 @@ class Detectors:
         return [n for n in names if n not in have]
 
 
+@dataclass(frozen=True)
+class Recipe:
+    """How a favourite detector is made: its name, the processor importer, and that importer's values."""
+
+    name: str
+    importer: str
+    values: dict
+
+    @classmethod
+    def of(cls, entry: dict) -> Recipe:
+        """From a settings entry; ValueError for one that names no detector or importer."""
+        if not isinstance(entry, dict) or not entry.get("processor_name") or not entry.get("processor_importer"):
+            raise ValueError("a recipe needs processor_name and processor_importer")
+        return cls(str(entry["processor_name"]), str(entry["processor_importer"]), dict(entry.get("field_values") or {}))
+
+    def as_entry(self) -> dict:
+        return {"processor_name": self.name, "processor_importer": self.importer, "field_values": self.values}
+
+
+RECIPE_ERRORS = "name string, importer string, error string"
+
+
+def cook(spark: SparkSession, entries: list, detectors: Detectors, names: list[str] | None = None) -> tuple[Detectors, DataFrame]:
+    """The detectors that recipes of a settings file make, and a row (name, importer, error) for each that failed.
+
+    Only recipes whose name the table lacks are run (and, with ``names``, only those), in file order; of two recipes of
+    one name the last counts.  One that fails stops no other: its importer's rows are read here, so that an error that
+    only reading shows is told too."""
+    recipes, failed = {}, []
+    for e in entries:
+        try:
+            r = Recipe.of(e)
+            recipes[r.name] = r
+        except (ValueError, TypeError) as error:
+            failed.append((e.get("processor_name") if isinstance(e, dict) else None, e.get("processor_importer") if isinstance(e, dict) else None, str(error)))
+    wanted = [n for n in recipes if names is None or n in names]
+    for name in detectors.missing(wanted):
+        r = recipes[name]
+        try:
+            rows = processor_importers.get(r.importer).read(spark, **r.values).limit(2).collect()
+            if len(rows) != 1:
+                raise ValueError("no single detector was made")
+            made = spark.createDataFrame([rows[0]], DETECTORS).withColumn("name", F.lit(name))
+            detectors = detectors.add(made)
+        except Exception as error:  # noqa: BLE001  a broken recipe must not stop the others
+            log.warning("recipe %s is passed over: %s", name, error)
+            failed.append((name, r.importer, str(error).split("\n")[0][:500]))
+    return detectors, spark.createDataFrame(failed, RECIPE_ERRORS)
+
+
 class Extractors:
     """A saved table of extractors (name, kind, media_type, config as JSON); a row is taken only if its maker can build it."""
 

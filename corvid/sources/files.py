@@ -9,6 +9,7 @@ import struct
 import tarfile
 import zipfile
 from collections.abc import Callable
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -20,6 +21,7 @@ from corvid.functions import scalars as S
 from corvid.operators.datasets import renumber, with_precomputed
 from corvid.operators.embed import Embedder, embedded
 from corvid.schema import CLIPS, DETECTORS, EXTENSIONS, ORIGIN
+from corvid.sources import scans
 from corvid.storage import ship
 
 
@@ -35,37 +37,62 @@ def folder(
 ) -> DataFrame:
     """Clips of a folder, by path: files of the media type's extensions, embedded; those that can't be are skipped.
 
-    Files of length 0 hold nothing and are not listed.  ``thin`` keeps no bytes in the result.  ``vectors`` (filename, vector, md5) replace embedding and hash by base name."""
+    Files of length 0 hold nothing and are not listed.  ``thin`` keeps no bytes: hashes are made from small pieces of a file, and an
+    embedder is handed one file at a time.  ``vectors`` (filename, vector, md5) replace embedding and hash by base name."""
     if media_type not in EXTENSIONS:
         raise ValueError(f"unknown media type {media_type}")
     ship(spark)
+    origin = origin or ("folder", {"path": path, "media_type": media_type})
+    if thin:
+        files = scans.scan(spark, scans.FileHashes, path, glob=_globs(media_type), recursive=recursive).select(F.col("path").alias("media_path"), F.col("length").alias("file_size"), "md5")
+        return _clips(files, media_type, embedder, vectors, origin, category, "media_path")
     glob = "*.{" + ",".join(sorted({x for e in EXTENSIONS[media_type] for x in (e, e.upper())})) + "}"
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower())
-    files = reader.load(path)
-    name = S.basename(F.col("path"))
-    rows = files.select(
-        F.col("path").alias("media_path"), F.col("length").alias("file_size"), name.alias("filename"), F.md5("content").alias("md5"), F.col("content").alias("clip_bytes")
-    )
+    files = reader.load(path).select(F.col("path").alias("media_path"), F.col("length").alias("file_size"), F.md5("content").alias("md5"), F.col("content").alias("clip_bytes"))
+    return _clips(files, media_type, embedder, vectors, origin, category, "clip_bytes")
+
+
+def _globs(media_type: str) -> str:
+    return ",".join(f"*.{e}" for e in EXTENSIONS[media_type])
+
+
+def _clips(rows: DataFrame, media_type: str, embedder, vectors: DataFrame | None, origin: tuple[str, dict], category: str, content: str) -> DataFrame:
+    """Clips from media_path, file_size, md5 and the column ``content``: bytes, or the path of what is not to be kept."""
+    rows = rows.withColumn("filename", S.basename(F.col("media_path")))
     if embedder is not None:
-        rows = embedded(rows, embedder, "clip_bytes")
+        rows = embedded(rows, embedder if content == "clip_bytes" else partial(ByPath, embedder), content)
     else:
         rows = rows.withColumn("embedding", F.lit(None).cast("array<float>"))
     if vectors is not None:
         rows = with_precomputed(rows, vectors)
     if embedder is not None or vectors is not None:
         rows = rows.where("embedding is not null")
-    importer, params = origin or ("folder", {"path": path, "media_type": media_type})
+    importer, params = origin
     source = F.struct(F.lit(importer).alias("importer"), F.create_map(*[F.lit(x) for kv in params.items() for x in kv]).cast("map<string,string>").alias("params")).cast(ORIGIN)
     rows = rows.withColumns({"type": F.lit(media_type), "category": F.lit(category), "origin": source, "origin_name": F.col("filename"), "duration": F.lit(0.0)})
-    if media_type == "paragraph":
+    if media_type == "paragraph" and content == "clip_bytes":
         text = F.decode("clip_bytes", "UTF-8")
         rows = rows.withColumns({"clip_string": text, "word_count": S.word_count(text).cast("int"), "character_count": F.char_length(text)})
-    if thin:
-        rows = rows.withColumns({"clip_bytes": F.lit(None).cast("binary"), "clip_string": F.lit(None).cast("string")})
     out = renumber(rows, "media_path")
     return _shaped(out.withColumn("ord", F.col("clip_id")))
 
 
+class ByPath:
+    """An embedder of files that it opens itself, one at a time."""
+
+    def __init__(self, make: Callable[[], Embedder]):
+        self.own = make()
+        self.dim = self.own.dim
+
+    def embed_text(self, path: str) -> np.ndarray | None:
+        system, inner = scans.opened(path)
+        with system.open_input_stream(inner, compression=None) as f:
+            return self.own.embed_media(f.read())
+
+    def embed_media(self, content: bytes) -> np.ndarray | None:
+        return self.own.embed_media(content)
+
+
 def listing(spark: SparkSession, path: str, media_type: str) -> DataFrame:
     """path, length of the media files of a folder; no content is read."""
     glob = "*.{" + ",".join(EXTENSIONS[media_type]) + "}"
@@ -99,6 +126,21 @@ def archive(spark: SparkSession, path: str, to: str, media_type: str, embedder:
     return folder(spark, str(target), media_type, embedder, origin=("http_archive", {"url": path, "media_type": media_type}), recursive=True, **kw)
 
 
+def archive_scan(spark: SparkSession, path: str, media_type: str, embedder: Callable[[], Embedder] | None = None, vectors: DataFrame | None = None, thin: bool = False, category: str = "custom") -> DataFrame:
+    """Clips of the zip and tar archives at ``path`` (one, or a folder of them), read by tasks where they lie; nothing is unpacked.
+
+    A zip or plain tar is many tasks' work, a packed tar one's.  ``media_path`` is archive!member.  Members of length 0
+    are left out; a name that leads outside the archive raises an error."""
+    if media_type not in EXTENSIONS:
+        raise ValueError(f"unknown media type {media_type}")
+    members = scans.scan(spark, scans.ArchiveMembers, path, glob=_globs(media_type))
+    rows = members.select(
+        F.concat("archive", F.lit("!"), "member").alias("media_path"), F.col("length").alias("file_size"), F.md5("content").alias("md5"), F.col("content").alias("clip_bytes")
+    )
+    clips = _clips(rows, media_type, embedder, vectors, ("http_archive", {"url": path, "media_type": media_type}), category, "clip_bytes")
+    return clips.withColumns({"clip_bytes": F.lit(None).cast("binary"), "clip_string": F.lit(None).cast("string")}) if thin else clips
+
+
 def feed_items(spark: SparkSession, path: str, limit: int = 0) -> DataFrame:
     """title, url, filename of the enclosures of an RSS or Atom file, in feed order; ``limit`` 0 takes all."""
     read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
@@ -144,17 +186,35 @@ def labels_csv(spark: SparkSession, path: str, encoding: str | None = None) -> D
 
     Entries are numbered from 0 in file order, files by path, since the last entry of a clip wins.  Without an
     ``encoding``, files are UTF-8 where all of their lines are valid, else Latin-1."""
+    rows = _csv_rows(spark, path, encoding, lambda names: {"md5", "label"} <= names, "columns md5 and label are needed")
+    return _numbered(rows, "md5")
+
+
+def _csv_rows(spark: SparkSession, path: str, encoding: str | None, fits: Callable[[set[str]], object], what: str) -> DataFrame:
+    """Trimmed columns of a CSV file under their trimmed, lower-cased names, with the place of each row."""
     if encoding is None:
         broken = spark.read.text(path).where(~F.is_valid_utf8("value"))
         encoding = "UTF-8" if broken.isEmpty() else "ISO-8859-1"
     raw = spark.read.option("encoding", encoding).csv(path, header=True)
     names = [c.replace("\ufeff", "").replace("ï»¿", "").strip().lower() for c in raw.columns]
-    if not {"md5", "label"} <= set(names):
-        raise ValueError("columns md5 and label are needed")
+    if not fits(set(names)):
+        raise ValueError(what)
     place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"), F.monotonically_increasing_id().alias("__row")]
-    rows = raw.select(*[F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(raw.columns, names, strict=True)], *place).withColumn("label", F.lower("label"))
-    rows = rows.where((F.coalesce("md5", F.lit("")) != "") & (F.coalesce("label", F.lit("")) != ""))
-    return renumber(rows, "__file", "__at", "__row", column="entry_id").withColumn("entry_id", F.col("entry_id") - 1).drop("__file", "__at", "__row")
+    return raw.select(*[F.trim(F.col(f"`{c}`")).alias(n) for c, n in zip(raw.columns, names, strict=True)], *place).withColumn("label", F.lower("label"))
+
+
+def _numbered(rows: DataFrame, needed: str) -> DataFrame:
+    kept = rows.where((F.coalesce(needed, F.lit("")) != "") & (F.coalesce("label", F.lit("")) != ""))
+    return renumber(kept, "__file", "__at", "__row", column="entry_id").withColumn("entry_id", F.col("entry_id") - 1).drop("__file", "__at", "__row")
+
+
+def path_labels_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """entry_id, path, label of a CSV that names files; ``file`` and ``filename`` stand for ``path`` too.
+
+    As in ``labels_csv`` the header is trimmed and lower-cased, labels are lower-cased, rows without path or label are left out."""
+    rows = _csv_rows(spark, path, encoding, lambda names: "label" in names and {"path", "file", "filename"} & names, "columns path and label are needed")
+    named = S.first_named(*[F.col(c) for c in ("path", "file", "filename") if c in rows.columns])
+    return _numbered(rows.withColumn("path", named), "path").select("entry_id", "path", "label")
 
 
 def trainer_rows(labels: DataFrame) -> DataFrame:
@@ -176,9 +236,12 @@ def detector_json(spark: SparkSession, path: str, media_type: str = "audio") ->
     return spark.createDataFrame([row], DETECTORS)
 
 
-def dataset(spark: SparkSession, path: str) -> DataFrame:
-    """A saved dataset."""
-    return _shaped(spark.read.parquet(path))
+def dataset(spark: SparkSession, path: str, thin: bool = False) -> DataFrame:
+    """A saved dataset: Parquet, or a .pkl file of the exchange format (clips without media or vector are left out)."""
+    if path.lower().endswith((".pkl", ".pickle")):
+        return _shaped(scans.saved_clips(spark, path, thin=thin))
+    found = _shaped(spark.read.parquet(path))
+    return found.withColumns({"clip_bytes": F.lit(None).cast("binary"), "clip_string": F.lit(None).cast("string")}) if thin else found
 
 
 def wav(frequency: float, duration: float, rate: int = 22050) -> bytes:
