@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import re
+import wave
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -52,6 +54,83 @@ class HashingEmbedder:
         return self.embed_text(content.decode("utf-8", "replace"))
 
 
+class SoundEmbedder:
+    """Vectors of WAV sounds without model files: log-mel frames of a short-time Fourier transform, pooled over time.
+
+    Mean and spread of ``mels`` bands, centred and normalised; any rate, 8, 16 or 32 bits, channels averaged.  What is no
+    WAV, and silence, gives None."""
+
+    def __init__(self, mels: int = 32, window: int = 1024, hop: int = 512, low: float = 50.0, high: float = 8000.0):
+        self.mels, self.window, self.hop, self.low, self.high, self.dim = mels, window, hop, low, high, 2 * mels
+        self._banks: dict[int, np.ndarray] = {}
+
+    def _bank(self, rate: int) -> np.ndarray:
+        """Triangular bands, evenly spaced in mel, over the bins of the transform."""
+        if rate not in self._banks:
+            mel = lambda f: 2595 * np.log10(1 + np.asarray(f) / 700)
+            edges = 700 * (10 ** (np.linspace(mel(self.low), mel(min(self.high, rate / 2)), self.mels + 2) / 2595) - 1)
+            at = np.fft.rfftfreq(self.window, 1 / rate)
+            lo, mid, hi = edges[:-2, None], edges[1:-1, None], edges[2:, None]
+            self._banks[rate] = np.maximum(0, np.minimum((at - lo) / (mid - lo), (hi - at) / (hi - mid)))
+        return self._banks[rate]
+
+    def spectrum(self, x: np.ndarray) -> np.ndarray:
+        """Power of each window (rows) by frequency, under a Hann window; a short sound is padded to one."""
+        x = np.pad(x, (0, max(0, self.window - len(x))))
+        frames = np.lib.stride_tricks.sliding_window_view(x, self.window)[:: self.hop]
+        return np.abs(np.fft.rfft(frames * np.hanning(self.window), axis=1)) ** 2
+
+    def embed_media(self, content: bytes) -> np.ndarray | None:
+        try:
+            with wave.open(io.BytesIO(content)) as w:
+                rate, width, channels, raw = w.getframerate(), w.getsampwidth(), w.getnchannels(), w.readframes(w.getnframes())
+        except (wave.Error, EOFError):
+            return None
+        if width not in (1, 2, 4) or not raw:
+            return None
+        x = np.frombuffer(raw, {1: np.uint8, 2: "<i2", 4: "<i4"}[width]).astype(float)
+        x = (x - 128) / 128 if width == 1 else x / (1 << (8 * width - 1))
+        x = x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
+        if not x.any():
+            return None
+        power = self.spectrum(x) @ self._bank(rate).T
+        bands = np.log(power + max(1e-4 * power.max(), 1e-12))  # 40 dB below the loudest band counts as silence
+        v = np.concatenate([bands.mean(axis=0), bands.std(axis=0)])
+        v[: self.mels] -= v[: self.mels].mean()
+        n = np.linalg.norm(v)
+        return v / n if n else None
+
+    def embed_text(self, text: str) -> np.ndarray | None:
+        return None
+
+
+class PlanesEmbedder:
+    """Vectors of raw pixels (height x width x 3 bytes, flattened): gradient directions in a grid of cells, and mean colours."""
+
+    def __init__(self, height: int = 32, width: int = 32, cells: int = 4, directions: int = 8):
+        self.height, self.width, self.cells, self.directions = height, width, cells, directions
+        self.dim = cells * cells * (directions + 3)
+
+    def embed_media(self, content: bytes) -> np.ndarray | None:
+        if len(content) != self.height * self.width * 3:
+            return None
+        x = np.frombuffer(content, np.uint8).reshape(self.height, self.width, 3) / 255.0
+        down, right = np.gradient(x.mean(axis=2))
+        size, angle = np.hypot(down, right), np.arctan2(down, right) % (2 * np.pi)
+        way = np.minimum((angle / (2 * np.pi) * self.directions).astype(int), self.directions - 1)
+        row, col = (np.arange(n) * self.cells // n for n in (self.height, self.width))
+        cell = row[:, None] * self.cells + col[None, :]
+        hist = np.bincount((cell * self.directions + way).ravel(), size.ravel(), self.cells**2 * self.directions)
+        area = np.bincount(cell.ravel(), minlength=self.cells**2)
+        colours = np.stack([np.bincount(cell.ravel(), x[:, :, c].ravel(), self.cells**2) / area for c in range(3)], axis=1) - 0.5
+        v = np.concatenate([hist / max(np.linalg.norm(hist), 1e-9), colours.ravel()])
+        n = np.linalg.norm(v)
+        return v / n if n else None
+
+    def embed_text(self, text: str) -> np.ndarray | None:
+        return None
+
+
 def embed_query(embedder: Embedder, text: str, media_type: str = "paragraph", enrich: bool = False) -> np.ndarray:
     """Vector of a query text; enriched, the normalised mean over the type's wrappers, those that fail left out."""
     if not text or not text.strip():

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvid.functions.scalars import inclusion_weights
 from corvid.functions.vectors import cosine
+from corvid.operators.ranges import running
 
 K_VALUES = (5, 10, 20)
 
@@ -19,10 +20,10 @@ def ratio(a: Column, b: Column) -> Column:
 def ranking_metrics(ranked: DataFrame, keys: tuple[str, ...] = ("query",), k_values: tuple[int, ...] = K_VALUES, relevant: DataFrame | None = None) -> DataFrame:
     """average_precision, p_at_k and r_at_k of ranked lists (keys, rk from 1, rel 0/1).
 
-    The divisor is the number of relevant items: that of ``relevant`` (keys, n_relevant) if given, else those ranked."""
-    run = Window.partitionBy(*keys).orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
+    The divisor is the number of relevant items: that of ``relevant`` (keys, n_relevant) if given, else those ranked.  Hits so
+    far come from sorted ranges, unless ``ranked`` has them as ``hits``: no list is one task's work."""
     rel = F.col("rel").cast("double")
-    steps = ranked.withColumn("hits", F.sum(rel).over(run))
+    steps = ranked if "hits" in ranked.columns else running(ranked, [F.col("rk")], {"hits": rel}, keys)
     at_k = [F.sum(F.when(F.col("rk") <= k, rel).otherwise(0.0)).alias(f"__{k}") for k in k_values]
     sums = steps.groupBy(*keys).agg(F.sum(F.when(rel == 1, F.col("hits") / F.col("rk")).otherwise(0.0)).alias("__ap"), F.sum(rel).alias("__n"), *at_k)
     if relevant is not None:
@@ -41,8 +42,8 @@ def text_sort_eval(clips: DataFrame, queries: DataFrame, k_values: tuple[int, ..
     scored = clips.select("clip_id", "category", "embedding").crossJoin(F.broadcast(q)).select(
         "query", "clip_id", (F.col("category") == F.col("target")).cast("int").alias("rel"), cosine(F.col("embedding"), F.col("__v")).alias("sim")
     )
-    rk = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "clip_id"))
-    return ranking_metrics(scored.withColumn("rk", rk), ("query",), k_values)
+    placed = running(scored, [F.desc("sim"), F.col("clip_id")], {"rk": F.lit(1).cast("long"), "hits": F.col("rel").cast("double")}, ("query",))
+    return ranking_metrics(placed, ("query",), k_values)
 
 
 def mean_average_precision(per_query: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -171,6 +171,21 @@ def status(costs: DataFrame, n_good: int, n_bad: int, n_steps: int) -> DataFrame
     )
 
 
+#: Steps whose error tells whether it still falls.
+RECENT = 10
+
+
+def status_of(costs: list[tuple[int, float]], n_good: int, n_bad: int, n_steps: int) -> tuple[str, float]:
+    """``status`` from the (step, cost) pairs of the last ``RECENT`` steps, for callers that keep them: the same advice."""
+    x, y = np.array([s for s, _ in costs], float), np.array([c for _, c in costs], float)
+    slope = 0.0
+    if len(x) > 1 and y.mean() > 0:
+        slope = float(np.round(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum() / y.mean(), 4))
+    if n_good + n_bad < 20 or n_good < 5 or n_bad < 5:
+        return "red", slope
+    return ("yellow" if n_steps < 3 or len(x) < 3 or slope < -0.015 else "green"), slope
+
+
 def recommendation(series: DataFrame) -> DataFrame:
     """advice from a series (step, cost, flips): keep, stop, consider or stable, by its last 30 %."""
     n = series.agg(F.count(F.lit(1)).alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corvid.functions import scalars as S
 from corvid.functions.vectors import cosine, mean_vector
-from corvid.operators import datasets, evaluate, extract, labels, metrics, mlp, progress, search, thresholds, training
+from corvid.operators import collections, datasets, evaluate, extract, labels, metrics, mlp, progress, search, thresholds, training, views
 from corvid.operators.embed import WRAPPERS, HashingEmbedder, embedded
 from corvid.schema import DETECTORS, EXTENSIONS, MIME
 from corvid.sinks import files as sinks
@@ -618,3 +618,118 @@ def extract_explode(spark, sf):
     found = d.select(F.col("doc_id").alias("clip_id"), F.array(F.struct((F.col("n_chars") / 10000.0).alias("confidence"), F.array(F.lit(0.0), F.lit(1.0)).alias("bbox"), F.col("lang").alias("label"))).alias("found"))
     kinds = spark.createDataFrame([(f"big_{x}", "paragraph", x, 0.2) for x in ("de", "en", "es", "fr")], "name string, media_type string, target_class string, threshold double")
     return extract.extract(found, kinds, "paragraph").select("extractor", "clip_id", "confidence", "label")
+
+
+# --- what a session shows
+
+_RANKED = """SELECT clip_id, score, ROW_NUMBER() OVER (ORDER BY score DESC, clip_id) AS rank, COUNT(*) OVER () AS n
+FROM (SELECT doc_id AS clip_id, round(n_chars / 7.0, 4) AS score FROM documents WHERE doc_id % 3 > 0 OR n_chars < 1000)"""
+
+
+def _ranking(spark, sf):
+    """A ranking with ties, some of whose clips are not loaded."""
+    d = table(spark, sf, "documents")
+    loaded = d.where("doc_id % 3 > 0 OR n_chars < 1000").select(F.col("doc_id").alias("clip_id"), "lang")
+    return d.select(F.col("doc_id").alias("clip_id"), F.round(F.col("n_chars") / 7.0, 4).alias("score")), loaded
+
+
+@query(f"""SELECT r.clip_id, r.rank, d.lang, (r.rank - 1) / CAST(r.n AS DOUBLE) AS position, CAST(NTILE(100) OVER (ORDER BY r.rank) AS INTEGER) AS stripe
+FROM ({_RANKED}) r JOIN documents d ON d.doc_id = r.clip_id""")
+def ranked_stripes(spark, sf):
+    found = views.stripes(views.ranked_clips(*_ranking(spark, sf)))
+    return found.select("clip_id", "rank", "lang", "position", "stripe")
+
+
+@query(f"""SELECT stripe, COUNT(*) AS n, COUNT(*) FILTER (WHERE quality = 1) AS good, COUNT(*) FILTER (WHERE quality = 0) AS bad
+FROM (SELECT clip_id, CAST(NTILE(100) OVER (ORDER BY rank) AS INTEGER) AS stripe FROM ({_RANKED})) s LEFT JOIN labels l ON l.doc_id = s.clip_id GROUP BY stripe""")
+def stripe_marks(spark, sf):
+    votes = table(spark, sf, "labels").select(F.col("doc_id").alias("clip_id"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("label"))
+    return views.stripe_marks(views.stripes(views.ranked_clips(*_ranking(spark, sf))), votes)
+
+
+@query("""SELECT (SELECT COUNT(*) FROM embeddings) > 0 AS loaded, (SELECT COUNT(*) FROM embeddings) AS num_clips,
+(SELECT COUNT(*) FROM events WHERE event_type IN ('purchase', 'error')) > 0 AS has_votes, 'audio' AS media_type""")
+def session_status(spark, sf):
+    votes = table(spark, sf, "events").select(F.when(F.col("event_type") == "purchase", "good").when(F.col("event_type") == "error", "bad").alias("label"))
+    return collections.session_status(clips(spark, sf).withColumn("type", F.lit("audio")), votes)
+
+
+@query("""SELECT clip_id, current, total, elapsed, LEAST(100.0, round(100.0 * current / total, 1)) AS percent, s AS seconds_left,
+CASE WHEN s < 5 THEN 'Less than 5 seconds remaining' WHEN s < 30 THEN 'Less than 30 seconds remaining' WHEN s < 60 THEN 'Less than a minute remaining' WHEN s < 90 THEN 'About a minute remaining'
+     WHEN s < 3600 THEN 'About ' || CAST(CAST(floor(s / 60 + 0.5) AS INTEGER) AS VARCHAR) || ' minutes remaining'
+     WHEN floor(s / 3600) = 1 THEN CASE WHEN floor((s % 3600) / 60 + 0.5) > 0 THEN 'About 1 hour ' || CAST(CAST(floor((s % 3600) / 60 + 0.5) AS INTEGER) AS VARCHAR) || ' minutes remaining' ELSE 'About 1 hour remaining' END
+     ELSE 'About ' || CAST(CAST(floor(s / 3600) AS INTEGER) AS VARCHAR) || ' hours remaining' END AS eta
+FROM (SELECT *, CASE WHEN current > 0 AND elapsed > 0 THEN GREATEST(0.0, (total - current) * elapsed / current) END AS s
+      FROM (SELECT l_orderkey * 10 + l_linenumber AS clip_id, CAST(l_linenumber - 1 AS BIGINT) AS current, CAST(l_partkey % 50 + 1 AS BIGINT) AS total, CAST(l_quantity * l_quantity AS DOUBLE) AS elapsed FROM lineitem))""")
+def progress_eta(spark, sf):
+    rows = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("clip_id"), (F.col("l_linenumber") - 1).cast("long").alias("current"), (F.col("l_partkey") % 50 + 1).cast("long").alias("total"),
+        (F.col("l_quantity") * F.col("l_quantity")).cast("double").alias("elapsed"),
+    )
+    return views.with_eta(rows).drop("rate")
+
+
+@query("""SELECT doc_id AS clip_id, CASE WHEN doc_id % 2 = 0 THEN 'own(' || source || ')' ELSE 'folder(/all)' END AS origin, CASE WHEN doc_id % 5 > 0 THEN 'doc_' || CAST(doc_id AS VARCHAR) ELSE lang END AS origin_name FROM documents""")
+def origin_fill(spark, sf):
+    d = table(spark, sf, "documents")
+    own = F.struct(F.lit("own").alias("importer"), F.create_map(F.lit("path"), F.col("source")).alias("params"))
+    rows = d.select(F.col("doc_id").alias("clip_id"), F.when(F.col("doc_id") % 2 == 0, own).alias("origin"), F.when(F.col("doc_id") % 5 > 0, F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("origin_name"), F.col("lang").alias("filename"))
+    return collections.with_origins(rows, "folder", {"path": "/all"}).select("clip_id", S.origin_display(F.col("origin")).alias("origin"), "origin_name")
+
+
+def _eval_rows(spark, sf):
+    """Precision and recall of suppliers' parts, standing in for evaluated queries."""
+    l = table(spark, sf, "lineitem")
+    share = lambda c: F.avg(c.cast("double"))
+    return l.groupBy(F.col("l_returnflag").alias("dataset"), (F.col("l_suppkey") % 7).alias("query")).agg(
+        share(F.col("l_discount") > 0.05).alias("average_precision"), *[share(F.col("l_quantity") <= k).alias(f"p_at_{k}") for k in metrics.K_VALUES], *[share(F.col("l_quantity") > k).alias(f"r_at_{k}") for k in metrics.K_VALUES]
+    )
+
+
+_EVAL = """SELECT l_returnflag AS dataset, l_suppkey % 7 AS query, AVG(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END) AS average_precision,
+AVG(CASE WHEN l_quantity <= 5 THEN 1.0 ELSE 0.0 END) AS p5, AVG(CASE WHEN l_quantity <= 10 THEN 1.0 ELSE 0.0 END) AS p10, AVG(CASE WHEN l_quantity <= 20 THEN 1.0 ELSE 0.0 END) AS p20 FROM lineitem GROUP BY 1, 2"""
+
+
+@query(f"SELECT dataset, mean_ap, ROW_NUMBER() OVER (ORDER BY mean_ap DESC, dataset) AS ord FROM (SELECT dataset, AVG(average_precision) AS mean_ap FROM ({_EVAL}) GROUP BY dataset)")
+def chart_map_by_dataset(spark, sf):
+    return views.map_by_dataset(_eval_rows(spark, sf))
+
+
+@query(f"SELECT dataset, query, average_precision, ROW_NUMBER() OVER (PARTITION BY dataset ORDER BY average_precision DESC, query) AS ord FROM ({_EVAL})")
+def chart_ap_by_query(spark, sf):
+    return views.ap_by_query(_eval_rows(spark, sf))
+
+
+@query(f"""SELECT 'precision' AS chart, dataset, k, AVG(CASE k WHEN 5 THEN p5 WHEN 10 THEN p10 ELSE p20 END) AS mean FROM ({_EVAL}), (SELECT UNNEST([5, 10, 20]) AS k) GROUP BY dataset, k
+UNION ALL SELECT 'recall', dataset, k, AVG(1 - CASE k WHEN 5 THEN p5 WHEN 10 THEN p10 ELSE p20 END) FROM ({_EVAL}), (SELECT UNNEST([5, 10, 20]) AS k) GROUP BY dataset, k""")
+def chart_at_k(spark, sf):
+    rows = durable(_eval_rows(spark, sf), "eval")
+    return views.at_k(rows, "p").withColumn("chart", F.lit("precision")).unionByName(views.at_k(rows, "r").withColumn("chart", F.lit("recall")))
+
+
+_LEARNED = """SELECT l_returnflag AS dataset, l_suppkey % 9 AS category, AVG(CASE WHEN l_quantity <= 20 THEN 1.0 ELSE 0.0 END) AS accuracy, AVG(CASE WHEN l_quantity <= 30 THEN 1.0 ELSE 0.0 END) AS precision,
+AVG(CASE WHEN l_quantity > 20 THEN 1.0 ELSE 0.0 END) AS recall, AVG(CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.0 END) AS f1 FROM lineitem GROUP BY 1, 2"""
+
+
+def _learned_rows(spark, sf):
+    share = lambda c: F.avg(c.cast("double"))
+    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("dataset"), (F.col("l_suppkey") % 9).alias("category")).agg(
+        share(F.col("l_quantity") <= 20).alias("accuracy"), share(F.col("l_quantity") <= 30).alias("precision"), share(F.col("l_quantity") > 20).alias("recall"), share(F.col("l_tax") > 0.04).alias("f1")
+    )
+
+
+@query(f"SELECT dataset, category, f1, ROW_NUMBER() OVER (PARTITION BY dataset ORDER BY f1 DESC, category) AS ord FROM ({_LEARNED})")
+def chart_f1_by_category(spark, sf):
+    return views.f1_by_category(_learned_rows(spark, sf))
+
+
+@query(f"""SELECT dataset, metric, AVG(CASE metric WHEN 'accuracy' THEN accuracy WHEN 'precision' THEN precision WHEN 'recall' THEN recall ELSE f1 END) AS mean
+FROM ({_LEARNED}), (SELECT UNNEST(['accuracy', 'precision', 'recall', 'f1']) AS metric) GROUP BY dataset, metric""")
+def chart_metrics_breakdown(spark, sf):
+    return views.metrics_breakdown(_learned_rows(spark, sf))
+
+
+@query("""SELECT dataset, category, t, AVG(fpr) AS fpr_mean, coalesce(stddev_samp(fpr), 0) AS fpr_std, AVG(fnr) AS fnr_mean, coalesce(stddev_samp(fnr), 0) AS fnr_std
+FROM (SELECT l_returnflag AS dataset, l_linestatus AS category, l_linenumber AS t, l_discount AS fpr, l_tax AS fnr FROM lineitem) GROUP BY 1, 2, 3""")
+def chart_rates_over_steps(spark, sf):
+    return views.rates_over_steps(table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.col("l_linestatus").alias("category"), F.col("l_linenumber").alias("t"), F.col("l_discount").alias("fpr"), F.col("l_tax").alias("fnr")))

@@ -6,6 +6,8 @@ import importlib
 import json
 import logging
 import pkgutil
+import threading
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
@@ -417,13 +419,21 @@ class Settings:
 
 
 class StatusTracker:
-    """Progress of a long job as (status, message, current, total)."""
+    """Progress of a long job as status, message, current, total and error, with the seconds since the status began; safe between threads."""
 
     def __init__(self) -> None:
-        self._now = ("idle", "", 0, 0)
+        self._lock = threading.Lock()
+        self._now, self._began = ("idle", "", 0, 0, None), time.monotonic()
 
-    def update(self, status: str, message: str = "", current: int = 0, total: int = 0) -> None:
-        self._now = (status, message, current, total)
+    def update(self, status: str, message: str = "", current: int = 0, total: int = 0, error: str | None = None) -> None:
+        with self._lock:
+            if status != self._now[0]:
+                self._began = time.monotonic()
+            self._now = (status, message, current, total, error)
 
     def get(self) -> dict:
-        return dict(zip(("status", "message", "current", "total"), self._now, strict=True))
+        with self._lock:
+            return dict(zip(("status", "message", "current", "total", "error"), self._now, strict=True)) | {"elapsed": time.monotonic() - self._began}
+
+
+progress, sort_progress = StatusTracker(), StatusTracker()
