@@ -12,11 +12,14 @@ layout; each page is read in order, with a stack and without a tree, in time and
 proportion to its length.
 
 Block rules: block elements part the text; inside a block white space becomes one space;
-blocks are joined by two line feeds.  Menus, headers and footers of the page, sidebars,
-notices, adverts, forms, scripts, styles and reader comments are left out by element or
-role, and by a class or id that is such a name or is made of such names and words of page
-structure ("ad-slot", not "menu-design"), inside the region too; a header inside an article
-is part of it, and names say nothing of headings, of the page's frame and of articles.
+blocks are joined by two line feeds; inline elements, left out or not, part nothing.  Menus,
+headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
+comments are left out by element or role, and by a class or id that is such a name or is made
+of such names and words of page structure ("ad-slot", not "menu-design"), inside the region
+too; a header inside an article is part of it, and names say nothing of headings, of the page's
+frame, of articles, and (but for plain names of adverts) of paragraphs, quotes, lists' items and
+cells inside an article, nor of inline text there.  A form that holds an article, or most of a
+page's text with a paragraph or heading in it, is only the page's frame and is kept.
 
 Edge cases: null and empty html give an empty text; a null url or one without a host shares
 a nameless host; a page of a layout without changing text, or left without text, falls back to its article, main or body;
@@ -59,7 +62,10 @@ RAW = frozenset("script style textarea title iframe noembed noframes xmp".split(
 BLOCK = frozenset(
     "address article aside blockquote body caption center datalist dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("nav aside footer form button menu dialog head noscript template svg math object select option datalist".split()) | RAW
+DROPPED = frozenset("nav aside footer button menu dialog head noscript template select option datalist".split()) | RAW
+#: Blocks of running text, and names of adverts that count even for these.
+TEXTUAL = frozenset("p blockquote pre li dd dt td th tr tbody thead caption figure figcaption summary address".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsored".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 NAMES = frozenset(
     """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist disqus consent cookie cookies copyright
@@ -87,9 +93,9 @@ def _no_content(name: str) -> bool:
     return any(w in NAMES for w in words) and all(w in NAMES or w in STRUCTURE or w.isdigit() or len(w) == 1 for w in words)
 
 
-def _names(attrs: str) -> tuple[str, bool]:
-    """A short mark of an element's class or id, and whether its names or role say it is no content."""
-    mark, out, seen = "", False, set()
+def _names(attrs: str) -> tuple[str, int]:
+    """A short mark of an element's class or id, and whether its names or role say it is no content: 2 for a plain name of adverts or a role."""
+    mark, out, seen = "", 0, set()
     if "=" in attrs:
         for m in _ATTRIBUTE.finditer(attrs):
             kind = m[1].lower()
@@ -98,9 +104,9 @@ def _names(attrs: str) -> tuple[str, bool]:
             seen.add(kind)
             words = (m[2] or m[3] or m[4] or "").lower().split()
             if kind == "role":
-                out = out or any(w in ROLES for w in words)
+                out = 2 if any(w in ROLES for w in words) else out
             else:
-                out = out or any(map(_no_content, words))
+                out = 2 if words and all(w in ADVERTS for w in words) else max(out, int(any(map(_no_content, words))))
                 if words and (kind == "class" or not mark):
                     mark = "." + words[0]
     return mark, out
@@ -134,10 +140,7 @@ def _tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
             if page.startswith("!--", m.start() + 1):
                 end = page.find("-->", m.start() + 2)
                 end = n if end < 0 else end + 3
-            elif page.startswith("![CDATA[", m.start() + 1):
-                end = page.find("]]>", at)
-                end = n if end < 0 else end + 3
-            else:
+            else:  # a section of character data is a comment here, as in browsers: it ends at the next ">"
                 end = page.find(">", at) + 1 or n
             at = end
             yield text, False, "", ""
@@ -150,9 +153,12 @@ def _tokens(page: str) -> Iterator[tuple[str, bool, str, str]]:
                 return
             attrs, at = page[m.end(2) : end + 1], end + 1
         attrs = attrs[:-1]
-        yield text, bool(m[1]), tag, attrs
-        if tag in RAW and not m[1]:
+        raw = tag in RAW and not m[1]
+        yield text, bool(m[1]), "pre" if tag == "xmp" else tag, attrs
+        if raw:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if tag == "xmp":  # shown as it stands
+                yield entities.escape(page[at : end.start() if end else n]), True, "pre", ""
             at = end.end() if end else n
     yield page[at:], False, "", ""
 
@@ -194,9 +200,15 @@ def events(page: str) -> Iterator[tuple]:
         yield pop()
 
 
-def left_out(tag: str, named: bool, in_article: bool) -> bool:
-    """Whether an element is no content by itself; names of headings and of the page's frame itself say nothing."""
-    return tag in DROPPED or tag == "header" and not in_article or named and tag not in HEADINGS and tag not in ("html", "body", "main", "article")
+def left_out(tag: str, named: int, in_article: bool, near: str) -> bool:
+    """Whether an element is no content by itself (``near``: the block element around it)."""
+    if tag in DROPPED or tag == "header" and not in_article:
+        return True
+    if not named or tag in HEADINGS or tag in ("html", "body", "main", "article"):
+        return False
+    if tag in TEXTUAL:
+        return named == 2 or not in_article
+    return tag in BLOCK or not (in_article or near in TEXTUAL or near in HEADINGS)
 
 
 class Page:
@@ -215,9 +227,11 @@ class Page:
         self.parent, self.step, self.depth, self.key = [0], [""], [0], [0]
         known: dict[tuple[int, str], int] = {}
         parts: list[str] = []
-        # tag, place, left out, place of the nearest block, first block, whether it has a mark
-        stack: list[tuple[str, int, bool, int, int, bool]] = [("#", 0, False, 0, 0, False)]
+        # tag, place, left out, place and tag of the nearest block, first block, whether it has a mark
+        stack: list[tuple[str, int, bool, int, str, int, bool]] = [("#", 0, False, 0, "", 0, False)]
         inside_article = 0
+        forms: list[tuple[int, int, bool]] = []  # first block, end block, whether it is outside articles and holds prose
+        open_forms: list[list] = []  # whether an article, a paragraph or a heading was met in each open form
 
         def end() -> None:
             text = " ".join(entities.unescape("".join(parts)).split())
@@ -226,7 +240,7 @@ class Page:
                 self.blocks.append((stack[-1][3], text))
 
         for e in events(page):
-            tag, place, dropped, near, lo, marked = stack[-1]
+            tag, place, dropped, near, near_tag, lo, marked = stack[-1]
             if e[0] == "text":
                 if not dropped:
                     parts.append(e[1])
@@ -240,17 +254,30 @@ class Page:
                     self.depth.append(self.depth[place] + 1)
                     self.key.append(below(self.key[place], step))
                 inside_article += e[1] in ("article", "main")
-                bad = dropped or left_out(e[1], e[3], inside_article > 0)
+                bad = dropped or left_out(e[1], e[3], inside_article > 0, near_tag)
                 if not dropped:
                     if e[1] == "br":
                         parts.append(" ")
-                    elif e[1] in BLOCK or bad:
+                    elif e[1] in BLOCK:
                         end()
-                stack.append((e[1], own, bad, own if e[1] in BLOCK else near, len(self.blocks), bool(e[2])))
+                if open_forms and not bad:
+                    for met in open_forms if e[1] in ("article", "main") else open_forms[-1:]:
+                        met[0] = met[0] or e[1] in ("article", "main")
+                    open_forms[-1][1] = open_forms[-1][1] or e[1] == "p" or e[1] in HEADINGS
+                if e[1] == "form":
+                    open_forms.append([False, False])
+                block = e[1] in BLOCK
+                stack.append((e[1], own, bad, own if block else near, e[1] if block else near_tag, len(self.blocks), bool(e[2])))
             elif len(stack) > 1:
                 inside_article -= tag in ("article", "main")
-                if tag in BLOCK or dropped and not stack[-2][2]:
+                if tag in BLOCK:
                     end()
+                if tag == "form":
+                    article, prose = open_forms.pop()
+                    if open_forms:
+                        open_forms[-1][1] = open_forms[-1][1] or prose
+                    if not dropped and not article:
+                        forms.append((lo, len(self.blocks), prose and not inside_article))
                 if not dropped and tag in BLOCK:
                     if marked:
                         self.named.append((place, lo, len(self.blocks)))
@@ -258,12 +285,22 @@ class Page:
                         self.containers.append((place, lo, len(self.blocks)))
                 stack.pop()
         end()
+        self._drop(forms)
         # sums over the blocks' marks, so that the mark of any run of blocks takes one step
         self.marks = [mark(t) % _PRIME for _, t in self.blocks]
         self.sums = [0]
         for m in self.marks:
             self.sums.append((self.sums[-1] * _BASE + m + 1) % _PRIME)
 
+    def _drop(self, forms: list[tuple[int, int, bool]]) -> None:
+        """Take out the blocks of forms, but for those with prose in them and most of the page's text."""
+        sizes = [0, *accumulate(len(t) for _, t in self.blocks)]
+        gone = self.covered((lo, hi) for lo, hi, prose in forms if hi > lo and not (prose and 2 * (sizes[hi] - sizes[lo]) > sizes[-1]))
+        if any(gone):
+            at = [0, *accumulate(not g for g in gone)]
+            self.blocks = [b for b, g in zip(self.blocks, gone, strict=True) if not g]
+            self.named, self.containers = ([(p, at[lo], at[hi]) for p, lo, hi in spans] for spans in (self.named, self.containers))
+
     def path(self, place: int) -> str:
         """A place as a string, each step ended by _END: an order that keeps common beginnings."""
         steps = []

@@ -190,6 +190,25 @@ def test_nothing_of_an_article_is_lost_to_names_or_quotes():
     assert text("<p>x<!-- <p>no --><![CDATA[no]]><?php no ?>y</p><script>var a='<p>no</p>'</script>z</ p>") == "xy\n\nz"
 
 
+def test_no_text_is_lost_to_forms_inline_elements_or_names(spark):
+    text = lambda h: html_extract.main_text(h, None)
+    assert text("<form id=aspnetForm><nav>menu</nav><article><p>The <b>text</b></p></article><input name=x></form>") == "The text"
+    assert text("<div>top</div><form><h1>Title</h1><p>Most of the page stands in its form.</p><button>Send</button></form>") == "top\n\nTitle\n\nMost of the page stands in its form."
+    assert text("<p>Long enough to be the text of the page.</p><form>Mail <p>Subscribe</p></form><form>Name</form>") == "Long enough to be the text of the page."
+    assert text("<form>User Password</form>") == ""
+    assert text("<article><p>kept</p><form><p>This form inside an article is longer than the article's own text.</p></form></article><p>and so much more text around them that it isn't most</p>") == "kept"
+    assert text("<p>E = <math><mi>m</mi><mi>c</mi></math> holds</p><p><svg><title>t</title><text>drawn</text></svg> and <object>shown</object></p>") == "E = mc holds\n\ndrawn and shown"
+    assert text("<p>x<![CDATA[no > y]]>z</p>") == "x y]]>z"
+    assert text("a<xmp>1 &lt; <b>2</b></xmp>b") == "a\n\n1 &lt; <b>2</b>\n\nb"
+    assert text("<p>Hello <button>x</button> world</p><p>one<script>no</script>two</p>") == "Hello world\n\nonetwo"
+    assert text("<article><p>by <a class='author social'>Jane</a> today</p><p class='notice-text'>n</p><p class='related text'>r</p><blockquote class='promoted page'>q</blockquote><p class=ad>gone</p><div class=ad>gone</div></article>") == "by Jane today\n\nn\n\nr\n\nq"
+    assert text("<div>one <span class=ad>gone</span> two</div><p>three <span class=share>kept</span></p>") == "one two\n\nthree kept"
+    ship(spark)
+    pages = [(i, f"http://f.example/{i}", f"<body><form id=aspnetForm><div class=menu>Menu</div><article><h1>T{i}</h1><p>Story {i} {'w' * i}</p></article><div>Same end</div></form></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"T{i}\n\nStory {i} {'w' * i}".rstrip() for i in range(8)}
+
+
 def test_broken_and_deep_pages_take_linear_time_and_memory():
     import time
     import tracemalloc
