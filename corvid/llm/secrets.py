@@ -9,7 +9,9 @@ which the best counts; candidates over its threshold that overlap no base findin
 added with kind ``model``.
 
 The network is trained on the driver from two sets of labelled findings: those of the
-documents themselves (base findings as secrets, other candidates as none; at most
+documents themselves (base findings as secrets, read from their values on, so that the word
+that names them stands before the window's body as it does for any other candidate; numbers,
+dates and the like as none; what is neither is not known and trains nothing; at most
 MAX_WINDOWS, by the order of a hash) and findings made by rule (keys of many forms in code
 and configuration, against e-mail parts, links, numbers, identifiers, dates and words)
 between pieces of those documents.  A quarter of the documents, and of the made findings, is
@@ -33,6 +35,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvid.storage import durable
+
 KINDS = ("assign", "access", "hex", "model")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -45,6 +49,8 @@ _ANY_ASSIGN = r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=]"
 _ANY_OTHER = r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_=-]{16}|[0-9:=]|(?i:bearer|basic|auth|key|pass|secret|token|credential)"
 LEFT, BODY, RIGHT = 24, 40, 8
 WIDTH = LEFT + BODY + RIGHT
+#: Candidates of the documents that are no secrets for certain: numbers of cards, telephones and accounts, dates, versions.
+_HARMLESS = re.compile(r"[0-9=+/_-]+|(?:[0-9]{1,4}[-/_])+[A-Za-z]{3,9}(?:[-/_][0-9]{1,4})*")
 _PART = re.compile(r"(?<=[/=+])[A-Za-z0-9_-]{16,}")
 #: Least recall of the threshold on the held-out findings.
 RECALL = 0.98
@@ -208,6 +214,18 @@ def made_findings(n: int = N_FINDINGS, seed: int = SEED, around: list[str] | Non
     return np.array(xs), np.array(ys)
 
 
+def value_start(text: str, kind: str, start: int) -> int:
+    """Where the value of a base finding begins."""
+    return ASSIGN.match(text, start).start(2) if kind == "assign" else start
+
+
+def labelled(text: str) -> list[tuple[int, int, int]]:
+    """label, start, end of the candidates of a text whose label is known."""
+    base = base_findings(text)
+    known = [(1, value_start(text, k, s), e) for k, s, e in base]
+    return known + [(0, s, e) for s, e in other_candidates(text, base) if _HARMLESS.fullmatch(text, s, e)]
+
+
 def table_findings(docs: DataFrame, most: int = MAX_WINDOWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
     """Windows, labels and folds (0 to 3, by document) of findings of the documents (doc_id, text), and the texts around them."""
 
@@ -215,18 +233,18 @@ def table_findings(docs: DataFrame, most: int = MAX_WINDOWS) -> tuple[np.ndarray
         for b in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             for fold, text in _texts(b, b.column("fold").to_pylist()):
-                base = base_findings(text)
-                for kind, s, e in [*base, *(("", *c) for c in other_candidates(text, base))]:
+                for label, s, e in labelled(text):
                     piece = text[max(0, s - AROUND) : s] + text[e : e + AROUND]
-                    for c, v in zip(out, (fold, int(kind != ""), window(text, s, e).tobytes(), piece), strict=True):
+                    for c, v in zip(out, (fold, label, window(text, s, e).tobytes(), piece), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("fold", "label", "window", "piece"), out, (pa.int64(), pa.int32(), pa.binary(), pa.string()), strict=True)})
 
     fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("secrets")), F.lit(4))
     found = docs.select(fold.alias("fold"), "text").mapInArrow(run, "fold long, label int, window binary, piece string")
-    # equal numbers of both labels at most, repeats once: a bounded sample of labelled findings
+    # equal numbers of both labels at most, repeats once: a bounded sample of labelled findings, from one scan of the texts
     mark = F.xxhash64("window", F.lit(SEED))
-    rows = [r for y in (0, 1) for r in found.where(F.col("label") == y).groupBy("window", "label").agg(F.min("fold").alias("fold"), F.min("piece").alias("piece")).orderBy(mark, "window").limit(most // 2).collect()]
+    once = durable(found.groupBy("window", "label").agg(F.min("fold").alias("fold"), F.min("piece").alias("piece")), "secrets-labelled")
+    rows = [r for y in (0, 1) for r in once.where(F.col("label") == y).orderBy(mark, "window").limit(most // 2).collect()]
     x = np.array([np.frombuffer(r["window"], np.uint8) for r in rows]).reshape(-1, WIDTH)
     return x, np.array([r["label"] for r in rows], np.int64), np.array([r["fold"] for r in rows], np.int64), [r["piece"] for r in rows if r["fold"] > 0]
 
@@ -311,7 +329,7 @@ def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ne
                 base = base_findings(text)
                 spans = [*base, *(("model", *s) for s in other_candidates(text, base))]
                 if spans:
-                    score = model.best(text, [(s, e) for _, s, e in spans])
+                    score = model.best(text, [(value_start(text, k, s), e) for k, s, e in spans])
                     kept = [(k, s, e, float(p)) for (k, s, e), p in zip(spans, score, strict=True) if k != "model" or p >= model.threshold]
                     per_doc[i] = sorted(kept, key=lambda f: (f[1], KINDS.index(f[0])))
             rows = [[{"kind": k, "start": s, "end": e, "score": p} for k, s, e, p in doc] for doc in per_doc]
