@@ -3,15 +3,19 @@
 Unit vectors are cut into subspaces of two dimensions with 16 codewords each, and what is
 left over is coded once more in the same way.  Codes and codewords minimise ``|r|^2 + (eta - 1) (r . x)^2`` over the residual r: the part of the
 error along the vector, which moves high inner products most, weighs eta times as much.
-Codewords are fitted on a bounded sample; every row is coded.  Queries and codes meet in
-blocks of both, and a block scores its rows by summing 16-entry tables.  The best ``KEEP`` a
-query are scored exactly, which gives a score to reach; then every row of the block whose
-score by code plus the norm of its rest reaches it is scored exactly in double precision, so
-that no neighbour is lost, however many near copies there are.
+Codewords are fitted on a bounded sample; every row is coded and written once, and stays where
+it is: queries come to the rows, ``QUERIES`` at a time by broadcast (of that bounded size), and
+each task scans the codes of its rows by summing 16-entry tables.  The best ``KEEP`` a query are
+scored exactly, which gives a score to reach, as do the nearest found so far; then every row of
+the block whose score by code plus the norm of its rest reaches it is scored exactly in double
+precision, so that no neighbour is lost, however many near copies there are.  What is shuffled
+are the few nearest that each task found for each query.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no
-part, nor do null ids; vectors are searched among those of their own length (one index a length); equal scores go to the smaller id; a query never finds its own id; repeated rows are found once; an empty
-table gives an empty result; extra columns are ignored.
+part, nor do null ids; vectors are searched among those of their own length (one index a length);
+equal scores go to the smaller id, at the last place too; a query never finds its own id; an id
+that stands for several vectors asks with the one of the smallest hash and is found by its
+nearest, once; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +37,8 @@ SAMPLE = 8192
 KEEP = 128
 #: More than single precision loses when table entries are summed.
 _SLACK = 1e-4
-#: Rows and queries that meet in one block.
-ROWS, QUERIES = 100_000, 1024
+#: Rows that a task scans at a time, and queries of one broadcast (for vectors of 64 numbers; fewer longer ones).
+ROWS, QUERIES = 65_536, 65_536
 #: Share of a vector's norm from which inner products count as high.
 HIGH = 0.2
 
@@ -161,15 +165,16 @@ def best_of(score: np.ndarray, keep: int) -> np.ndarray:
     return np.arange(len(score))
 
 
-def nearest_of(about: np.ndarray, rest: np.ndarray, x: np.ndarray, unit: np.ndarray, q: np.ndarray, most: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and exact scores of the ``most`` nearest rows to q, equal scores by smaller index.
+def nearest_of(about: np.ndarray, rest: np.ndarray, x: np.ndarray, unit: np.ndarray, q: np.ndarray, most: int, keep: int, reach: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Indices and exact scores of the ``most`` nearest rows to q, equal scores by smaller index; those below ``reach`` may be left out.
 
     The ``keep`` best by code give a score that the ``most`` nearest reach at least; every row that
     could reach it, by its score by code and the norm of its rest, is scored exactly."""
     first = best_of(about, max(keep, most))
     own = q / np.abs(q).max()
     own = own / np.linalg.norm(own)
-    reach = -np.inf if len(first) < most else np.partition(unit[first] @ own, -most)[-most]
+    if len(first) >= most:
+        reach = max(reach - 1e-12, np.partition(unit[first] @ own, -most)[-most])
     hit = np.flatnonzero(about + rest >= reach - _SLACK * max(1, len(q) / 512))
     score = unit[hit] @ own
     if len(hit) > most:  # rounding must not decide between equal scores
@@ -179,34 +184,76 @@ def nearest_of(about: np.ndarray, rest: np.ndarray, x: np.ndarray, unit: np.ndar
     return hit[top], score[top]
 
 
-def nearest_in_blocks(rows: DataFrame, queries: DataFrame, codes, dim: int, n_rows: int, n_queries: int, most: int, keep: int = KEEP) -> DataFrame:
-    """query_id, vec_id, score: the ``most`` nearest of every block of rows for every query."""
-    n_r, n_q = max(1, -(-n_rows // max(1, min(ROWS, ROWS * 64 // dim)))), max(1, -(-n_queries // QUERIES))
-    left = coded(rows, codes, dim).select("*", F.pmod(F.xxhash64("vec_id"), F.lit(n_r)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-    right = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_q)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_r - 1).cast("long"))).alias("rb"))
-
-    def scan(a: pa.Table, q: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not a.num_rows or not q.num_rows:
-            return none
-        a = a.sort_by("vec_id")
-        ids, rest, x, unit = a.column("vec_id").to_numpy(), a.column("rest").to_numpy(), _plain(a, dim), _unit(a, dim)
-        packed = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-        code = np.empty((len(ids), packed.shape[1] * 2), np.uint8)
-        code[:, ::2], code[:, 1::2] = packed >> 4, packed & 15
-        tables, own, mine, out = codes.value.tables(_unit(q, dim)), q.column("vec_id").to_numpy(), _plain(q, dim), []
-        for lo in range(0, len(own), 64):
-            part = np.ascontiguousarray(tables[:, :, lo : lo + 64])
+class Nearest:
+    """The ``most`` nearest rows found so far of each query: ids and scores, nearest first, ties to the smaller id."""
+
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, codes: Codes, most: int, keep: int):
+        self.ids, self.queries, self.codes, self.most, self.keep = ids, queries, codes, most, keep
+        self.unit = queries / np.abs(queries).max(1, keepdims=True)
+        self.unit /= np.linalg.norm(self.unit, axis=1, keepdims=True)
+        self.found = np.full((len(ids), most), -1, np.int64)
+        self.score = np.full((len(ids), most), -np.inf)
+
+    def scan(self, ids: np.ndarray, rest: np.ndarray, x: np.ndarray, code: np.ndarray) -> None:
+        """Take in a block of rows, in order of id."""
+        unit = x / np.abs(x).max(1, keepdims=True)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        for lo in range(0, len(self.ids), 64):
+            part = self.codes.tables(self.unit[lo : lo + 64])
             total = np.zeros((len(ids), part.shape[2]), np.float32)
             for j in range(part.shape[0]):
                 total += part[j][code[:, j]]
-            for i in range(part.shape[2]):
-                hit, score = nearest_of(np.ascontiguousarray(total[:, i]), rest, x, unit, mine[lo + i], most, keep)
-                out.append((np.full(len(hit), own[lo + i]), ids[hit], score))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+            for i in range(lo, lo + part.shape[2]):
+                hit, score = nearest_of(np.ascontiguousarray(total[:, i - lo]), rest, x, unit, self.queries[i], self.most, self.keep, self.score[i, -1])
+                new, sure = np.concatenate([self.found[i], ids[hit]]), np.concatenate([self.score[i], score])
+                order = np.lexsort((new, -sure))[: self.most]
+                self.found[i], self.score[i] = new[order], sure[order]
+
+    def batch(self) -> pa.RecordBatch:
+        there = self.score > -np.inf
+        return pa.RecordBatch.from_pydict({"query_id": np.repeat(self.ids, there.sum(1)), "vec_id": self.found[there], "score": self.score[there]})
+
+
+def nearest_in_place(rows: DataFrame, asked, codes, dim: int, most: int, keep: int = KEEP) -> DataFrame:
+    """query_id, vec_id, score: the ``most`` nearest that each task finds among its coded rows for every query of the
+    broadcast ``asked`` (ids, vectors)."""
+    block = max(1, ROWS * 64 // max(64, dim))
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(scan, "query_id long, vec_id long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, held, n = None, [], 0
+
+        def scan() -> None:
+            a = pa.Table.from_batches(held).sort_by("vec_id")
+            packed = np.frombuffer(b"".join(a.column("code").to_pylist()), np.uint8).reshape(a.num_rows, -1)
+            code = np.empty((a.num_rows, packed.shape[1] * 2), np.uint8)
+            code[:, ::2], code[:, 1::2] = packed >> 4, packed & 15
+            near.scan(a.column("vec_id").to_numpy(), a.column("rest").to_numpy(), _plain(a, dim), code)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if near is None:
+                near = Nearest(*asked.value, codes.value, most, keep)
+            held.append(b)
+            n += b.num_rows
+            if n >= block:
+                scan()
+                held, n = [], 0
+        if held:
+            scan()
+        if near is not None:
+            yield near.batch()
+
+    return rows.select("vec_id", "embedding", "code", "rest").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def in_turn(queries: DataFrame, n: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ids and vectors of the queries, about ``size`` at a time."""
+    parts = max(1, -(-n // size))
+    for i in range(parts):
+        part = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)) == i).select("vec_id", "embedding").toArrow().sort_by("vec_id")
+        if part.num_rows:
+            yield part.column("vec_id").to_numpy(), np.array(part.column("embedding").to_pylist())
 
 
 def search(vectors: DataFrame, every: int = 50, k: int = 5, keep: int = KEEP) -> DataFrame:
@@ -222,9 +269,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, keep: int = KEEP) ->
     )
     is_query = F.pmod(F.col("vec_id"), F.lit(every)) == 0
     classes = durable(rows.groupBy("h1", "h2", "dim").agg(F.min("vec_id").alias("vec_id"), F.any_value("embedding").alias("embedding")), "ann-classes")
-    queries = rows.where(is_query).dropDuplicates(["vec_id"]).select("vec_id", "embedding", "dim")
+    place = F.struct("h1", "h2", "dim")
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min_by("embedding", place).alias("embedding"), F.min_by("dim", place).alias("dim"))
+    queries = durable(queries, "ann-queries")
     counts = dict(queries.groupBy("dim").count().collect())
-    sizes = dict(classes.groupBy("dim").count().collect()) if counts else {}
     found = []
     for dim, n_queries in sorted(counts.items()):  # one space a length; as a rule there is one
         own = classes.where(F.col("dim") == dim)
@@ -232,9 +280,11 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, keep: int = KEEP) ->
         x = np.array([r[0] for r in sample])
         x = x / np.abs(x).max(1, keepdims=True)
         codes = spark.sparkContext.broadcast(fit(x / np.linalg.norm(x, axis=1, keepdims=True)))
-        found.append(nearest_in_blocks(own, queries.where(F.col("dim") == dim), codes, dim, sizes[dim], n_queries, k + 1, keep))
-        if len(found) == 32:  # the plan stays short, however many lengths there are
-            found = [durable(reduce(DataFrame.unionByName, found), "ann-nearest")]
+        index = durable(coded(own, codes, dim), "ann-index")
+        for asked in in_turn(queries.where(F.col("dim") == dim), n_queries, max(1, QUERIES * 64 // max(64, dim))):
+            found.append(nearest_in_place(index, spark.sparkContext.broadcast(asked), codes, dim, k + 1, keep))
+            if len(found) == 32:  # the plan stays short, however many lengths and turns there are
+                found = [durable(reduce(DataFrame.unionByName, found), "ann-nearest")]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

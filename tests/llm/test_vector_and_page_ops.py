@@ -120,6 +120,26 @@ def test_components(spark):
     assert got == {x: want[x] for x in linked}
 
 
+def test_ann_ties_at_the_last_place_and_ids_that_stand_for_two(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(ann, "ROWS", 7)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 4)).round(1)
+    flips = np.array([[1, -1, 1, 1], [1, 1, -1, 1], [1, 1, 1, -1], [1, -1, -1, 1]])
+    rows = [(0, [2.0, 0.0, 0.0, 0.0])] + [(1 + 4 * i + j, (x * f).tolist()) for i, x in enumerate(base) for j, f in enumerate(flips)]  # all mirror images are as near to row 0
+    rows += [(100, [0.0, 1.0, 0.0, 0.0]), (100, [0.0, 0.0, 1.0, 0.0]), (100, [0.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    twice = [sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(df, every=50, k=6).collect()) for _ in range(2)]
+    assert twice[0] == twice[1]
+    q = np.array(rows[0][1])
+    cos = {}
+    for i, v in rows[1:]:
+        cos[i] = max(cos.get(i, -2), float(np.dot(q, v) / (np.sqrt(np.dot(q, q)) * np.sqrt(np.dot(v, v)))))
+    want = sorted(cos, key=lambda i: (-cos[i], i))[:6]
+    assert [v for query, _, v, _ in twice[0] if query == 0] == want
+    assert {query for query, *_ in twice[0]} == {0, 100} and all(v != query for query, _, v, _ in twice[0])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body class="site-notice-page"><header><h1>Site</h1></header><nav><a>{0}</a></nav>
 <div class="wrap"><div class="ad">buy {0}</div><article><header><h1>Head {0}</h1></header><p>First {0} &amp; <b>bold<br>next<p>Second\n part &lt;x&gt;<div class="byline">By staff</div>
 <ul><li>one<li>two</ul><section class="comments"><p>rude</p></section><form>Mail</form></article><aside>links</aside></div><footer>(c) {0}</footer><script>var a="</p>";</script></body></html>"""
