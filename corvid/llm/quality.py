@@ -162,21 +162,24 @@ def prior_of(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED, epo
     return float(np.clip(above_u[best] / above_p[best], 0.02, 0.98))
 
 
+def risk_slope(s: np.ndarray, n_p: int, pi: float) -> np.ndarray:
+    """Slope of the non-negative risk by each row's logit, from scores ``s`` of ``n_p`` positives and then the unlabelled.
+
+    Losses are logistic: that of P as positive falls by s - 1, that of a set as negative by s."""
+    n_u, loss = len(s) - n_p, -np.log1p(-s.clip(0, 1 - 1e-12))
+    if loss[n_p:].mean() >= pi * loss[:n_p].mean():
+        return np.concatenate([pi * ((s[:n_p] - 1) - s[:n_p]) / n_p, s[n_p:] / n_u])
+    # the estimated risk fell below nought: step back up
+    return np.concatenate([pi * s[:n_p] / n_p, -s[n_p:] / n_u])
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, seed: int = SEED, epochs: int = EPOCHS) -> Model | None:
     """Minimise the non-negative risk on the whole sample, under an estimated prior if none is given; None without positives."""
     if not len(positive) or not len(unlabelled):
         return None
     pi = prior_of(positive, unlabelled, seed) if prior is None else prior
 
-    def pull(s: np.ndarray, n_p: int) -> np.ndarray:
-        # logistic losses: the risk of P as positive falls by s-1, that of a set as negative by s
-        n_u, loss = len(s) - n_p, -np.log1p(-s.clip(0, 1 - 1e-12))
-        if loss[n_p:].mean() >= pi * loss[:n_p].mean():
-            return np.concatenate([pi * ((s[:n_p] - 1) - s[:n_p]) / n_p, s[n_p:] / n_u])
-        # the estimated risk fell below nought: step back up
-        return np.concatenate([pi * s[:n_p] / n_p, -s[n_p:] / n_u])
-
-    return _trained(positive, unlabelled, pull, seed, epochs)
+    return _trained(positive, unlabelled, lambda s, n_p: risk_slope(s, n_p, pi), seed, epochs)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

@@ -1,12 +1,14 @@
 """Text operators against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -494,6 +496,41 @@ def test_quality_by_positive_and_unlabelled(spark):
     assert quality.scores(df.limit(0), labels).count() == 0
 
 
+def test_quality_features_equal_plain_loops():
+    rng = random.Random(10)
+    texts = [None, "", " \n", "a", "Ab Ab Ab x! | $9.", "é🙂 好\x85" * 50, "word " * 40_000] + ["".join(rng.choice("abAB 09.,!?|*#$-_=+(){}'\n\té") for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    classes = [
+        lambda b: 97 <= b < 123, lambda b: 65 <= b < 91, lambda b: 48 <= b < 58, lambda b: b >= 128, lambda b: b in b" \t\x0b\x0c\r", lambda b: b in b"\n", lambda b: b in b".", lambda b: b in b",",
+        lambda b: b in b"!", lambda b: b in b"?", lambda b: b in b"|", lambda b: b in b"*#$%&@^~", lambda b: b in b"-_=+<>/\\", lambda b: b in b"()[]{}", lambda b: b in b"'\":;`",
+    ]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    got = quality._rows(batch, "text")
+    for row, text in zip(got, texts, strict=True):
+        raw = (text or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        want = [math.log1p(len(raw))] + [0.0] * (quality.N_FEATURES - 1)
+        if w:
+            want[1:16] = [math.sqrt(sum(map(c, raw)) / len(raw)) for c in classes]
+            same = lambda k: sum(a == b for a, b in zip(w, w[k:])) / (len(w) - k) if len(w) > k else 0  # noqa: B023, B905, E731
+            want[16:] = [len(raw) / len(w) / 8, same(1), same(2), len(set(w)) / len(w), math.log1p(len(set(w))) / math.log1p(len(w)), math.sqrt(max(Counter(raw).values()) / len(raw))]
+        assert np.allclose(row, want), text
+
+
+def test_quality_risk_slope_equals_numeric_differences():
+    rng = np.random.default_rng(3)
+    soft = lambda z: np.log1p(np.exp(z))
+    for pi, shift in ((0.6, 0.0), (0.9, 4.0)):
+        z, n_p = np.concatenate([rng.normal(shift, 1, 5), rng.normal(0, 1, 7)]), 5
+        negative = lambda z: soft(z[n_p:]).mean() - pi * soft(z[:n_p]).mean()  # noqa: B023, E731
+        # below nought the negative part alone is pushed back up
+        risk = (lambda z: pi * soft(-z[:n_p]).mean() + negative(z)) if negative(z) >= 0 else (lambda z: -negative(z))  # noqa: B023
+        slope = quality.risk_slope(1 / (1 + np.exp(-z)), n_p, pi)
+        for i in range(len(z)):
+            step = np.eye(len(z))[i] * 1e-6
+            assert math.isclose(slope[i], (risk(z + step) - risk(z - step)) / 2e-6, rel_tol=1e-4, abs_tol=1e-7)
+        assert (negative(z) >= 0) == (shift == 0)
+
+
 @pytest.mark.parametrize("share", [0.3, 0.85])
 def test_prior_from_positives_and_unlabelled(share):
     rng = np.random.default_rng(3)
