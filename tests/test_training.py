@@ -123,6 +123,13 @@ def test_eval_learned_sort_equals_its_twin(spark, safe):
     assert got == {c: learned_by_hand(rows, c, safe=safe) for c in ("c0", "c1", "c2")}
 
 
+def test_eval_learned_sort_is_the_same_by_shuffle(spark, monkeypatch):
+    clips = groups(spark)
+    shared = sorted(map(tuple, evaluate.eval_learned_sort(clips, epochs=10).collect()))
+    monkeypatch.setattr(evaluate, "SHARED", 0)
+    assert sorted(map(tuple, evaluate.eval_learned_sort(clips, epochs=10).collect())) == shared
+
+
 def test_eval_learned_sort_bounds_training_only(spark):
     clips = groups(spark)
     small = evaluate.eval_learned_sort(clips, epochs=5, max_train=4, categories=["c1"]).collect()
