@@ -1,15 +1,20 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
-All pages of a host are aligned by the paths of their elements, equal siblings as one, over
-counts of (host, path, text) made in Spark.  A text that stands on nearly all pages with its
-path is repeated.  Constant nodes are template and left out: an element with a class or id
-whose own whole text is repeated, and a plain block whose text is, where such text is the
-lesser part of a page (a page that is mostly repeated text is a copy, not a template around
-changing text).  The wrapper of a layout (the set of a page's containers) is its
-region: the smallest container around every text block of all its pages that is neither
-template nor repeated.  Counts and wrappers are small rows, joined to the pages by host and
-layout; each page is read in order, with a stack and without a tree, in time and memory in
-proportion to its length.
+Pages of a host that open the same containers are one layout; a layout of at least LEAST pages
+has its longest page as pivot, and other pages go by the longest of their host.  The tree of
+block elements of every page is aligned with its pivot's by simple tree matching: matched
+elements have matched parents, keep the order of children, and are as many as can be (an equal
+text counts as one more); equal shapes match as they are.  So each element of a page has a
+place, that of its partner in the pivot.  Over counts of (layout, place, text) made in Spark, a
+text that stands on nearly all pages with its place is repeated.  Constant nodes are template and
+left out: an element with a class or id whose own whole text is repeated, and a plain block whose
+text is, where such text is the lesser part of a page (a page that is mostly repeated text is a
+copy, not a template around changing text); varying slots, and elements without a partner, are
+content.  The region of a layout is the smallest container around every text block of all its
+pages that is neither template nor repeated.  Pivots, repeated marks and regions are rows of a
+pivot's size at most, joined to the pages by host and layout (by broadcast below a checked size);
+each page is read in order, with a stack, in time and memory in proportion to its length, and
+matched in time in proportion to the products of unequal lists of children.
 
 Block rules: block elements part the text; inside a block white space becomes one space;
 blocks are joined by two line feeds; inline elements, left out or not, part nothing.  Menus,
@@ -39,6 +44,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,10 +217,143 @@ def left_out(tag: str, named: int, in_article: bool, near: str) -> bool:
     return tag in BLOCK or not (in_article or near in TEXTUAL or near in HEADINGS)
 
 
+class Tree:
+    """An ordered tree in order of opening: parent, label and own text of each node, as numbers; node 0 is the root."""
+
+    __slots__ = ("parent", "label", "text", "kids", "size", "shape", "full")
+
+    def __init__(self, parent: list[int], label: list[int], text: list[int]):
+        n = len(parent)
+        self.parent, self.label, self.text = parent, np.array(label, np.int64), np.array(text, np.int64)
+        self.kids: list[list[int]] = [[] for _ in range(n)]
+        self.size, self.shape, self.full = [1] * n, [0] * n, [0] * n
+        for i in range(1, n):
+            self.kids[parent[i]].append(i)
+        for i in range(n - 1, -1, -1):  # subtrees are hashed from below: equal ones need no matching
+            self.shape[i] = hash((label[i], *[self.shape[k] for k in self.kids[i]]))
+            self.full[i] = hash((self.shape[i], text[i], *[self.full[k] for k in self.kids[i]]))
+            if i:
+                self.size[parent[i]] += self.size[i]
+
+    def dumps(self) -> bytes:
+        return np.array([self.parent, self.label, self.text], np.int64).tobytes()
+
+    @classmethod
+    def loads(cls, raw: bytes) -> Tree:
+        return cls(*np.frombuffer(raw, np.int64).reshape(3, -1).tolist())
+
+
+class Matching:
+    """Simple tree matching of a page's tree ``b`` with its pivot's ``a``, an equal own text counting as one more match."""
+
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.b, self.known = a, b, {}
+
+    def _open(self, x: int, y: int) -> bool:
+        """Whether the weight of a pair has to be found from that of its children."""
+        a, b = self.a, self.b
+        return bool(a.kids[x]) and bool(b.kids[y]) and a.label[x] == b.label[y] and a.shape[x] != b.shape[y] and (x, y) not in self.known
+
+    def _row(self, x: int, ys: list[int]) -> np.ndarray:
+        """Weights of the pairs of a pivot's node with nodes of the page."""
+        a, b = self.a, self.b
+        at = np.array(ys)
+        w = (b.label[at] == a.label[x]) * (1 + (b.text[at] == a.text[x]))
+        if a.kids[x]:
+            for j in np.flatnonzero(w):
+                y = ys[j]
+                if a.shape[x] == b.shape[y]:
+                    n = a.size[x]
+                    w[j] = n + int((a.text[x : x + n] == b.text[y : y + n]).sum())
+                elif b.kids[y]:
+                    w[j] += self.known[x, y]
+        return w
+
+    def _best(self, xs: list[int], ys: list[int]) -> list[np.ndarray]:
+        """Best weights of all beginnings of the two lists."""
+        rows = [np.zeros(len(ys) + 1, np.int64)]
+        for x in xs:
+            last = rows[-1]
+            rows.append(np.concatenate(([0], np.maximum.accumulate(np.maximum(last[1:], last[:-1] + self._row(x, ys))))))
+        return rows
+
+    def _last(self, xs: list[int], ys: list[int]) -> np.ndarray:
+        """The last of those rows, no other held."""
+        row = np.zeros(len(ys) + 1, np.int64)
+        for x in xs:
+            row = np.concatenate(([0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + self._row(x, ys)))))
+        return row
+
+    def _ends(self, x: int, y: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+        """The children of a pair without the equal subtrees at both ends, and the pairs of those."""
+        a, b, xs, ys = self.a, self.b, self.a.kids[x], self.b.kids[y]
+        lo, most = 0, min(len(xs), len(ys))
+        while lo < most and a.full[xs[lo]] == b.full[ys[lo]]:
+            lo += 1
+        hi = 0
+        while hi < most - lo and a.full[xs[-1 - hi]] == b.full[ys[-1 - hi]]:
+            hi += 1
+        pairs = list(zip(xs[:lo], ys[:lo], strict=True)) + list(zip(xs[len(xs) - hi :], ys[len(ys) - hi :], strict=True))
+        return xs[lo : len(xs) - hi], ys[lo : len(ys) - hi], pairs
+
+    def _weigh(self, x: int, y: int) -> None:
+        """The weight of the best matching below a pair, and of all pairs below that it rests on; a stack, as trees are deep."""
+        todo = [(x, y)]
+        while todo:
+            x, y = todo[-1]
+            xs, ys, pairs = self._ends(x, y)
+            deeper = [(c, d) for c in xs if self.a.kids[c] for d in ys if self._open(c, d)]
+            if deeper:
+                todo += deeper
+                continue
+            todo.pop()
+            if (x, y) not in self.known:
+                self.known[x, y] = sum(2 * self.a.size[c] for c, _ in pairs) + (int(self._last(xs, ys)[-1]) if xs and ys else 0)
+
+    def partners(self) -> list[int]:
+        """The pivot's node of each node of the page, -1 without one."""
+        a, b = self.a, self.b
+        to, todo = [-1] * len(b.parent), [(0, 0)]
+        while todo:
+            x, y = todo.pop()
+            if a.shape[x] == b.shape[y]:
+                to[y : y + b.size[y]] = range(x, x + a.size[x])
+                continue
+            to[y] = x
+            xs, ys, pairs = self._ends(x, y)
+            todo += pairs
+            for c in xs:
+                for d in ys if a.kids[c] else ():
+                    if self._open(c, d):
+                        self._weigh(c, d)
+            todo += self._traced(xs, ys)
+        return to
+
+    def _traced(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
+        """The matched pairs of two lists; long ones are halved, so that no more than two rows of weights are held."""
+        if not xs or not ys:
+            return []
+        if len(xs) > 1 and len(xs) * len(ys) > 1 << 20:
+            half = len(xs) // 2
+            cut = int(np.argmax(self._last(xs[:half], ys) + self._last(xs[half:][::-1], ys[::-1])[::-1]))
+            return self._traced(xs[:half], ys[:cut]) + self._traced(xs[half:], ys[cut:])
+        rows, out, i, j = self._best(xs, ys), [], len(xs), len(ys)
+        while i and j and rows[i][j]:
+            if rows[i][j] == rows[i - 1][j]:
+                i -= 1
+            elif rows[i][j] == rows[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out.append((xs[i], ys[j]))
+        return out
+
+
 class Page:
     """The text blocks of a page outside what is left out, and the elements that hold them.
 
-    Places are numbered: ``parent``, ``step`` (element and its mark), ``depth`` and ``key`` (64 bits of the path) of each.
+    Block elements are numbered in order: ``parent``, ``step`` (element and its mark), ``depth`` and ``key`` (64 bits of the
+    path, the same for equal siblings) of each.
     ``blocks`` are (place of the nearest block element, text) in order; ``named`` and ``containers`` are (place, first
     block, end block) of the block elements with a class or id, and of those that may be a region."""
 
@@ -245,16 +384,18 @@ class Page:
                 if not dropped:
                     parts.append(e[1])
             elif e[0] == "open":
-                step = e[1] + e[2]
-                own = known.get((place, step))
-                if own is None:
-                    own = known[place, step] = len(self.key)
+                inside_article += e[1] in ("article", "main")
+                bad = dropped or left_out(e[1], e[3], inside_article > 0, near_tag)
+                own = place
+                if e[1] in BLOCK and not bad:
+                    own, step = len(self.key), e[1] + e[2]
+                    under = self.key[place], step
+                    if under not in known:
+                        known[under] = below(*under)
                     self.parent.append(place)
                     self.step.append(step)
                     self.depth.append(self.depth[place] + 1)
-                    self.key.append(below(self.key[place], step))
-                inside_article += e[1] in ("article", "main")
-                bad = dropped or left_out(e[1], e[3], inside_article > 0, near_tag)
+                    self.key.append(known[under])
                 if not dropped:
                     if e[1] == "br":
                         parts.append(" ")
@@ -313,14 +454,18 @@ class Page:
         """A mark of the texts of blocks ``lo`` to ``hi``."""
         return (self.sums[hi] - self.sums[lo] * pow(_BASE, hi - lo, _PRIME)) % _PRIME
 
-    def facts(self) -> set[tuple[int, int]]:
-        """(place, text) marks of the blocks and of the whole texts of the named elements."""
-        own = {(below(self.key[p], "block"), m) for (p, _), m in zip(self.blocks, self.marks, strict=True)}
-        return own | {(below(self.key[p], "named"), self.run(lo, hi)) for p, lo, hi in self.named if hi > lo}
+    def tree(self) -> Tree:
+        """The tree of block elements, with a mark of each one's own texts."""
+        texts = [0] * len(self.key)
+        for (p, _), m in zip(self.blocks, self.marks, strict=True):
+            texts[p] = (texts[p] * _BASE + m + 1) % _PRIME
+        labels = {x: mark(x) for x in set(self.step)}
+        return Tree(self.parent, [labels[x] for x in self.step], texts)
 
-    def layout(self) -> int:
-        """A mark of the set of containers that hold text."""
-        return mark(" ".join(map(str, sorted({self.key[p] for p, lo, hi in self.containers if hi > lo}))))
+    def facts(self, to: list[int]) -> set[tuple[int, int]]:
+        """(place, text) marks of the blocks and of the whole texts of the named elements that have a partner ``to[...]`` in the pivot."""
+        own = {(2 * to[p], m) for (p, _), m in zip(self.blocks, self.marks, strict=True) if to[p] >= 0}
+        return own | {(2 * to[p] + 1, self.run(lo, hi)) for p, lo, hi in self.named if hi > lo and to[p] >= 0}
 
     def covered(self, spans: Iterable[tuple[int, int]]) -> list[bool]:
         """Which blocks lie in any of the spans."""
@@ -330,25 +475,25 @@ class Page:
             edge[hi] -= 1
         return [n > 0 for n in accumulate(edge[:-1])]
 
-    def template(self, repeated: frozenset, inside: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
-        """Named elements whose whole text is one that their host repeats; only those below the elements ``inside``, where given."""
+    def template(self, repeated: frozenset, to: list[int], inside: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
+        """Named elements whose whole text is one that their layout repeats; only those below the elements ``inside``, where given."""
         if not repeated:
             return []
-        found = [n for n in self.named if n[2] > n[1] and (below(self.key[n[0]], "named"), self.run(n[1], n[2])) in repeated]
+        found = [n for n in self.named if n[2] > n[1] and (2 * to[n[0]] + 1, self.run(n[1], n[2])) in repeated]
         if inside is None or not inside:
             return found
         within, depth = self.covered((lo, hi) for _, lo, hi in inside), self.depth[inside[0][0]]
         return [n for n in found if within[n[1]] and self.depth[n[0]] > depth]
 
-    def plain(self, repeated: frozenset, *often: bool) -> list[bool]:
+    def plain(self, repeated: frozenset, to: list[int], *often: bool) -> list[bool]:
         """Which blocks' own texts are repeated; ``often``: on PLAIN_LEAST pages at least."""
-        return [(below(self.key[p], "block"), m, *often) in repeated for (p, _), m in zip(self.blocks, self.marks, strict=True)]
+        return [(2 * to[p], m, *often) in repeated for (p, _), m in zip(self.blocks, self.marks, strict=True)]
 
-    def changing(self, repeated: frozenset) -> str | None:
-        """The path of the least place around all blocks whose text is not repeated, outside template; None without any."""
-        out = self.covered((lo, hi) for _, lo, hi in self.template(repeated))
+    def changing(self, repeated: frozenset, to: list[int]) -> str | None:
+        """The path of the least element around all blocks whose text is not repeated, outside template; None without any."""
+        out = self.covered((lo, hi) for _, lo, hi in self.template(repeated, to))
         near, under = None, set()
-        for (p, _), same, o in zip(self.blocks, self.plain(repeated), out, strict=True):
+        for (p, _), same, o in zip(self.blocks, self.plain(repeated, to), out, strict=True):
             if o or same:
                 continue
             if near is None:
@@ -396,24 +541,27 @@ def key_of(path: str) -> int:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one layout: region (a path; None without changing text), template (paths within it) and repeated (marks)."""
+    """The wrapper of pages of one layout: pivot (a tree), region (a path; None without changing text), template (paths within
+    it) and repeated (marks).  ``extract`` makes the same from counts over all pages."""
     parsed = [Page(p) for p in pages if p]
+    pivot = Page(max(filter(None, pages), key=len)).tree() if parsed else None
+    partners = [Matching(pivot, p.tree()).partners() for p in parsed]
     seen, same, whose = Counter(), Counter(), {}
-    for page in parsed:
-        facts, whole = page.facts(), page.run(0, len(page.blocks))
+    for page, to in zip(parsed, partners, strict=True):
+        facts, whole = page.facts(to), page.run(0, len(page.blocks))
         seen.update({place for place, _ in facts})
         same.update(facts)
         for f in facts:
             whose.setdefault(f, set()).add(whole)
     repeated = {f for f, n in same.items() if n >= LEAST and n >= CONSTANT * seen[f[0]] and len(whose[f]) > 1}
     repeated = frozenset(repeated | {(*f, True) for f in repeated if same[f] >= PLAIN_LEAST})
-    paths = [c for page in parsed if (c := page.changing(repeated)) is not None]
+    paths = [c for page, to in zip(parsed, partners, strict=True) if (c := page.changing(repeated, to)) is not None]
     region = smallest(min(paths), max(paths)) if paths else None
     template, key = set(), key_of(region) if paths else 0
-    for page in parsed if paths else ():
+    for page, to in zip(parsed, partners, strict=True) if paths else ():
         own = [c for c in page.containers if page.key[c[0]] == key]
-        template |= {page.path(n[0]) for n in page.template(repeated, own)}
-    return {"region": region, "template": sorted(template), "repeated": repeated}
+        template |= {page.path(n[0]) for n in page.template(repeated, to, own)}
+    return {"pivot": pivot, "region": region, "template": sorted(template), "repeated": repeated}
 
 
 def main_text(page: str | None, wrapper: dict | None) -> str:
@@ -423,10 +571,11 @@ def main_text(page: str | None, wrapper: dict | None) -> str:
     p = Page(page)
     if wrapper and wrapper["region"] is not None:
         key, repeated = key_of(wrapper["region"]), wrapper["repeated"]
+        to = Matching(wrapper["pivot"], p.tree()).partners()
         own = [c for c in p.containers if p.key[c[0]] == key]
         within = p.covered((lo, hi) for _, lo, hi in own) if wrapper["region"] else [True] * len(p.blocks)
-        out = p.covered((lo, hi) for _, lo, hi in p.template(repeated, own))
-        kept = [(len(t), same, t) for (_, t), same, w, o in zip(p.blocks, p.plain(repeated, True), within, out, strict=True) if w and not o]
+        out = p.covered((lo, hi) for _, lo, hi in p.template(repeated, to, own))
+        kept = [(len(t), same, t) for (_, t), same, w, o in zip(p.blocks, p.plain(repeated, to, True), within, out, strict=True) if w and not o]
         new, old = sum(n for n, same, _ in kept if not same), sum(n for n, same, _ in kept if same)
         texts = [t for _, same, t in kept if not same or old > PLAIN_SHARE * new]
         if texts:
@@ -441,34 +590,78 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
-def repeated_texts(pages: DataFrame) -> DataFrame:
-    """host, repeated: the (place, text) marks that a host repeats, counted over all its pages.
+#: Bytes of pivots and marks that are broadcast; beyond, pages and pivots meet by a shuffle.
+SMALL = 64 << 20
+_CONTAINERS = r"(?i)<(?:html|body|main|article|section|div|center)\b[^>]*>"
+#: Of these, those that are left out by name say nothing of a layout, and so do numbers in names.
+_LEFT_OUT = rf"(?i)\b(?:class|id|role)\s*=[^>]*\b(?:{'|'.join(sorted(NAMES | ROLES))})\b"
 
-    A text is repeated if it stands on at least CONSTANT of the pages that have its place, and
-    not only in copies of one page."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols: tuple[list, list, list, list] = ([], [], [], [])
-            for host, page in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-                parsed = Page(page.as_py())
-                facts, whole = parsed.facts(), parsed.run(0, len(parsed.blocks))
-                for place, text in (*facts, *((place, None) for place in {f[0] for f in facts})):
-                    for c, v in zip(cols, (host, place, text, whole), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(cols[0], pa.string())} | {n: pa.array(c, pa.int64()) for n, c in zip(("place", "mark", "whole"), cols[1:], strict=True)})
+def laid_out(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, host, layout (a hash of the set of containers that a page opens, but for those left out by name) and
+    pick (longer pages first)."""
+    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
+    opened = F.filter(F.array_distinct(F.regexp_extract_all("html", F.lit(_CONTAINERS), F.lit(0))), lambda t: ~t.rlike(_LEFT_OUT))
+    tags = F.array_sort(F.array_distinct(F.transform(opened, lambda t: F.regexp_replace(t, "[0-9]+", ""))))
+    pick = F.least(F.char_length("html"), F.lit(1 << 22)).cast("long") * F.lit(1 << 40) + F.pmod(F.xxhash64("html"), F.lit(1 << 40))
+    return rows.withColumns({"layout": F.xxhash64(F.array_join(tags, "")), "pick": F.when(F.col("html") != "", pick)})
 
-    facts = pages.where("html is not null and html <> ''").select("host", "html").mapInArrow(run, "host string, place long, mark long, whole long")
-    counts = facts.groupBy("host", "place", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
-    often = durable(counts.where(F.col("n") >= LEAST), "html-often")
-    seen = often.where("mark is null").select("host", "place", F.col("n").alias("seen"))
-    kept = often.where("mark is not null and low <> high").join(seen, ["host", "place"]).where(F.col("n") >= F.lit(CONSTANT) * F.col("seen"))
-    pair = F.concat_ws(":", F.col("place").cast("string"), F.col("mark").cast("string"), F.when(F.col("n") >= PLAIN_LEAST, "1"))
-    return kept.groupBy("host").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("repeated"))
+
+def _sized(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= SMALL else df
+
+
+class Wrappers:
+    """What is known of the layouts of all hosts: pivots by (host, pivot), and which of them a page goes by."""
+
+    def __init__(self, rows: DataFrame):
+        held = rows.where("pick is not null")
+        slim = durable(held.groupBy("host", "layout").agg(F.count(F.lit(1)).alias("n"), F.max("pick").alias("pivot")), "html-layouts")
+        self.of_layout = slim.where(F.col("n") >= LEAST).select("host", "layout", "pivot")
+        self.of_host = slim.groupBy("host").agg(F.sum("n").alias("n"), F.max("pivot").alias("pivot")).where(F.col("n") >= LEAST).select("host", "pivot")
+        asked = durable(self.of_layout.select("host", "pivot").unionByName(self.of_host).distinct(), "html-asked").withColumnRenamed("pivot", "pick")
+        found = held.join(_sized(asked, asked.count() * 64), ["host", "pick"], "left_semi")
+
+        def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                made = [Page(h.as_py()).tree().dumps() for h in b.column("html")]
+                yield pa.RecordBatch.from_pydict({"host": b.column("host"), "pivot": b.column("pick"), "tree": pa.array(made, pa.binary())})
+
+        made = found.select("host", "pick", "html").mapInArrow(trees, "host string, pivot long, tree binary")
+        self.known = durable(made.groupBy("host", "pivot").agg(F.min("tree").alias("tree")), "html-pivots")
+
+    def add(self, facts: DataFrame, name: str) -> None:
+        """More columns by (host, pivot)."""
+        self.known = durable(self.known.join(facts, ["host", "pivot"], "left"), name)
+
+    def beside(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with what is known of each page's layout, or else of its host."""
+        more = [c for c in self.known.columns if c not in ("host", "pivot")]
+        long = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in more), F.lit(64))
+        size = self.known.agg(F.coalesce(F.sum(long), F.lit(0))).first()[0]
+        packed = F.struct("pivot", *more)
+        layouts = self.of_layout.join(self.known, ["host", "pivot"]).select("host", "layout", packed.alias("__l"))
+        hosts = self.of_host.join(self.known, ["host", "pivot"]).select("host", packed.alias("__h"))
+        joined = rows.join(_sized(layouts, size), ["host", "layout"], "left").join(_sized(hosts, size), "host", "left").withColumn("__k", F.coalesce("__l", "__h"))
+        return joined.select("page_id", "url", "html", "host", *[F.col("__k")[c].alias(c) for c in ("pivot", *more)])
+
+
+class _Trees:
+    """Pivots met so far, by their bytes."""
+
+    def __init__(self) -> None:
+        self.held: dict[bytes, Tree] = {}
+
+    def __call__(self, raw: bytes) -> Tree:
+        if raw not in self.held:
+            if len(self.held) > 1000:
+                self.held.clear()
+            self.held[raw] = Tree.loads(raw)
+        return self.held[raw]
 
 
 class _Known:
-    """Repeated marks of the hosts met so far, by their text."""
+    """Repeated marks met so far, by their text."""
 
     def __init__(self):
         self.sets: dict[str | None, frozenset] = {}
@@ -482,49 +675,70 @@ class _Known:
         return self.sets[text]
 
 
+def repeated_texts(rows: DataFrame) -> DataFrame:
+    """host, pivot, repeated: the (place, text) marks that a layout repeats, counted over all its pages (host, html, pivot, tree).
+
+    A text is repeated if it stands on at least CONSTANT of the pages that have its place, and
+    not only in copies of one page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree_of = _Trees()
+        for b in batches:
+            cols: tuple[list, ...] = ([], [], [], [], [])
+            for host, pivot, page, raw in zip(*(b.column(n).to_pylist() for n in ("host", "pivot", "html", "tree")), strict=True):
+                parsed = Page(page)
+                facts, whole = parsed.facts(Matching(tree_of(raw), parsed.tree()).partners()), parsed.run(0, len(parsed.blocks))
+                for place, text in (*facts, *((place, None) for place in {f[0] for f in facts})):
+                    for c, v in zip(cols, (host, pivot, place, text, whole), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_pydict({"host": pa.array(cols[0], pa.string())} | {n: pa.array(c, pa.int64()) for n, c in zip(("pivot", "place", "mark", "whole"), cols[1:], strict=True)})
+
+    facts = rows.where("tree is not null and html <> ''").select("host", "pivot", "html", "tree").mapInArrow(run, "host string, pivot long, place long, mark long, whole long")
+    counts = facts.groupBy("host", "pivot", "place", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+    often = durable(counts.where(F.col("n") >= LEAST), "html-often")
+    seen = often.where("mark is null").select("host", "pivot", "place", F.col("n").alias("seen"))
+    kept = often.where("mark is not null and low <> high").join(seen, ["host", "pivot", "place"]).where(F.col("n") >= F.lit(CONSTANT) * F.col("seen"))
+    pair = F.concat_ws(":", F.col("place").cast("string"), F.col("mark").cast("string"), F.when(F.col("n") >= PLAIN_LEAST, "1"))
+    # few texts a place of the pivot pass CONSTANT
+    return kept.groupBy("host", "pivot").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("repeated"))
+
+
 def regions(rows: DataFrame) -> DataFrame:
-    """host, layout, low, high: the first and last of the places around the changing text of the pages of a layout (host, html, repeated)."""
+    """host, pivot, low, high: the first and last of the paths around the changing text of the pages of a layout (host, html, pivot, tree, repeated)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
+        known, tree_of = _Known(), _Trees()
         for b in batches:
             found = []
-            for host, page, r in zip(b.column("host").to_pylist(), b.column("html"), b.column("repeated").to_pylist(), strict=True):
-                parsed = Page(page.as_py())
-                path = parsed.changing(known(r))
+            for host, pivot, page, raw, r in zip(*(b.column(n).to_pylist() for n in ("host", "pivot", "html", "tree", "repeated")), strict=True):
+                parsed = Page(page)
+                path = parsed.changing(known(r), Matching(tree_of(raw), parsed.tree()).partners())
                 if path is not None:
-                    found.append((host, parsed.layout(), path, path))
+                    found.append((host, pivot, path, path))
             cols = list(zip(*found, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("host", "layout", "low", "high"), cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)})
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("host", "pivot", "low", "high"), cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)})
 
-    found = rows.where("html is not null and html <> ''").select("host", "html", "repeated").mapInArrow(run, "host string, layout long, low string, high string")
-    return found.groupBy("host", "layout").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    asked = rows.where("tree is not null and html <> ''").select("host", "pivot", "html", "tree", "repeated")
+    return asked.mapInArrow(run, "host string, pivot long, low string, high string").groupBy("host", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
-    # short rows, written first so that their size is known: broadcast only if it is small
-    rows = rows.join(durable(repeated_texts(rows), "html-repeated"), "host", "left")
-    by_layout = durable(regions(rows), "html-regions")
+    rows = laid_out(pages)
+    wrappers = Wrappers(rows)
+    wrappers.add(repeated_texts(wrappers.beside(rows)), "html-repeated")
+    wrappers.add(regions(wrappers.beside(rows)), "html-regions")
     kind = rows.schema["page_id"].dataType.simpleString()
 
-    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            layouts = pa.array([Page(h).layout() if (h := page.as_py()) else None for page in b.column("html")], pa.int64())
-            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("page_id", "url", "html", "host", "repeated")} | {"layout": layouts})
-
-    laid = rows.select("page_id", "url", "html", "host", "repeated").mapInArrow(lay, f"page_id {kind}, url string, html string, host string, repeated string, layout long")
-    joined = laid.join(by_layout, ["host", "layout"], "left").select("page_id", "url", "html", "repeated", "low", "high")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known()
+        known, tree_of = _Known(), _Trees()
         for b in batches:
             texts = []
-            for page, r, low, high in zip(b.column("html"), *(b.column(n).to_pylist() for n in ("repeated", "low", "high")), strict=True):
-                texts.append(main_text(page.as_py(), None if low is None else {"region": smallest(low, high), "repeated": known(r)}))
+            for page, raw, r, low, high in zip(b.column("html"), *(b.column(n).to_pylist() for n in ("tree", "repeated", "low", "high")), strict=True):
+                texts.append(main_text(page.as_py(), None if low is None else {"pivot": tree_of(raw), "region": smallest(low, high), "repeated": known(r)}))
             yield pa.RecordBatch.from_pydict(
                 {"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             )
 
+    joined = wrappers.beside(rows).select("page_id", "url", "html", "tree", "repeated", "low", "high")
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
