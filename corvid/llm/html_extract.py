@@ -6,7 +6,8 @@ block elements of every page is aligned with its pivot's by simple tree matching
 elements have matched parents, keep the order of children, and are as many as can be (an equal
 text counts as one more); equal shapes match as they are.  So each element of a page has a
 place, that of its partner in the pivot.  Over counts of (layout, place, text) made in Spark, a
-text that stands on nearly all pages with its place is repeated.  Constant nodes are template and
+text is repeated that stands at its place on nearly all pages that have the element around it (so
+that a passage shared by a few articles is none).  Constant nodes are template and
 left out: an element with a class or id whose own whole text is repeated, and a plain block whose
 text is, where such text is the lesser part of a page (a page that is mostly repeated text is a
 copy, not a template around changing text); varying slots, and elements without a partner, are
@@ -462,10 +463,12 @@ class Page:
         labels = {x: mark(x) for x in set(self.step)}
         return Tree(self.parent, [labels[x] for x in self.step], texts)
 
-    def facts(self, to: list[int]) -> set[tuple[int, int]]:
-        """(place, text) marks of the blocks and of the whole texts of the named elements that have a partner ``to[...]`` in the pivot."""
-        own = {(2 * to[p], m) for (p, _), m in zip(self.blocks, self.marks, strict=True) if to[p] >= 0}
-        return own | {(2 * to[p] + 1, self.run(lo, hi)) for p, lo, hi in self.named if hi > lo and to[p] >= 0}
+    def facts(self, to: list[int], pivot: Tree) -> set[tuple[int, int, int | None]]:
+        """(place, element around it, text's mark) of the blocks and of the whole texts of the named elements that have a partner
+        ``to[...]`` in the pivot, and (-1 - element, element, None) for each element of the pivot with children that the page has."""
+        own = {(2 * to[p], pivot.parent[to[p]], m) for (p, _), m in zip(self.blocks, self.marks, strict=True) if to[p] >= 0}
+        own |= {(2 * to[p] + 1, pivot.parent[to[p]], self.run(lo, hi)) for p, lo, hi in self.named if hi > lo and to[p] >= 0}
+        return own | {(-1 - t, t, None) for t in to if t >= 0 and pivot.kids[t]}
 
     def covered(self, spans: Iterable[tuple[int, int]]) -> list[bool]:
         """Which blocks lie in any of the spans."""
@@ -548,13 +551,15 @@ def induce(pages: list[str]) -> dict:
     partners = [Matching(pivot, p.tree()).partners() for p in parsed]
     seen, same, whose = Counter(), Counter(), {}
     for page, to in zip(parsed, partners, strict=True):
-        facts, whole = page.facts(to), page.run(0, len(page.blocks))
-        seen.update({place for place, _ in facts})
-        same.update(facts)
-        for f in facts:
-            whose.setdefault(f, set()).add(whole)
-    repeated = {f for f, n in same.items() if n >= LEAST and n >= CONSTANT * seen[f[0]] and len(whose[f]) > 1}
-    repeated = frozenset(repeated | {(*f, True) for f in repeated if same[f] >= PLAIN_LEAST})
+        whole = page.run(0, len(page.blocks))
+        for place, around, text in page.facts(to, pivot):
+            if text is None:
+                seen[around] += 1
+            else:
+                same[place, around, text] += 1
+                whose.setdefault((place, around, text), set()).add(whole)
+    kept = {f: n for f, n in same.items() if n >= LEAST and n >= CONSTANT * seen[f[1]] and len(whose[f]) > 1}
+    repeated = frozenset({(f[0], f[2]) for f in kept} | {(f[0], f[2], True) for f, n in kept.items() if n >= PLAIN_LEAST})
     paths = [c for page, to in zip(parsed, partners, strict=True) if (c := page.changing(repeated, to)) is not None]
     region = smallest(min(paths), max(paths)) if paths else None
     template, key = set(), key_of(region) if paths else 0
@@ -678,26 +683,26 @@ class _Known:
 def repeated_texts(rows: DataFrame) -> DataFrame:
     """host, pivot, repeated: the (place, text) marks that a layout repeats, counted over all its pages (host, html, pivot, tree).
 
-    A text is repeated if it stands on at least CONSTANT of the pages that have its place, and
+    A text is repeated if it stands at its place on at least CONSTANT of the pages that have the element around it, and
     not only in copies of one page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree_of = _Trees()
         for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
+            cols: tuple[list, ...] = ([], [], [], [], [], [])
             for host, pivot, page, raw in zip(*(b.column(n).to_pylist() for n in ("host", "pivot", "html", "tree")), strict=True):
-                parsed = Page(page)
-                facts, whole = parsed.facts(Matching(tree_of(raw), parsed.tree()).partners()), parsed.run(0, len(parsed.blocks))
-                for place, text in (*facts, *((place, None) for place in {f[0] for f in facts})):
-                    for c, v in zip(cols, (host, pivot, place, text, whole), strict=True):
+                parsed, tree = Page(page), tree_of(raw)
+                whole = parsed.run(0, len(parsed.blocks))
+                for fact in parsed.facts(Matching(tree, parsed.tree()).partners(), tree):
+                    for c, v in zip(cols, (host, pivot, *fact, whole), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_pydict({"host": pa.array(cols[0], pa.string())} | {n: pa.array(c, pa.int64()) for n, c in zip(("pivot", "place", "mark", "whole"), cols[1:], strict=True)})
+            yield pa.RecordBatch.from_pydict({"host": pa.array(cols[0], pa.string())} | {n: pa.array(c, pa.int64()) for n, c in zip(("pivot", "place", "around", "mark", "whole"), cols[1:], strict=True)})
 
-    facts = rows.where("tree is not null and html <> ''").select("host", "pivot", "html", "tree").mapInArrow(run, "host string, pivot long, place long, mark long, whole long")
-    counts = facts.groupBy("host", "pivot", "place", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
+    facts = rows.where("tree is not null and html <> ''").select("host", "pivot", "html", "tree").mapInArrow(run, "host string, pivot long, place long, around long, mark long, whole long")
+    counts = facts.groupBy("host", "pivot", "place", "around", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high"))
     often = durable(counts.where(F.col("n") >= LEAST), "html-often")
-    seen = often.where("mark is null").select("host", "pivot", "place", F.col("n").alias("seen"))
-    kept = often.where("mark is not null and low <> high").join(seen, ["host", "pivot", "place"]).where(F.col("n") >= F.lit(CONSTANT) * F.col("seen"))
+    seen = often.where("mark is null").select("host", "pivot", "around", F.col("n").alias("seen"))
+    kept = often.where("mark is not null and low <> high").join(seen, ["host", "pivot", "around"]).where(F.col("n") >= F.lit(CONSTANT) * F.col("seen"))
     pair = F.concat_ws(":", F.col("place").cast("string"), F.col("mark").cast("string"), F.when(F.col("n") >= PLAIN_LEAST, "1"))
     # few texts a place of the pivot pass CONSTANT
     return kept.groupBy("host", "pivot").agg(F.array_join(F.sort_array(F.collect_list(pair)), ",").alias("repeated"))

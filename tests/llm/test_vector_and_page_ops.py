@@ -290,6 +290,67 @@ def test_pipeline_stages_on_nulls_repeats_and_nothing(spark, tmp_path):
         assert out.count() > 0, name
 
 
+def brute_matching(a, b):
+    """The most pairs (an equal text one more) that simple tree matching can make of two trees (label, text, kids)."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for i, x in enumerate(a[2]):
+        for j, y in enumerate(b[2]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + brute_matching(x, y))
+    return 1 + (a[1] == b[1]) + best[-1][-1]
+
+
+def test_matching_is_the_best_there_is(monkeypatch):
+    import random
+
+    rng = random.Random(3)
+
+    def grown(depth):
+        return (rng.randrange(3), rng.randrange(2), [grown(depth - 1) for _ in range(rng.randrange(4))] if depth else [])
+
+    def flat(tree):
+        parent, label, text = [], [], []
+
+        def walk(node, above):
+            at = len(parent)
+            parent.append(above)
+            label.append(node[0])
+            text.append(node[1])
+            for k in node[2]:
+                walk(k, at)
+
+        walk(tree, 0)
+        return html_extract.Tree(parent, label, text)
+
+    for _ in range(300):
+        x, y = (0, 0, grown(3)[2]), (0, 0, grown(3)[2])
+        a, b = flat(x), flat(y)
+        to = html_extract.Matching(a, b).partners()
+        pairs = [(t, i) for i, t in enumerate(to) if t >= 0]
+        assert to[0] == 0 and len({t for t, _ in pairs}) == len(pairs)
+        for t, i in pairs[1:]:  # parents are matched, order is kept, labels are equal
+            assert to[b.parent[i]] == a.parent[t] and a.label[t] == b.label[i]
+        assert [t for t, _ in pairs] == sorted(t for t, _ in pairs)
+        if not any(a.shape[t] == b.shape[i] and a.kids[t] for t, i in pairs):  # equal shapes match as they are
+            assert sum(1 + (a.text[t] == b.text[i]) for t, i in pairs) == brute_matching(x, y)
+        again = html_extract.Tree.loads(a.dumps())
+        assert again.shape == a.shape and again.full == a.full
+    wide = [html_extract.Tree([0] * (n + 1), [9] + [rng.randrange(4) for _ in range(n)], [0] * (n + 1)) for n in (1500, 1400)]
+    long = html_extract.Matching(*wide).partners()
+    assert sum(t >= 0 for t in long) == 1 + int(html_extract.Matching(*wide)._last(wide[0].kids[0], wide[1].kids[0])[-1]) // 2
+
+
+def test_a_passage_of_some_articles_is_no_template(spark):
+    ship(spark)
+    said = "Released under a license that several articles of this host quote at their end."
+    page = "<body><div class=ad>x</div><article><h1>T{0}</h1>{1}<p>Its own long story {0} {0} {0}.</p>{2}</article></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"n{i}", f"<p>more {i}</p>" * (i % 4), f"<p>{said}</p>" if i % 3 == 0 else "")) for i in range(30)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i] == "\n\n".join([f"Tn{i}", *[f"more {i}"] * (i % 4), f"Its own long story n{i} n{i} n{i}.", *([said] if i % 3 == 0 else [])])
+
+
 def test_region_keeps_title_and_lead():
     page = "<body><article><h1>Title {0}</h1><div class=lead>Lead {0}</div><div class=body><p>{1}</p></div></article></body>"
     w = html_extract.induce([page.format(c, c * 900) for c in "abcd"])
