@@ -51,7 +51,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     path, table_name = table_path(spark, name), f"corvid_{uuid.uuid4().hex}"
     df.write.format("parquet").bucketBy(buckets(spark), key).sortBy(key).option("path", path).saveAsTable(table_name)
-    spark._corvid_named = [*getattr(spark, "_corvid_named", ()), table_name]
+    spark._corvid_named = [*getattr(spark, "_corvid_named", ()), (table_name, path)]
     return spark.table(table_name)
 
 
@@ -60,17 +60,26 @@ def buckets(spark: SparkSession) -> int:
     return min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def clear(spark: SparkSession) -> int:
-    """Remove the tables that this session has written, once results made from them are stored; how many there were."""
-    for name in getattr(spark, "_corvid_named", ()):
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark._corvid_named = []
-    jvm, paths = spark.sparkContext._jvm, getattr(spark, "_corvid_tables", [])
-    for path in paths:
+def held(spark: SparkSession) -> int:
+    """How many tables this session has written and not removed."""
+    return len(getattr(spark, "_corvid_tables", ()))
+
+
+def clear(spark: SparkSession, since: int = 0, but_last: bool = False) -> int:
+    """Remove the tables that this session has written, once results made from them are stored; how many there were.
+
+    ``since`` leaves the first ones (``held`` counts them), ``but_last`` the last one."""
+    jvm, paths = spark.sparkContext._jvm, list(getattr(spark, "_corvid_tables", ()))
+    gone = paths[since : len(paths) - 1 if but_last else None]
+    for name, path in list(getattr(spark, "_corvid_named", ())):
+        if path in gone:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            spark._corvid_named.remove((name, path))
+    for path in gone:
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    spark._corvid_tables = []
-    return len(paths)
+    spark._corvid_tables = [p for p in paths if p not in gone]
+    return len(gone)
 
 
 def ship(spark: SparkSession) -> None:

@@ -164,5 +164,10 @@ def test_storage_removes_its_tables(spark):
 
     kept = storage.durable(spark.range(3), "kept")
     assert kept.count() == 3 and storage.clear(spark) >= 1 and storage.clear(spark) == 0
+    first, second, third = (storage.durable(spark.range(n), "some") for n in (1, 2, 3))
+    named = storage.bucketed(spark.range(4), "some", "id")
+    assert storage.held(spark) == 4 and storage.clear(spark, 1, but_last=True) == 2 and first.count() == 1 and named.count() == 4
+    assert storage.clear(spark, 1) == 1 and storage.held(spark) == 1 and second.columns == third.columns
+    assert storage.clear(spark) == 1
     with pytest.raises(Exception, match="(?i)not.exist|file"):
         kept.selectExpr("sum(id) + 1").collect()
