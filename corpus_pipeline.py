@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvid.llm import line_dedup, mixing, ngram_join, pieces, quality
-from corvid.storage import durable, ship, table
+from corvid.storage import clear, durable, held, ship, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,8 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``.  Once a stage's rows are written, the tables it was made from are removed."""
+    docs, since = table(spark, sf_dir, "documents"), held(spark)
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), "pipeline-" + name.replace(" ", "-"))
+        made = stage(spark, docs, sf_dir)
+        docs = durable(made, "pipeline-" + name.replace(" ", "-"))
+        clear(spark, since, but_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)
