@@ -265,7 +265,11 @@ def test_pipeline_stages(spark, tmp_path):
         if name == "line dedup":
             kept = {r.doc_id for r in now.collect()}
             assert (80 not in kept) == (texts[3].count("\n") >= 2) and kept >= set(range(80))
+    from corvid.storage import held
+
+    before = held(spark)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert held(spark) == before + 1  # what the stages were made from is gone
     assert out and all(r.round_trip and len(r.ids) == r.n_pieces for r in out)
 
 
