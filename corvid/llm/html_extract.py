@@ -218,6 +218,10 @@ def left_out(tag: str, named: int, in_article: bool, near: str) -> bool:
     return tag in BLOCK or not (in_article or near in TEXTUAL or near in HEADINGS)
 
 
+#: Pairs of two lists of children that are weighed at once.
+LISTS = 1 << 20
+
+
 class Tree:
     """An ordered tree in order of opening: parent, label and own text of each node, as numbers; node 0 is the root."""
 
@@ -255,34 +259,38 @@ class Matching:
         a, b = self.a, self.b
         return bool(a.kids[x]) and bool(b.kids[y]) and a.label[x] == b.label[y] and a.shape[x] != b.shape[y] and (x, y) not in self.known
 
-    def _row(self, x: int, ys: list[int]) -> np.ndarray:
-        """Weights of the pairs of a pivot's node with nodes of the page."""
-        a, b = self.a, self.b
-        at = np.array(ys)
-        w = (b.label[at] == a.label[x]) * (1 + (b.text[at] == a.text[x]))
-        if a.kids[x]:
-            for j in np.flatnonzero(w):
-                y = ys[j]
-                if a.shape[x] == b.shape[y]:
-                    n = a.size[x]
-                    w[j] = n + int((a.text[x : x + n] == b.text[y : y + n]).sum())
-                elif b.kids[y]:
-                    w[j] += self.known[x, y]
+    def _weights(self, xs: list[int], ys: list[int]) -> np.ndarray:
+        """Weights of all pairs of the pivot's nodes ``xs`` and the page's ``ys``."""
+        a, b, at, bt = self.a, self.b, np.array(xs), np.array(ys)
+        w = np.equal.outer(a.label[at], b.label[bt]) * (1 + np.equal.outer(a.text[at], b.text[bt]))
+        for i, x in enumerate(xs):
+            if a.kids[x]:
+                for j in np.flatnonzero(w[i]):
+                    y = ys[j]
+                    if a.shape[x] == b.shape[y]:
+                        n = a.size[x]
+                        w[i, j] = n + int((a.text[x : x + n] == b.text[y : y + n]).sum())
+                    elif b.kids[y]:
+                        w[i, j] += self.known[x, y]
         return w
 
-    def _best(self, xs: list[int], ys: list[int]) -> list[np.ndarray]:
-        """Best weights of all beginnings of the two lists."""
-        rows = [np.zeros(len(ys) + 1, np.int64)]
-        for x in xs:
-            last = rows[-1]
-            rows.append(np.concatenate(([0], np.maximum.accumulate(np.maximum(last[1:], last[:-1] + self._row(x, ys))))))
-        return rows
+    def _best(self, xs: list[int], ys: list[int]) -> np.ndarray:
+        """Best weights of all beginnings of the two lists; steps go along the shorter one."""
+        w = self._weights(xs, ys)
+        best = np.zeros((len(xs) + 1, len(ys) + 1), np.int64)
+        rows, w = (best, w) if len(xs) <= len(ys) else (best.T, w.T)
+        for i in range(len(w)):
+            np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + w[i]), out=rows[i + 1, 1:])
+        return best
 
     def _last(self, xs: list[int], ys: list[int]) -> np.ndarray:
-        """The last of those rows, no other held."""
-        row = np.zeros(len(ys) + 1, np.int64)
-        for x in xs:
-            row = np.concatenate(([0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + self._row(x, ys)))))
+        """The best weights of ``xs`` and all beginnings of ``ys``; few rows are held."""
+        if len(xs) * len(ys) <= LISTS:
+            return self._best(xs, ys)[-1]
+        row, step = np.zeros(len(ys) + 1, np.int64), max(1, LISTS // len(ys))
+        for at in range(0, len(xs), step):
+            for w in self._weights(xs[at : at + step], ys):
+                row = np.concatenate(([0], np.maximum.accumulate(np.maximum(row[1:], row[:-1] + w))))
         return row
 
     def _ends(self, x: int, y: int) -> tuple[list[int], list[int], list[tuple[int, int]]]:
@@ -323,6 +331,9 @@ class Matching:
             to[y] = x
             xs, ys, pairs = self._ends(x, y)
             todo += pairs
+            if len(xs) == len(ys) == 1:  # no other pair to weigh it against
+                todo += [(c, d) for c, d in zip(xs, ys, strict=True) if a.label[c] == b.label[d]]
+                continue
             for c in xs:
                 for d in ys if a.kids[c] else ():
                     if self._open(c, d):
@@ -331,18 +342,18 @@ class Matching:
         return to
 
     def _traced(self, xs: list[int], ys: list[int]) -> list[tuple[int, int]]:
-        """The matched pairs of two lists; long ones are halved, so that no more than two rows of weights are held."""
+        """The matched pairs of two lists; long ones are halved, so that few rows of weights are held."""
         if not xs or not ys:
             return []
-        if len(xs) > 1 and len(xs) * len(ys) > 1 << 20:
+        if len(xs) > 1 and len(xs) * len(ys) > LISTS:
             half = len(xs) // 2
             cut = int(np.argmax(self._last(xs[:half], ys) + self._last(xs[half:][::-1], ys[::-1])[::-1]))
             return self._traced(xs[:half], ys[:cut]) + self._traced(xs[half:], ys[cut:])
         rows, out, i, j = self._best(xs, ys), [], len(xs), len(ys)
-        while i and j and rows[i][j]:
-            if rows[i][j] == rows[i - 1][j]:
+        while i and j and rows[i, j]:
+            if rows[i, j] == rows[i - 1, j]:
                 i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
+            elif rows[i, j] == rows[i, j - 1]:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
