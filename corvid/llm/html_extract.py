@@ -587,7 +587,7 @@ def main_text(page: str | None, wrapper: dict | None) -> str:
     p = Page(page)
     if wrapper and wrapper["region"] is not None:
         key, repeated = key_of(wrapper["region"]), wrapper["repeated"]
-        to = Matching(wrapper["pivot"], p.tree()).partners()
+        to = Matching(wrapper["pivot"], p.tree()).partners() if repeated else [-1] * len(p.key)
         own = [c for c in p.containers if p.key[c[0]] == key]
         within = p.covered((lo, hi) for _, lo, hi in own) if wrapper["region"] else [True] * len(p.blocks)
         out = p.covered((lo, hi) for _, lo, hi in p.template(repeated, to, own))
@@ -720,7 +720,9 @@ def repeated_texts(rows: DataFrame) -> DataFrame:
 
 
 def regions(rows: DataFrame) -> DataFrame:
-    """host, pivot, low, high: the first and last of the paths around the changing text of the pages of a layout (host, html, pivot, tree, repeated)."""
+    """host, pivot, low, high: the first and last of the paths around the changing text of the pages of a layout (host, html, pivot, tree, repeated).
+
+    A layout that repeats nothing has none: all its text is changing, and its region is the whole page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, tree_of = _Known(), _Trees()
@@ -734,7 +736,7 @@ def regions(rows: DataFrame) -> DataFrame:
             cols = list(zip(*found, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("host", "pivot", "low", "high"), cols, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)})
 
-    asked = rows.where("tree is not null and html <> ''").select("host", "pivot", "html", "tree", "repeated")
+    asked = rows.where("tree is not null and html <> '' and repeated is not null").select("host", "pivot", "html", "tree", "repeated")
     return asked.mapInArrow(run, "host string, pivot long, low string, high string").groupBy("host", "pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
@@ -751,7 +753,11 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             texts = []
             for page, raw, r, low, high in zip(b.column("html"), *(b.column(n).to_pylist() for n in ("tree", "repeated", "low", "high")), strict=True):
-                texts.append(main_text(page.as_py(), None if low is None else {"pivot": tree_of(raw), "region": smallest(low, high), "repeated": known(r)}))
+                if r is None:
+                    wrapper = {"pivot": None, "region": "", "repeated": frozenset()} if raw is not None else None
+                else:
+                    wrapper = {"pivot": tree_of(raw), "region": smallest(low, high), "repeated": known(r)} if low is not None else None
+                texts.append(main_text(page.as_py(), wrapper))
             yield pa.RecordBatch.from_pydict(
                 {"page_id": b.column("page_id"), "url": b.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())}
             )
