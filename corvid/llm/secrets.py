@@ -245,7 +245,7 @@ def table_findings(docs: DataFrame, most: int = MAX_WINDOWS) -> tuple[np.ndarray
     mark = F.xxhash64("window", F.lit(SEED))
     once = durable(found.groupBy("window", "label").agg(F.min("fold").alias("fold"), F.min("piece").alias("piece")), "secrets-labelled")
     rows = [r for y in (0, 1) for r in once.where(F.col("label") == y).orderBy(mark, "window").limit(most // 2).collect()]
-    x = np.array([np.frombuffer(r["window"], np.uint8) for r in rows]).reshape(-1, WIDTH)
+    x = np.array([np.frombuffer(r["window"], np.uint8) for r in rows], np.uint8).reshape(-1, WIDTH)
     return x, np.array([r["label"] for r in rows], np.int64), np.array([r["fold"] for r in rows], np.int64), [r["piece"] for r in rows if r["fold"] > 0]
 
 
