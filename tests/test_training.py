@@ -255,3 +255,45 @@ def test_atom_feeds_are_read_in_order(spark, tmp_path):
     got = [(r["title"], r["url"], r["filename"][8:]) for r in feed_items(spark, str(tmp_path / "feed.xml")).collect()]
     assert got == [(f"t{i}", f"http://x/e{i}.mp3?k=1", f"_e{i}.mp3") for i in range(5)]
     assert [r["title"] for r in feed_items(spark, str(tmp_path / "feed.xml"), 2).collect()] == ["t0", "t1"]
+
+
+def test_simulated_votes_of_large_sets_stay_off_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(0, 1, 4) + (i % 3)], ["None", "b", None][i % 3]) for i in range(36)] + [(36, None, "b")]
+    df = spark.createDataFrame(rows, "clip_id long, embedding array<float>, category string").repartition(3)
+    asked = {"epochs": 4, "max_steps": 12, "every": 2}
+    small = sorted(map(tuple, evaluate.simulate_voting(df, [0, 1], **asked).collect()))
+    x, names = np.array([r[1] for r in rows[:36]], np.float32).astype(float), np.array([r[2] for r in rows[:36]], object)
+    assert {r[2] for r in small} == {"None", "b"} and {r[3] for r in small} <= {2, 4, 6, 8, 10, 12}
+    for seed, _, target, t, cost, fpr, fnr in small:
+        y = np.array([n == target for n in names], float)
+        order = evaluate._rng(seed, target).permutation(36)
+        seen, test = order[:t], order[18:]
+        p = mlp.train(x[seen], y[seen], epochs=4).score(x[test]) >= thresholds.cross_calibrated_np(x[seen], y[seen], 0, seed, epochs=4)
+        assert (fpr, fnr) == (round(p[y[test] == 0].mean(), 6), round((~p)[y[test] == 1].mean(), 6)) and cost == pytest.approx(fpr + fnr, abs=2e-6)
+    monkeypatch.setattr(evaluate, "SHARED", 0)
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "toPandas", lambda self: pytest.fail("the set came to the driver"))
+        large = evaluate.simulate_voting(df, [0, 1], **asked)
+    assert sorted(map(tuple, large.collect())) == small
+    assert evaluate.simulate_voting(df.limit(1), [0]).count() == 0
+
+
+def test_training_in_place_follows_the_recipe():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(30, 5)), (np.arange(30) % 3 == 0).astype(float)
+    for inclusion in (-2, 0, 3):
+        first = mlp.Mlp.initial(5)
+        p = [first.w0, first.b0, first.w2, np.array(first.b2)]
+        m, v = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p]
+        weight = np.where(y == 1, *mlp.class_weights(y, inclusion)) / 30
+        for step in range(1, 41):
+            z = x @ p[0].T + p[1]
+            g = (1 / (1 + np.exp(-(np.maximum(z, 0) @ p[2] + p[3]))) - y) * weight
+            back = np.outer(g, p[2]) * (z > 0)
+            for i, d in enumerate((back.T @ x, back.sum(0), np.maximum(z, 0).T @ g, g.sum())):
+                d = d + mlp.DECAY * p[i]
+                m[i], v[i] = 0.9 * m[i] + 0.1 * d, 0.999 * v[i] + 0.001 * d * d
+                p[i] = p[i] - mlp.RATE * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
+        got = mlp.train(x, y, inclusion, epochs=40)
+        assert all(np.allclose(a, b, atol=1e-12) for a, b in zip((got.w0, got.b0, got.w2, got.b2), p, strict=True))
