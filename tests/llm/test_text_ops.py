@@ -407,6 +407,28 @@ def test_pieces_equal_dynamic_programming_and_round_trip(spark):
     assert [r.text for r in back] == ["Hello there", "", None]
 
 
+def test_new_words_take_their_paths_together(monkeypatch):
+    model, rng = pieces.read_model(), random.Random(8)
+    alphabet = "abcdethe ing▁  éñß日本語\U0001f600\n\t\x00܀߿"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(400)] + [None, "", " ", "▁", "  ", "\x00", "a" * 300, "\n" * 60]
+    for bytes_too in (True, False):
+        own = pieces.Pieces(model if bytes_too else model | {"bytes": [-1] * 256})
+        words = sorted({u for t in texts if t for u in pieces._UNIT.findall(pieces.MARK + t.replace(" ", pieces.MARK))})
+        assert len(words) > 1000
+        assert [np.frombuffer(p, np.int32).tolist() for p in own.paths(words)] == [own.viterbi(w) for w in words]
+        alone = [own.encode(t).tolist() for t in texts]
+        monkeypatch.setattr(pieces, "TOGETHER", 10**9)
+        fresh = pieces.Pieces(model if bytes_too else model | {"bytes": [-1] * 256})
+        seen, one = [], fresh.viterbi
+        fresh.viterbi = lambda u: (seen.append(u), one(u))[1]
+        assert [i.tolist() for i in fresh.encode_all(texts)] == alone
+        assert seen and all(len(u) > pieces.LONGEST for u in seen)
+        monkeypatch.setattr(pieces, "TOGETHER", 1000)
+        monkeypatch.setattr(pieces, "REMEMBERED", 200)
+        assert [i.tolist() for i in fresh.encode_all(texts)] == alone and len(fresh.memory) < len(words) > len(fresh.older)
+        monkeypatch.undo()
+
+
 def test_pieces_reach_the_library_score():
     import sentencepiece
 
