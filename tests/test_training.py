@@ -279,6 +279,17 @@ def test_simulated_votes_of_large_sets_stay_off_the_driver(spark, monkeypatch):
     assert evaluate.simulate_voting(df.limit(1), [0]).count() == 0
 
 
+def test_tasks_of_simulated_votes_are_short_however_many_steps_there_are(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [float(i % 3), float(i % 5)], "ab"[i % 2]) for i in range(36)], "clip_id long, embedding array<float>, category string")
+    few = evaluate.simulate_voting(df, [0, 1], epochs=3)
+    assert few.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    votes = 4 * sum(range(2, 19))  # of two seeds, two categories and the steps from 2 to 18
+    assert evaluate.simulate_voting(df, [0, 1], epochs=10**6).rdd.getNumPartitions() == -(-votes * 10**6 // 20_000_000)  # planned, not trained
+    monkeypatch.setattr(evaluate, "WORK", 1)
+    many = evaluate.simulate_voting(df, [0, 1], epochs=3)
+    assert many.rdd.getNumPartitions() == 4 * 17 and sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+
+
 def test_training_in_place_follows_the_recipe():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(30, 5)), (np.arange(30) % 3 == 0).astype(float)
